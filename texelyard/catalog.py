@@ -120,8 +120,7 @@ def issue_report(spark, d):
 
 
 def extract_slice(spark, d):
-    blobs = fx.packed_blobs(spark, d).filter(F.length("blob") >= 16)
-    cut = blobs.withColumns({"start": F.lit(8), "size": F.lit(8), "format_hash": F.col("l_partkey") * 1000})
+    cut = fx.packed_blobs(spark, d).withColumns({"start": F.lit(8), "size": F.lit(8), "format_hash": F.col("l_partkey") * 1000})
     data = archive.slice_with_header(cut, fx.HEADER_MAGIC)
     return data.select("f", "l_partkey", F.hex("data").alias("data"))
 
@@ -319,14 +318,14 @@ def _companions(spark, d):
 
 def review_flags(spark, d):
     key = F.col("texture_id")
-    found = ops.apply_kind(ops.classify(_companions(spark, d))).withColumns(
+    found = ops.classify(_companions(spark, d)).withColumns(
         {
             "is_d4": key % 5 != 0,
             "issues": F.when(key % 2 == 0, F.array(F.lit("bad"))).otherwise(F.array().cast("array<string>")),
             "pixel_format": F.when(key % 3 == 0, "BC3").otherwise(F.col("pixel_format")),
         }
     )
-    return ops.review_flags(found).select("texture_id", "needs_bc3n", "needs_payload")
+    return ops.review_flags(ops.apply_kind(found)).select("texture_id", "needs_bc3n", "needs_payload")
 
 
 def search(spark, d):

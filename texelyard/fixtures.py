@@ -80,14 +80,18 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), key)
     return table(spark, sf_dir, "part").select(
-        F.when(key % 17 == 0, F.lit("  ")).otherwise(name).alias("name"),
+        _entry_name(key).alias("name"),
         pick(GROUPS, key % 3).alias("group_name"),
         key.cast("int").alias("sno"),
     )
 
 
+def _entry_name(key):
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), key)
+    return F.when(key % 17 == 0, F.lit("  ")).otherwise(name)
+
+
 def group_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc(spark, sf_dir).groupBy("group_name").agg(F.max("sno").alias("format_hash"))
 
@@ -106,21 +110,16 @@ def dat_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive files (path, length) that the table of contents refers to."""
-    part = table(spark, sf_dir, "part").join(
-        toc(spark, sf_dir).select(F.col("sno").cast("bigint").alias("p_partkey"), "name"), "p_partkey"
-    )
     key = F.col("p_partkey")
     size = F.when(key % 23 == 0, 0).otherwise(F.col("p_size") + 1)
-
-    def files(wanted, path):
-        return part.filter(wanted).select(path.alias("path"), size.cast("bigint").alias("length"))
-
-    return (
-        files(key % 5 != 0, F.concat(F.lit("base:payload\\"), key))
-        .unionAll(files(key % 3 == 0, F.concat(F.lit("base:paylow\\"), key)))
-        .unionAll(files(key % 4 == 1, F.concat(F.lit("base:meta\\"), key)))
-        .unionAll(files(key % 4 == 2, F.concat(F.lit("Base\\meta\\Texture\\"), F.col("name"), F.lit(".tex"))))
+    paths = F.array(
+        F.when(key % 5 != 0, F.concat(F.lit("base:payload\\"), key)),
+        F.when(key % 3 == 0, F.concat(F.lit("base:paylow\\"), key)),
+        F.when(key % 4 == 1, F.concat(F.lit("base:meta\\"), key)),
+        F.when(key % 4 == 2, F.concat(F.lit("Base\\meta\\Texture\\"), _entry_name(key), F.lit(".tex"))),
     )
+    files = table(spark, sf_dir, "part").select(F.explode(paths).alias("path"), size.cast("bigint").alias("length"))
+    return files.filter(F.col("path").isNotNull())
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,37 +139,42 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One packed file of one to three entries per line, some of them damaged."""
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    k = F.col("k")
+    """One packed file of one to three entries per line, some of them damaged.
 
-    def entry_id(j):
-        return part + j
-
-    def size(j):
-        return 4 + (F.col("l_quantity").cast("int") + 3 * j) % 20
+    The first entry differs in id and size from the rest of its file.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("f"),
+        "l_partkey",
+        "l_suppkey",
+        (F.col("l_linenumber") % 3 + 1).alias("n"),
+        (F.col("l_quantity").cast("int") % 20 + 4).alias("size_a"),
+        ((F.col("l_quantity").cast("int") + 3) % 20 + 4).alias("size_b"),
+    )
+    part, n = F.col("l_partkey"), F.col("n")
 
-    def index(j):
-        return F.concat(le_hex(entry_id(j)), le_hex(size(j)))
+    def index(number, size):
+        return F.concat(le_hex(part + number), le_hex(F.col(size)))
 
-    def body(j):
-        stored = entry_id(j) + F.when((supp + j) % 11 == 0, 1).otherwise(0)
-        pad = F.when(j < k - 1, (8 - size(j) % 8) % 8).otherwise(0)
-        return F.concat(F.lit("00" * 8), le_hex(stored), F.repeat(F.lit("AB"), size(j) - 4), F.repeat(F.lit("00"), pad))
+    def body(number, size):
+        stored = part + number + F.when((F.col("l_suppkey") + number) % 11 == 0, 1).otherwise(0)
+        filled = F.concat(F.lit("00" * 8), le_hex(stored), F.repeat(F.lit("AB"), F.col(size) - 4))
+        return F.rpad(filled, (16 + 2 * _ceil8(F.col(size))).cast("int"), F.lit("00"))
 
-    slots = F.sequence(F.lit(0), k - 1)
+    more = n - 1
+    magic = F.when(part % 13 == 0, 1).otherwise(F.lit(rules.PACKED_MAGIC))
     text = F.concat(
-        le_hex(F.when(part % 13 == 0, 1).otherwise(F.lit(rules.PACKED_MAGIC))), le_hex(k),
-        F.array_join(F.transform(slots, index), ""), F.array_join(F.transform(slots, body), ""),
-    )
-    whole = F.col("whole")
-    cut = F.when(part % 19 == 0, 5).when(part % 17 == 0, 12).when(part % 7 == 0, F.length(whole) - 1).otherwise(F.length(whole))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    return (
-        lines.withColumn("k", F.col("l_linenumber") % 3 + 1)
-        .select(F.col("l_orderkey").alias("f"), "l_partkey", "k", F.unhex(text).alias("whole"))
-        .select("f", "l_partkey", "k", F.substring(whole, F.lit(1), cut).alias("blob"))
+        le_hex(magic), le_hex(n), index(0, "size_a"), F.repeat(index(1, "size_b"), more),
+        body(0, "size_a"), F.repeat(body(1, "size_b"), more),
     )
+    last = F.when(n == 1, F.col("size_a")).otherwise(_ceil8(F.col("size_a")) + (n - 2) * _ceil8(F.col("size_b")) + F.col("size_b"))
+    whole = 8 + 16 * n + last
+    cut = F.when(part % 19 == 0, 5).when(part % 17 == 0, 12).when(part % 7 == 0, whole - 1).otherwise(whole)
+    return lines.select("f", "l_partkey", F.substring(F.unhex(text), F.lit(1), cut).alias("blob"))
+
+
+def _ceil8(size):
+    return F.shiftleft(F.shiftright(size + 7, 3), 3)
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ def le_u32(blob: Column, offset: int = 0) -> Column:
 
 def le_hex(value) -> Column:
     """Four little-endian bytes of an integer as a hex string."""
-    v = as_col(value).cast("bigint")
-    return F.concat(*[F.lpad(F.hex(F.shiftright(v, s).bitwiseAND(F.lit(255))), 2, "0") for s in (0, 8, 16, 24)])
+    word = F.lpad(F.hex(as_col(value).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    return F.concat(*[F.substring(word, at, 2) for at in (7, 5, 3, 1)])
 
 
 def header(magic, format_hash) -> Column:

@@ -7,11 +7,12 @@ once however deep the chain is. Level ``k`` of a pixel is found in closed form:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texelyard.functions.colour import rounded_mean, to_signed, to_u8
-from texelyard.functions.formats import can_downscale, level_size, max_mips
+from texelyard.functions.formats import can_downscale, max_mips
 from texelyard.functions.lookups import as_col
 from texelyard.operators.pixels import CHANNELS
 
@@ -28,16 +29,9 @@ def _base(df: DataFrame, levels) -> DataFrame:
     """Level 0 with sums, counts and the number of levels wanted."""
     full = max_mips(F.col("width"), F.col("height"))
     wanted = full if levels is None else F.least(F.greatest(as_col(levels), F.lit(1)), full)
-    return df.filter(F.col("mip") == 0).select(
-        *_keys(df),
-        "width",
-        "height",
-        wanted.cast("int").alias("levels"),
-        "x",
-        "y",
-        *[F.col(c).cast("bigint").alias(c) for c in CHANNELS],
-        F.lit(1).cast("bigint").alias("n"),
-    )
+    sums = F.expr(f"struct({', '.join(f'cast({c} AS bigint) AS {c}' for c in CHANNELS)}, 1L AS n)")
+    rows = df.filter("mip = 0").select(*_keys(df), "width", "height", wanted.cast("int").alias("levels"), "x", "y", sums.alias("s"))
+    return rows.select(*_keys(df), *SIDES, "x", "y", "s.*")
 
 
 def _fold(df: DataFrame, level: int, by: int) -> DataFrame:
@@ -48,38 +42,30 @@ def _fold(df: DataFrame, level: int, by: int) -> DataFrame:
     """
 
     def folded(axis, side):
-        return F.least(F.shiftright(axis, by), level_size(F.col(side), level) - 1).alias(axis)
+        return F.expr(f"least(shiftright({axis}, {by}), greatest(1, shiftright({side}, {level})) - 1)").alias(axis)
 
     return df.groupBy(*_keys(df), folded("x", "width"), folded("y", "height")).agg(
-        *[F.max(c).alias(c) for c in SIDES],
-        *[F.sum(c).alias(c) for c in CHANNELS],
-        F.sum("n").alias("n"),
+        *[F.expr(f"max({c}) AS {c}") for c in SIDES],
+        *[F.expr(f"sum({c}) AS {c}") for c in (*CHANNELS, "n")],
     )
 
 
-def _mean_normal(df: DataFrame) -> dict:
-    """Unit vector of the summed normals, as 0..255 values."""
-    v = {c: to_signed(F.col(c) / F.col("n")) for c in "rgb"}
-    length = F.sqrt(v["r"] * v["r"] + v["g"] * v["g"] + v["b"] * v["b"])
-    flat = {"r": 0.0, "g": 0.0, "b": 1.0}
-    return {c: to_u8((F.when(length > 0, v[c] / length).otherwise(flat[c]) + 1) / 2) for c in "rgb"}
+def _unit_normal(channel: str) -> str:
+    """One component of the normalised mean vector, as 0..255."""
+    v = {c: f"({c} / n / 255 * 2 - 1)" for c in "rgb"}
+    length = f"sqrt({v['r']} * {v['r']} + {v['g']} * {v['g']} + {v['b']} * {v['b']})"
+    flat = "1.0D" if channel == "b" else "0.0D"
+    unit = f"(CASE WHEN {length} > 0 THEN {v[channel]} / {length} ELSE {flat} END + 1) / 2"
+    return f"cast(floor(least(greatest({unit} * 255 + 0.5D, 0.0D), 255.0D)) AS int)"
 
 
 def _values(df: DataFrame, mip: int, normals: bool) -> DataFrame:
     """Pixel rows of one level from its sums."""
-    mean: dict[str, Column] = {c: rounded_mean(F.col(c), F.col("n")) for c in CHANNELS}
+    mean = {c: f"cast(({c} * 2 + n) div (n * 2) AS int)" for c in CHANNELS}
     if normals and "kind" in df.columns and mip > 0:
-        unit = _mean_normal(df)
-        mean |= {c: F.when(F.col("kind") == "Normal", unit[c]).otherwise(mean[c]) for c in "rgb"}
-    return df.select(
-        *_keys(df),
-        "width",
-        "height",
-        F.lit(mip).alias("mip"),
-        "x",
-        "y",
-        *[mean[c].alias(c) for c in CHANNELS],
-    )
+        mean |= {c: f"CASE WHEN kind = 'Normal' THEN {_unit_normal(c)} ELSE {mean[c]} END" for c in "rgb"}
+    channels = [f"{mean[c]} AS {c}" for c in CHANNELS]
+    return df.selectExpr(*_keys(df), "width", "height", f"{mip} AS mip", "x", "y", *channels)
 
 
 def deepest(df: DataFrame) -> int:
@@ -91,18 +77,21 @@ def mip_chain(df: DataFrame, levels=None, normals: bool = True, deepest_level: i
     """Regenerate mip levels from level 0; other levels are dropped first.
 
     ``levels`` is a number, a column or None for the full chain, always clamped
-    to what the texture allows. Each level is grouped from the one before, on
+    to what the texture allows; ``deepest_level``, if known, saves looking up the
+    largest texture. Each level is grouped from the one before, on
     the full position, so a single huge texture spreads over all tasks and every
     shuffle is about a quarter of the last. Normal maps are renormalised.
     """
     if deepest_level is None:
-        deepest_level = levels if isinstance(levels, int) and levels > 0 else deepest(df)
+        deepest_level = deepest(df)
+        if isinstance(levels, int):
+            deepest_level = min(max(levels, 1), deepest_level)
     sums = _base(df, levels)
-    out = _values(sums, 0, normals)
+    out = [_values(sums, 0, normals)]
     for level in range(1, deepest_level):
         sums = _fold(sums, level, 1)
-        out = out.unionAll(_values(sums.filter(F.col("levels") > level), level, normals))
-    return out
+        out.append(_values(sums.filter(f"levels > {level}"), level, normals))
+    return reduce(DataFrame.unionAll, out)
 
 
 def downscale(df: DataFrame, drop: int, normals: bool = True) -> DataFrame:

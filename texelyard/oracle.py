@@ -162,7 +162,7 @@ VIEWS = {
           WHEN strict THEN [] ELSE ['Unknown ' || file_format || ' parse error'] END AS issues
         FROM judged""",
     "blobs": f"""
-        SELECT l_orderkey AS f, l_partkey, l_suppkey, l_linenumber % 3 + 1 AS k, CAST(l_quantity AS INTEGER) AS qty,
+        SELECT l_orderkey AS f, l_partkey, l_suppkey, l_linenumber % 3 + 1 AS k, CAST(l_quantity AS INTEGER) % 20 + 4 AS size_a, (CAST(l_quantity AS INTEGER) + 3) % 20 + 4 AS size_b,
           CASE WHEN l_partkey % 13 = 0 THEN 1 ELSE {rules.PACKED_MAGIC} END AS magic,
           CASE WHEN l_partkey % 19 = 0 THEN 'five' WHEN l_partkey % 17 = 0 THEN 'twelve' WHEN l_partkey % 7 = 0 THEN 'short' ELSE 'whole' END AS cut
         FROM lineitem""",
@@ -227,10 +227,6 @@ def _up(source, s, r="r", g="g", b="b", a="a"):
     )
 
 
-def _size(j):
-    return f"(4 + (qty + 3 * ({j})) % 20)"
-
-
 def _ceil8(value):
     return f"(({value} + 7) // 8 * 8)"
 
@@ -328,12 +324,10 @@ def _convert() -> str:
 
 
 def _blob_entries() -> str:
-    def start(i):
-        return f"8 + 8 * k + 8 * ({i} + 1) + " + " + ".join(f"CASE WHEN {i} > {j} THEN {_ceil8(_size(j))} ELSE 0 END" for j in (0, 1))
-
-    return f"""{with_('blobs')} SELECT f, CAST(i AS BIGINT) AS i, CAST(k AS BIGINT) AS n, CAST(l_partkey + i AS INTEGER) AS sno,
-        CAST({_size('i')} AS BIGINT) AS size, CAST({start('i')} AS BIGINT) AS start FROM blobs, range(0, 3) t(i)
-      WHERE i < k AND magic = {rules.PACKED_MAGIC} AND cut NOT IN ('five', 'twelve') AND NOT (cut = 'short' AND i = k - 1) AND (l_suppkey + i) % 11 <> 0"""
+    start = f"8 + 8 * k + 8 * (i + 1) + CASE WHEN i > 0 THEN {_ceil8('size_a')} + (i - 1) * {_ceil8('size_b')} ELSE 0 END"
+    return f"""{with_('blobs')} SELECT f, CAST(i AS BIGINT) AS i, CAST(k AS BIGINT) AS n, CAST(l_partkey + least(i, 1) AS INTEGER) AS sno,
+        CAST(CASE WHEN i = 0 THEN size_a ELSE size_b END AS BIGINT) AS size, CAST({start} AS BIGINT) AS start FROM blobs, range(0, 3) t(i)
+      WHERE i < k AND magic = {rules.PACKED_MAGIC} AND cut NOT IN ('five', 'twelve') AND NOT (cut = 'short' AND i = k - 1) AND (l_suppkey + least(i, 1)) % 11 <> 0"""
 
 
 def _tree() -> str:
@@ -412,7 +406,7 @@ def _statements() -> dict[str, str]:
         "issue_report": f"""{with_('assets', 'loads', 'judged', 'told')} SELECT texture_id,
             'Failed to load: ' || texture_id || coalesce(array_to_string(list_transform(issues, lambda i: chr(10) || '  ' || i), ''), '') AS message FROM told WHERE NOT success""",
         "extract_slice": f"""{with_('blobs')} SELECT f, l_partkey, {le_hex(str(fx.HEADER_MAGIC))} || {le_hex('l_partkey * 1000')} || repeat('00', 8)
-            || {le_hex('l_partkey')} || {le_hex(_size('0'))} AS data FROM blobs WHERE cut NOT IN ('five', 'twelve')""",
+            || CASE WHEN cut = 'five' THEN '' ELSE {le_hex('l_partkey')} END || CASE WHEN cut IN ('five', 'twelve') THEN '' ELSE {le_hex('size_a')} END AS data FROM blobs""",
         "strip_header": f"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND 18 + p_partkey % 5 > 16 THEN substr(whole, 33) ELSE whole END AS data FROM (SELECT p_partkey,
             {le_hex(f'CASE WHEN p_partkey % 2 = 0 THEN {fx.HEADER_MAGIC} ELSE p_partkey END')} || repeat('00', CAST(10 + p_partkey % 5 AS INTEGER)) || {le_hex('p_partkey')} AS whole FROM part)""",
         "write_converted": f"{with_('pixels')} SELECT pixel_format AS target_format, count(*) AS pixels FROM pixels GROUP BY 1",

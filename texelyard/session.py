@@ -27,6 +27,7 @@ def local_session(cores: str | int = "*", app: str = "texelyard", shuffle: int =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle))
     )
     for key, value in SQL_SETTINGS.items():
@@ -36,6 +37,9 @@ def local_session(cores: str | int = "*", app: str = "texelyard", shuffle: int =
     return spark
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -48,9 +52,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="texelyard-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="texelyard-")
+    return _local_roots[app]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
