@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from texelyard.functions import rules
 from texelyard.functions.binary import le_hex
 from texelyard.operators.running import blocked_running_sum
-from texelyard.session import new_folder, ship_package
+from texelyard.session import new_folder, ship_package, stage
 
 # --- fixed values of the derived views ------------------------------------
 SUFFIXES = [
@@ -126,16 +126,18 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries (f, i, n, sno, size), numbered per file in a total order.
 
     The running number is found block by block of order keys, so one file may
-    hold most of the rows.
+    hold most of the rows. The view is written once, as such an index would be:
+    offsets read it twice.
     """
     columns = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]
     lines = table(spark, sf_dir, "lineitem").select(*columns)
     order = columns[1:]
     numbered = blocked_running_sum(lines, "l_suppkey", div(F.col("l_orderkey"), 1024), order, F.lit(1), "i", "n")
-    return numbered.select(
+    entries = numbered.select(
         F.col("l_suppkey").alias("f"), "i", "n", F.col("l_partkey").alias("sno"),
         (F.col("l_quantity") * 3).cast("int").alias("size"),
     )
+    return stage(entries, "packed")
 
 
 def packed_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from texelyard.functions import rules
 from texelyard.operators.running import blocked_running_sum
 from texelyard.session import ship_package
 
-ENTRIES_PER_BLOCK = 4096
+BLOCK_BITS = 12  # entries per block: 4096
 
 
 def aligned(size: Column) -> Column:
@@ -26,7 +26,7 @@ def packed_offsets(entries: DataFrame) -> DataFrame:
     preceded by 8 skipped bytes, so offsets are one running sum of sizes.
     """
     summed = blocked_running_sum(
-        entries, "f", F.floor(F.col("i") / ENTRIES_PER_BLOCK), ["i"], aligned(F.col("size")), "_before"
+        entries, "f", F.shiftright("i", BLOCK_BITS), ["i"], aligned(F.col("size")), "_before"
     )
     start = 8 + 8 * F.col("n") + 8 * (F.col("i") + 1) + F.col("_before")
     return summed.withColumn("start", start.cast("bigint")).drop("_before")

@@ -34,9 +34,9 @@ def blocked_running_sum(
     )
     inside = Window.partitionBy(group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    joined = local.join(
-        offsets, (F.col(group) == F.col("_group")) & (F.col("_block") == F.col("_offset_block")), "inner"
-    )
+    # Null-safe, so rows without a group or block keep their own running sum.
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_block").eqNullSafe(F.col("_offset_block"))
+    joined = local.join(offsets, same)
     out = [F.col(c) for c in df.columns] + [(F.col("_offset") + F.col("_local")).alias(before)]
     if total:
         out.append(F.col("_total").alias(total))

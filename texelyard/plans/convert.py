@@ -71,7 +71,7 @@ def convert_files(spark: SparkSession, spec: JobSpec, overwrite: bool = False) -
     if reason:
         raise ValueError(reason)
     pixel_rows, outcome = load_images(spark, spec.input_dir, spec.recursive, spec.formats)
-    loads = stage(judge_loads(outcome), "loads")
+    loads = judge_loads(outcome)
     if loads.isEmpty():
         raise ValueError(NO_MATCH)
     failed = F.concat(F.lit("Failed to load: "), F.col("path"), F.array_join(

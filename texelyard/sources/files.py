@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from texelyard.functions import formats, paths, rules
 from texelyard.operators.assets import filter_formats
-from texelyard.session import ship_package
+from texelyard.session import ship_package, stage
 from texelyard.spec import ALL_FORMATS
 
 # Bytes of image data handed to Python per row, so batches stay small for any image.
@@ -51,15 +51,13 @@ def scan_assets(spark: SparkSession, folder: str, recursive: bool = True, enable
     return files if enabled is None else filter_formats(files, enabled)
 
 
-def texture_id(path):
-    return F.xxhash64(path)
-
-
 def load_images(spark: SparkSession, folder: str, recursive: bool = True, enabled=ALL_FORMATS):
     """Decode images; returns (pixel rows, outcome per file).
 
     Decoding is Spark's own image source. Each image is cut into bands of rows
-    before it reaches Python, so no batch depends on the size of an image.
+    before it reaches Python, so no batch depends on the size of an image. The
+    bands are written to the shared folder: pixels and outcomes both read them,
+    and no file is decoded twice.
     """
     ship_package(spark)
     reader = (
@@ -70,39 +68,33 @@ def load_images(spark: SparkSession, folder: str, recursive: bool = True, enable
     )
     images = reader.load(folder).select(F.col("image.origin").alias("path"), "image")
     images = filter_formats(images if recursive else _only_direct(images, folder), enabled)
-    decoded = F.col("image.height") > 0
-    outcome = images.select(
+    bands = images.selectExpr(
         "path",
-        texture_id(F.col("path")).alias("texture_id"),
+        "xxhash64(path) AS texture_id",
+        "image.width",
+        "image.height",
+        "image.nChannels AS channels",
+        f"cast(greatest(1, {BAND_BYTES} div (image.width * image.nChannels)) AS int) AS rows",
+        "image.data",
+    ).selectExpr(
+        "*",
+        # A file that could not be decoded has a negative height and gives one row without data.
+        "explode_outer(if(height > 0, sequence(0, height - 1, rows), null)) AS y0",
+    )
+    cut = "substring(data, y0 * width * channels + 1, rows * width * channels) AS data"
+    staged = stage(bands.selectExpr("path", "texture_id", "width", "height", "channels", "y0", cut), "bands")
+    decoded = F.col("y0").isNotNull()
+    outcome = staged.filter(~decoded | (F.col("y0") == 0)).select(
+        "path",
+        "texture_id",
         formats.classify_format(paths.ext(F.col("path"))).alias("file_format"),
         decoded.alias("has_result"),
-        F.when(decoded, F.col("image.width")).alias("width"),
-        F.when(decoded, F.col("image.height")).alias("height"),
+        F.when(decoded, F.col("width")).alias("width"),
+        F.when(decoded, F.col("height")).alias("height"),
         F.array().cast("array<string>").alias("issues"),
     )
-    stride = F.col("image.width") * F.col("image.nChannels")
-    per_band = F.greatest(F.lit(1), F.floor(F.lit(BAND_BYTES) / stride)).cast("int")
-    bands = (
-        images.filter(decoded)
-        .select(
-            texture_id(F.col("path")).alias("texture_id"),
-            F.col("image.width").alias("width"),
-            F.col("image.height").alias("height"),
-            F.col("image.nChannels").alias("channels"),
-            per_band.alias("rows"),
-            "image",
-        )
-        .withColumn("y0", F.explode(F.expr("sequence(0, height - 1, rows)")))
-        .select(
-            "texture_id",
-            "width",
-            "height",
-            "channels",
-            "y0",
-            F.expr("substring(image.data, y0 * width * channels + 1, rows * width * channels)").alias("data"),
-        )
-    )
-    return bands.mapInArrow(_band_pixels, PIXEL_SCHEMA), outcome
+    pixels = staged.filter(decoded).select("texture_id", "width", "height", "channels", "y0", "data")
+    return pixels.mapInArrow(_band_pixels, PIXEL_SCHEMA), outcome
 
 
 def _band_pixels(batches):
