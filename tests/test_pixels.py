@@ -158,3 +158,34 @@ def test_working_format_is_restored(spark):
     )
     got = {r.texture_id: (r.seen, r.pixel_format, r.kind) for r in seen.collect()}
     assert got == {1: ("R32F", "BC4", "Gloss"), 2: ("R8", "RGBA32F", "Gloss")}
+
+
+def test_texture_columns_reach_every_band(spark):
+    df = frame(spark, image(1, 1, 200), image(2, 2, 64), image(3, 1, 1), image(4, 1, 65))
+    textures = df.groupBy("texture_id").agg(F.max("height").alias("height")).withColumn("tag", F.col("texture_id") * 10)
+    for threshold in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = pixels.with_texture(df, textures.filter("texture_id < 4"))
+        assert rows(got) == [r for r in rows(df) if r[0] < 4]
+        assert got.filter("tag <> texture_id * 10").isEmpty()
+
+
+def test_no_task_owns_a_texture(spark):
+    """After a shuffled join, aggregations exchange on the position, not on the texture."""
+    df = frame(spark, image(1, 8, 8))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = pixels.with_texture(df, df.groupBy("texture_id").agg(F.max("height").alias("height")))
+    plan = mips.downscale(joined, 1)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    top = plan[: plan.index("Join")]
+    assert "Exchange hashpartitioning(texture_id" in top and "partial_sum" in top
+
+
+def test_chain_reads_its_input_twice_and_shuffles_levels_once(spark):
+    import re
+
+    chain = mips.mip_chain(frame(spark, image(1, 8, 8)), deepest_level=4)
+    chain.collect()
+    plan = chain._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    ids = set(re.findall(r"(?<!Reused)Exchange hashpartitioning.*plan_id=(\d+)", plan))
+    assert "ReusedExchange" in plan and len(ids) <= 5

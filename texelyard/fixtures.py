@@ -132,7 +132,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]
     lines = table(spark, sf_dir, "lineitem").select(*columns)
     order = columns[1:]
-    numbered = blocked_running_sum(lines, "l_suppkey", div(F.col("l_orderkey"), 1024), order, F.lit(1), "i", "n")
+    numbered = blocked_running_sum(lines, "l_suppkey", div(F.col("l_orderkey"), 8192), order, F.lit(1), "i", "n")
     entries = numbered.select(
         F.col("l_suppkey").alias("f"), "i", "n", F.col("l_partkey").alias("sno"),
         (F.col("l_quantity") * 3).cast("int").alias("size"),

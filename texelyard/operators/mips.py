@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from texelyard.functions.formats import can_downscale, max_mips
 from texelyard.functions.lookups import as_col
-from texelyard.operators.pixels import CHANNELS
+from texelyard.operators.pixels import CHANNELS, with_texture
 
 SIDES = ("width", "height", "levels")
 ROW = (*SIDES, "mip", "x", "y", *CHANNELS, "n")
@@ -119,5 +119,5 @@ def select_mip(df: DataFrame, index: int) -> DataFrame:
     the deepest remaining level per texture, one row each.
     """
     upto = df.filter(F.col("mip") <= index)
-    last = upto.groupBy("texture_id").agg(F.max("mip").alias("_last"))
-    return upto.join(last, "texture_id").filter(F.col("mip") == F.col("_last")).drop("_last")
+    last = upto.groupBy("texture_id").agg(F.max("mip").alias("_last"), F.max("height").alias("height"))
+    return with_texture(upto, last).filter(F.col("mip") == F.col("_last")).drop("_last").select(*df.columns)

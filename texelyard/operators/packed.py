@@ -49,8 +49,17 @@ def packed_index(blobs: DataFrame, key: str = "f", blob: str = "blob") -> DataFr
     the end ends its file. Blobs are read where the scan put them: no shuffle.
     """
     ship_package(blobs.sparkSession)
-    schema = f"{key} {dict(blobs.dtypes)[key]}, i bigint, n bigint, sno int, size bigint, start bigint"
-    return blobs.select(key, blob).mapInArrow(_decode_batches, schema)
+    return blobs.select(key, blob).mapInArrow(_decode_batches, _index_schema(blobs, key))
+
+
+def packed_entries(blobs: DataFrame, key: str = "f", blob: str = "blob") -> DataFrame:
+    """:func:`packed_index` with the bytes of each entry in ``data``."""
+    ship_package(blobs.sparkSession)
+    return blobs.select(key, blob).mapInArrow(_cut_batches, _index_schema(blobs, key) + ", data binary")
+
+
+def _index_schema(blobs: DataFrame, key: str) -> str:
+    return f"{key} {dict(blobs.dtypes)[key]}, i bigint, n bigint, sno int, size bigint, start bigint"
 
 
 def _u32(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -63,13 +72,27 @@ def _u32(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _decode_batches(batches):
     for batch in batches:
-        out = _decode(batch)
-        for at in range(0, out.num_rows, 1 << 20):
-            yield out.slice(at, 1 << 20)
+        index, _, _ = _decode(batch)
+        for at in range(0, index.num_rows, 1 << 20):
+            yield index.slice(at, 1 << 20)
 
 
-def _decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Index rows of all blobs of a batch, without a loop over blobs or entries."""
+def _cut_batches(batches):
+    for batch in batches:
+        index, data, begin = _decode(batch)
+        for at in range(0, index.num_rows, 1 << 12):
+            part = index.slice(at, 1 << 12)
+            first = begin[at : at + (1 << 12)]
+            cuts = [data[b : b + s].tobytes() for b, s in zip(first, part.column("size").to_numpy())]
+            columns = [*part.columns, pa.array(cuts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "data"])
+
+
+def _decode(batch: pa.RecordBatch):
+    """Index rows of all blobs of a batch, without a loop over blobs or entries.
+
+    Also returns the bytes of the batch and where each entry begins in them.
+    """
     keys, blobs = batch.column(0), batch.column(1)
     large = pa.types.is_large_binary(blobs.type)
     bounds = np.frombuffer(blobs.buffers()[1], np.int64 if large else np.int32)
@@ -100,4 +123,5 @@ def _decode(batch: pa.RecordBatch) -> pa.RecordBatch:
     stored = _u32(data, begin[owner] + start).astype(np.uint32).view(np.int32)
     good = stored == sno
     columns = [keys.take(pa.array(owner[good]))] + [pa.array(a[good]) for a in (i, n, sno, size, start)]
-    return pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "i", "n", "sno", "size", "start"])
+    index = pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "i", "n", "sno", "size", "start"])
+    return index, data, (begin[owner] + start)[good]

@@ -10,6 +10,20 @@ from texelyard.functions.colour import to_signed, to_u8
 from texelyard.functions.lookups import as_col
 
 CHANNELS = ("r", "g", "b", "a")
+BAND_BITS = 6  # pixel rows per join band: 64
+
+
+def with_texture(df: DataFrame, textures: DataFrame) -> DataFrame:
+    """Join per-texture columns (texture_id, height, ...) onto pixel rows of any level.
+
+    The key is the texture and a band of rows, the texture side being repeated
+    once per band it has. A shuffled join then spreads a huge texture over many
+    tasks, and the aggregations after it cannot inherit a partitioning that
+    keeps each texture in one task.
+    """
+    bands = F.sequence(F.lit(0), F.shiftright(F.greatest(F.col("height"), F.lit(1)) - 1, BAND_BITS))
+    keyed = textures.withColumn("_band", F.explode(bands)).drop("height")
+    return df.withColumn("_band", F.shiftright("y", BAND_BITS)).join(keyed, ["texture_id", "_band"]).drop("_band")
 
 
 def swap(df: DataFrame, one: str, two: str) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texelyard.operators.mips import mip_chain
-from texelyard.operators.pixels import CHANNELS
+from texelyard.operators.pixels import CHANNELS, with_texture
 from texelyard.operators.report import batch_summary
 from texelyard.operators.steps import apply_step
-from texelyard.plans.planning import batch_plan, mark_collisions
+from texelyard.plans.planning import PLAN_COLUMNS, batch_columns, mark_collisions
 from texelyard.session import stage
 from texelyard.sources.files import judge_loads, load_images, strip_scheme
 from texelyard.sources.sinks import NO_MATCH, guard_sink, write_converted
@@ -20,7 +20,9 @@ DUPLICATE = "Another file has the same output path"
 
 def settled_plan(assets: DataFrame, spec: JobSpec) -> DataFrame:
     """Plan with output collisions rejected, staged so it is computed once."""
-    marked = mark_collisions(batch_plan(assets, spec))
+    planned = batch_columns(assets, spec)
+    kept = [c for c in ("height", *PLAN_COLUMNS) if c in planned.columns]
+    marked = mark_collisions(planned.select(*kept))
     clash = F.col("success") & F.col("is_duplicate")
     settled = marked.withColumns(
         {
@@ -34,15 +36,15 @@ def settled_plan(assets: DataFrame, spec: JobSpec) -> DataFrame:
 def convert_pixels(plan: DataFrame, pixel_rows: DataFrame, spec: JobSpec) -> DataFrame:
     """Converted pixel rows of the assets the plan lets through.
 
-    The plan side of the only join is a few columns per texture; AQE picks the
-    join by its measured size and splits a texture that dominates the pixels.
+    The plan side of the only join is a few columns per texture; Spark picks the
+    join by its measured size.
     """
     wanted = plan.filter("success")
-    columns = ["texture_id", "kind", "target_format", "out_mips", "invert_g", "swap_ra"]
+    columns = ["texture_id", "height", "kind", "target_format", "out_mips", "invert_g", "swap_ra"]
     if any(s.type == "upscale" for s in spec.steps):
         columns.append("channel_kinds")
     base = pixel_rows.filter(F.col("mip") == 0).select("texture_id", "width", "height", "mip", "x", "y", *CHANNELS)
-    rows = base.join(wanted.select(*columns), "texture_id")
+    rows = with_texture(base, wanted.select(*columns))
     for step in spec.steps:
         rows = apply_step(rows, step)
     deepest = wanted.agg(F.max("out_mips")).first()[0] or 1

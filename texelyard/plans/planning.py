@@ -101,8 +101,39 @@ def mark_collisions(plan: DataFrame) -> DataFrame:
     return marked.withColumn("is_duplicate", F.col("_winner").isNull()).drop("_winner")
 
 
+PLAN_COLUMNS = (
+    "texture_id",
+    "path",
+    "file_format",
+    "kind",
+    "channel_kinds",
+    "pixel_format",
+    "working_format",
+    "out_width",
+    "out_height",
+    "out_mips",
+    "output_format",
+    "blp_version",
+    "blp_encoding",
+    "invert_g",
+    "swap_ra",
+    "intermediate_format",
+    "target_format",
+    "needs_convert",
+    "output_path",
+    "success",
+    "message",
+)
+
+
 def batch_plan(assets: DataFrame, spec: JobSpec) -> DataFrame:
-    """Plan of a batch: a chain of projections, no shuffle.
+    """Plan of a batch, see :func:`batch_columns`."""
+    planned = batch_columns(assets, spec)
+    return planned.select(*[c for c in PLAN_COLUMNS if c in planned.columns])
+
+
+def batch_columns(assets: DataFrame, spec: JobSpec) -> DataFrame:
+    """Assets with all planning columns: a chain of projections, no shuffle.
 
     Reads ``texture_id, path, pixel_format, width, height, mip_count`` and, when
     present, ``load_error``. ``success`` is false for assets that cannot be
@@ -151,25 +182,4 @@ def batch_plan(assets: DataFrame, spec: JobSpec) -> DataFrame:
     # Sizes past a failed step mean nothing.
     sizes = ("out_width", "out_height", "out_mips")
     planned = planned.withColumns({c: F.when(F.col("success"), F.col(c)) for c in sizes})
-    return plan_output(planned.withColumn("output_format", F.lit(name)), spec).select(
-        "texture_id",
-        "path",
-        "file_format",
-        "kind",
-        "channel_kinds",
-        "pixel_format",
-        "working_format",
-        "out_width",
-        "out_height",
-        "out_mips",
-        "output_format",
-        *[c for c in ("blp_version", "blp_encoding") if c in planned.columns],
-        "invert_g",
-        "swap_ra",
-        "intermediate_format",
-        "target_format",
-        "needs_convert",
-        "output_path",
-        "success",
-        "message",
-    )
+    return plan_output(planned.withColumn("output_format", F.lit(name)), spec)

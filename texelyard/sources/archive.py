@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from texelyard.functions import paths, rules
 from texelyard.functions.binary import header
 from texelyard.functions.lookups import as_col
+from texelyard.operators.packed import packed_entries
 
 
 def texture_entries(listing: DataFrame) -> DataFrame:
@@ -55,8 +56,9 @@ def slice_with_header(df: DataFrame, magic, format_hash="format_hash") -> DataFr
 def packed_slices(blobs: DataFrame, index: DataFrame, magic, format_hash, key: str = "f") -> DataFrame:
     """Bytes of winning packed entries as ``(sno, data)``.
 
-    The join brings index rows to the blobs; a slice leaves the projection as
-    soon as it is cut, so whole blobs are not carried further.
+    Entries are cut where the scan put their file and joined with the winners on
+    a unique key: whole blobs are never shuffled.
     """
-    cut = blobs.join(index, key).select("sno", "blob", "start", "size")
-    return slice_with_header(cut, magic, as_col(format_hash)).select("sno", "data")
+    winners = index.select("sno", key, "i")
+    cut = packed_entries(blobs, key).select("sno", key, "i", "data").join(winners, ["sno", key, "i"], "left_semi")
+    return cut.select("sno", F.concat(header(magic, as_col(format_hash)), "data").alias("data"))
