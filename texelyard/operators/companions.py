@@ -44,6 +44,12 @@ def resolve_companions(meta: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
+def companion_errors(resolved: DataFrame) -> DataFrame:
+    """Add ``load_error``: split TEX files (``is_d4``) without any payload fail a batch."""
+    lost = F.col("is_d4") & (F.col("companion") == "none")
+    return resolved.withColumn("load_error", F.when(lost, F.concat(F.lit("Failed to load D4 TEX: "), F.col("path"))))
+
+
 def archive_refs(blobs: DataFrame, packed: DataFrame) -> DataFrame:
     """One row per id with the paths of its parts; packed entries supply metadata last.
 

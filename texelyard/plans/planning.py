@@ -47,16 +47,16 @@ def dds_columns(current: Column, dds_format: Column, invert_y: Column) -> dict:
     }
 
 
+def _writer_options(spec: JobSpec) -> dict:
+    """Encoder settings by output format; none for formats that take none."""
+    jpeg = {"jpeg_quality": F.lit(spec.jpeg_quality), "jpeg_progressive": F.lit(spec.jpeg_progressive)}
+    dither = {"dither": F.lit(spec.blp_dither), "dither_strength": F.lit(spec.blp_dither_strength)}
+    return {"BLP": dither | jpeg, "JPEG": jpeg}.get(rules.OUTPUT_FORMATS[spec.output_format], {})
+
+
 def plan_blp(df: DataFrame, spec: JobSpec) -> DataFrame:
     planned = df.withColumns(blp_columns(F.col("pixel_format"), spec.blp_version, spec.blp_encoding))
-    return planned.withColumns(
-        {
-            "dither": F.lit(spec.blp_dither),
-            "dither_strength": F.lit(spec.blp_dither_strength),
-            "jpeg_quality": F.lit(spec.jpeg_quality),
-            "jpeg_progressive": F.lit(spec.jpeg_progressive),
-        }
-    )
+    return planned.withColumns(_writer_options(spec))
 
 
 def dds_choice(kind: Column, spec: JobSpec) -> tuple[Column, Column]:
@@ -115,6 +115,10 @@ PLAN_COLUMNS = (
     "output_format",
     "blp_version",
     "blp_encoding",
+    "dither",
+    "dither_strength",
+    "jpeg_quality",
+    "jpeg_progressive",
     "invert_g",
     "swap_ra",
     "intermediate_format",
@@ -173,7 +177,8 @@ def batch_columns(assets: DataFrame, spec: JobSpec) -> DataFrame:
         chosen = {"intermediate_format": current, "target_format": target, "needs_convert": current != target}
     load_error = F.col("load_error") if "load_error" in assets.columns else F.lit(None).cast("string")
     message = F.coalesce(load_error, F.when(F.col("failed_step").isNotNull(), rules.TOO_SMALL))
-    planned = sized.withColumns(edits | chosen | {"_wanted": wanted, "message": message}).withColumns(
+    options = _writer_options(spec)
+    planned = sized.withColumns(edits | chosen | options | {"_wanted": wanted, "message": message}).withColumns(
         {
             "out_mips": F.when(F.col("_wanted") > 0, F.col("_wanted")).otherwise(F.col("step_mips")),
             "success": F.col("message").isNull(),
