@@ -16,8 +16,16 @@ from texelyard.functions.formats import can_downscale, max_mips
 from texelyard.functions.lookups import as_col
 from texelyard.operators.pixels import CHANNELS, with_texture
 
-SIDES = ("width", "height", "levels")
-ROW = (*SIDES, "mip", "x", "y", *CHANNELS, "n")
+ROW = ("width", "height", "levels", "mip", "x", "y", *CHANNELS, "n", "size", "sums")
+
+# Width, height, current level and number of levels travel as one BIGINT: rows that
+# are shuffled once per level carry one value for them. With the level read from
+# data, every level of a chain also runs the same generated code.
+PACKED_SIZE = "shiftleft(cast(width AS bigint), 42) + shiftleft(cast(height AS bigint), 12) + levels AS size"
+WIDTH = "shiftright(size, 42)"
+HEIGHT = "(shiftright(size, 12) & 1073741823)"
+LEVEL = "cast(shiftright(size, 6) & 63 AS int)"
+LEVELS = "cast(size & 63 AS int)"
 
 
 def _keys(df: DataFrame) -> list:
@@ -30,23 +38,23 @@ def _base(df: DataFrame, levels) -> DataFrame:
     full = max_mips(F.col("width"), F.col("height"))
     wanted = full if levels is None else F.least(F.greatest(as_col(levels), F.lit(1)), full)
     sums = F.expr(f"struct({', '.join(f'cast({c} AS bigint) AS {c}' for c in CHANNELS)}, 1L AS n)")
-    rows = df.filter("mip = 0").select(*_keys(df), "width", "height", wanted.cast("int").alias("levels"), "x", "y", sums.alias("s"))
-    return rows.select(*_keys(df), *SIDES, "x", "y", "s.*")
+    rows = df.filter("mip = 0").withColumn("levels", wanted).withColumn("sums", sums)
+    return rows.selectExpr(*_keys(df), PACKED_SIZE, "x", "y", "sums.*")
 
 
-def _fold(df: DataFrame, level: int, by: int) -> DataFrame:
-    """Sums at ``level`` from sums ``by`` levels finer.
+def _fold(df: DataFrame, by: int) -> DataFrame:
+    """Sums ``by`` levels coarser.
 
-    Sides are aggregated rather than grouped by: no later filter on them can be
+    The size is aggregated rather than grouped by: no later filter on it can be
     pushed below the exchange, so all branches of a chain reuse the same one.
     """
 
     def folded(axis, side):
-        return F.expr(f"least(shiftright({axis}, {by}), greatest(1, shiftright({side}, {level})) - 1)").alias(axis)
+        last = f"cast(greatest(1, shiftright({side}, {LEVEL} + {by})) - 1 AS int)"
+        return F.expr(f"least(shiftright({axis}, {by}), {last})").alias(axis)
 
-    return df.groupBy(*_keys(df), folded("x", "width"), folded("y", "height")).agg(
-        *[F.expr(f"max({c}) AS {c}") for c in SIDES],
-        *[F.expr(f"sum({c}) AS {c}") for c in (*CHANNELS, "n")],
+    return df.groupBy(*_keys(df), folded("x", WIDTH), folded("y", HEIGHT)).agg(
+        F.expr(f"max(size) + {by * 64} AS size"), *[F.expr(f"sum({c}) AS {c}") for c in (*CHANNELS, "n")]
     )
 
 
@@ -59,13 +67,14 @@ def _unit_normal(channel: str) -> str:
     return f"cast(floor(least(greatest({unit} * 255 + 0.5D, 0.0D), 255.0D)) AS int)"
 
 
-def _values(df: DataFrame, mip: int, normals: bool) -> DataFrame:
-    """Pixel rows of one level from its sums."""
+def _values(df: DataFrame, normals: bool) -> DataFrame:
+    """Pixel rows of one level from its sums; ``normals`` renormalises normal maps."""
     mean = {c: f"cast(({c} * 2 + n) div (n * 2) AS int)" for c in CHANNELS}
-    if normals and "kind" in df.columns and mip > 0:
+    if normals and "kind" in df.columns:
         mean |= {c: f"CASE WHEN kind = 'Normal' THEN {_unit_normal(c)} ELSE {mean[c]} END" for c in "rgb"}
     channels = [f"{mean[c]} AS {c}" for c in CHANNELS]
-    return df.selectExpr(*_keys(df), "width", "height", f"{mip} AS mip", "x", "y", *channels)
+    sides = [f"cast({WIDTH} AS int) AS width", f"cast({HEIGHT} AS int) AS height"]
+    return df.selectExpr(*_keys(df), *sides, f"{LEVEL} AS mip", "x", "y", *channels)
 
 
 def deepest(df: DataFrame) -> int:
@@ -87,10 +96,10 @@ def mip_chain(df: DataFrame, levels=None, normals: bool = True, deepest_level: i
         if isinstance(levels, int):
             deepest_level = min(max(levels, 1), deepest_level)
     sums = _base(df, levels)
-    out = [_values(sums, 0, normals)]
-    for level in range(1, deepest_level):
-        sums = _fold(sums, level, 1)
-        out.append(_values(sums.filter(f"levels > {level}"), level, normals))
+    out = [_values(sums, False)]
+    for _ in range(1, deepest_level):
+        sums = _fold(sums, 1)
+        out.append(_values(sums.filter(f"{LEVELS} > {LEVEL}"), normals))
     return reduce(DataFrame.unionAll, out)
 
 
@@ -102,7 +111,7 @@ def downscale(df: DataFrame, drop: int, normals: bool = True) -> DataFrame:
     reports them.
     """
     fits = df.filter(can_downscale(F.col("width"), F.col("height"), drop))
-    small = _values(_fold(_base(fits, 1), drop, drop), drop, normals)
+    small = _values(_fold(_base(fits, 1), drop), normals)
     return small.withColumns(
         {
             "width": F.shiftright("width", drop),
