@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from texelyard.llm import tokenfile
+from texelyard.llm import hilbert, tokenfile
 from texelyard.llm.common import table
 from texelyard.session import new_folder
 
@@ -15,6 +16,20 @@ def op1_token_files(spark: SparkSession, d: str) -> DataFrame:
     return tokenfile.read_token_digests(spark, folder)
 
 
+def op9_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    keep = {
+        "doc_id": F.col("doc_id"),
+        "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
+        "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")),
+    }
+    placed = hilbert.curve_shards(table(spark, d, "documents"), 8, keep=keep)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op9_hilbert_shards": op9_hilbert_shards,
 }
