@@ -62,8 +62,8 @@ def encode_segment(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarra
     for w in np.unique(width):
         if w:
             own = np.flatnonzero(width == w)
-            bits = (gap[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            body = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1)
+            bits = np.unpackbits(gap[own].astype("<u4").view(np.uint8).reshape(len(own), BLOCK, 4), axis=2, count=w, bitorder="little")
+            body = np.packbits(bits.reshape(len(own), -1), axis=1)
             packed[starts[own][:, None] + np.arange(body.shape[1])] = body
     null = np.array([d is None for d in doc_ids], np.uint8)
     parts = [
@@ -119,10 +119,9 @@ class Segment:
                 own = np.flatnonzero(width == w)
                 body = self.packed[self.starts[first + own].astype(np.int64)[:, None] + np.arange(BLOCK * w // 8)]
                 bits = np.unpackbits(body, axis=1).reshape(len(own), BLOCK, w)
-                total = np.zeros((len(own), BLOCK), np.uint32)
-                for k in range(w):
-                    total |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-                gap[own] = total
+                wide = np.zeros((len(own), BLOCK, 32 if w > 16 else 16), np.uint8)
+                wide[:, :, :w] = bits
+                gap[own] = np.packbits(wide, axis=2, bitorder="little").view("<u4" if w > 16 else "<u2")[:, :, 0]
         a, b = int(self.out_starts[first]), int(self.out_starts[last])
         owner = np.repeat(np.arange(last - first), np.diff(self.out_starts[first : last + 1].astype(np.int64)))
         gap[owner, self.position[a:b]] = self.beyond[a:b]
