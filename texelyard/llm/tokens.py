@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 PIECES_AT_ONCE = 2_000
 SLICE_BYTES = 4 << 20
 # Fixed by byte-level vocabularies: how they spell the byte 0x20.
