@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelyard.llm import hilbert, tokenfile
+from texelyard.llm import decontam, hilbert, tokenfile
 from texelyard.llm.common import table
 from texelyard.session import new_folder
 
@@ -16,6 +16,11 @@ def op1_token_files(spark: SparkSession, d: str) -> DataFrame:
     return tokenfile.read_token_digests(spark, folder)
 
 
+def op2_aho_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = decontam.find_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return decontam.leak_digest(found)
+
+
 def op9_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     keep = {
@@ -31,5 +36,6 @@ def op9_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_aho_decontamination": op2_aho_decontamination,
     "op9_hilbert_shards": op9_hilbert_shards,
 }
