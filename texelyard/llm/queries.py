@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelyard.llm import decontam, hilbert, tokenfile
+from texelyard.llm import decontam, hilbert, secrets, tokenfile
 from texelyard.llm.common import table
 from texelyard.session import new_folder
 
@@ -21,6 +21,11 @@ def op2_aho_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.leak_digest(found)
 
 
+def op8_assignment_secrets(spark: SparkSession, d: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, d, "documents").select("doc_id", "text"), mark=None)
+    return secrets.secret_digest(found)
+
+
 def op9_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     keep = {
@@ -37,5 +42,6 @@ def op9_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_aho_decontamination": op2_aho_decontamination,
+    "op8_assignment_secrets": op8_assignment_secrets,
     "op9_hilbert_shards": op9_hilbert_shards,
 }
