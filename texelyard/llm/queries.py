@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelyard.llm import decontam, hilbert, secrets, tokenfile
+from texelyard.llm import decontam, hilbert, rules, secrets, tokenfile
 from texelyard.llm.common import table
 from texelyard.session import new_folder
 
@@ -39,9 +39,16 @@ def op9_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op10_boosted_rules(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    forest = rules.fit_rules(docs, table(spark, d, "labels"))
+    return rules.rule_digest(rules.judge(docs, forest))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_aho_decontamination": op2_aho_decontamination,
     "op8_assignment_secrets": op8_assignment_secrets,
     "op9_hilbert_shards": op9_hilbert_shards,
+    "op10_boosted_rules": op10_boosted_rules,
 }
