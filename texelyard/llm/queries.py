@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelyard.llm import decontam, hilbert, rules, secrets, tokencache, tokenfile
+from texelyard.llm import decontam, hilbert, rules, secrets, simhash, tokencache, tokenfile
 from texelyard.llm.common import table
 from texelyard.session import new_folder
 
@@ -21,6 +21,10 @@ def op2_aho_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.leak_digest(found)
 
 
+def op5_vp_tree_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
 def op6_cached_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokencache.count_tokens(table(spark, d, "documents"), new_folder(spark, "token-cache"), "byte_bpe_50k.json", limit=1024)
 
@@ -52,6 +56,7 @@ def op10_boosted_rules(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_aho_decontamination": op2_aho_decontamination,
+    "op5_vp_tree_simhash": op5_vp_tree_simhash,
     "op6_cached_token_counts": op6_cached_token_counts,
     "op8_assignment_secrets": op8_assignment_secrets,
     "op9_hilbert_shards": op9_hilbert_shards,
