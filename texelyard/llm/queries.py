@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelyard.llm import decontam, hilbert, rules, secrets, simhash, tokencache, tokenfile
+from texelyard.llm import decontam, hilbert, packing, rules, secrets, simhash, tokencache, tokenfile
 from texelyard.llm.common import table
 from texelyard.session import new_folder
 
@@ -29,6 +29,10 @@ def op6_cached_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokencache.count_tokens(table(spark, d, "documents"), new_folder(spark, "token-cache"), "byte_bpe_50k.json", limit=1024)
 
 
+def op7_retrieval_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), 2048, "byte_bpe_50k.json", end_id=1, with_ids=False)
+
+
 def op8_assignment_secrets(spark: SparkSession, d: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, d, "documents").select("doc_id", "text"), mark=None)
     return secrets.secret_digest(found)
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_aho_decontamination": op2_aho_decontamination,
     "op5_vp_tree_simhash": op5_vp_tree_simhash,
     "op6_cached_token_counts": op6_cached_token_counts,
+    "op7_retrieval_packing": op7_retrieval_packing,
     "op8_assignment_secrets": op8_assignment_secrets,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_boosted_rules": op10_boosted_rules,
