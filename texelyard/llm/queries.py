@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelyard.llm import decontam, hilbert, packing, rules, secrets, simhash, tokencache, tokenfile
+from texelyard.llm import bytecnn, decontam, hilbert, packing, rules, secrets, simhash, tokencache, tokenfile
 from texelyard.llm.common import table
 from texelyard.session import new_folder
 
@@ -21,6 +21,12 @@ def op2_aho_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.leak_digest(found)
 
 
+def op4_byte_cnn_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    net = bytecnn.fit_network(docs, table(spark, d, "labels"))
+    return bytecnn.score_digest(bytecnn.score_documents(docs, net), threshold=0.3)
+
+
 def op5_vp_tree_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
@@ -60,6 +66,7 @@ def op10_boosted_rules(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_aho_decontamination": op2_aho_decontamination,
+    "op4_byte_cnn_quality": op4_byte_cnn_quality,
     "op5_vp_tree_simhash": op5_vp_tree_simhash,
     "op6_cached_token_counts": op6_cached_token_counts,
     "op7_retrieval_packing": op7_retrieval_packing,
