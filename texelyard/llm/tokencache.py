@@ -1,6 +1,6 @@
 """Token counts behind a digest cache.
 
-The cache is a Parquet table of ``tokenizer, content, n_tokens``: the digest of the
+The cache is a Parquet table of ``content, n_tokens`` in folders by ``tokenizer`` and ``run``: the digest of the
 tokenizer's version (its file and its library's version) and the digest of the
 normalised content (the UTF-8 bytes of the text, null as the empty text; nothing
 that could change a count). A run joins its documents' digests to the cache,
@@ -10,6 +10,7 @@ encodes one text per digest that is missing, and appends those counts.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from importlib.metadata import version
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from texelyard.llm.common import map_text, quoted
 from texelyard.llm.tokens import library_path, public_encoder
 
-CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
+CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string, run string"
 
 
 def tokenizer_version(name: str) -> str:
@@ -34,13 +35,20 @@ def tokenizer_version(name: str) -> str:
 
 
 def read_cache(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
-    """Counts stored for one tokenizer version, one row per content even if an append was repeated.
+    """Counts stored for one tokenizer version, one row per content even if two runs stored it.
 
     A folder that does not exist yet is an empty cache.
     """
     if not _exists(spark, folder):
         return spark.createDataFrame([], "content binary, n_tokens long")
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(folder).filter(F.col("tokenizer") == tokenizer)
+    return _once(_stored(spark, folder, tokenizer))
+
+
+def _stored(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
+    return spark.read.schema(CACHE_SCHEMA).parquet(folder).filter(F.col("tokenizer") == tokenizer)
+
+
+def _once(stored: DataFrame) -> DataFrame:
     return stored.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
@@ -68,11 +76,16 @@ def count_tokens(
         quoted(key).alias(key), content.alias("_text"), F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("content")
     )
     missing = rows.groupBy("content").agg(F.first("_text").alias("_text"))
-    if _exists(spark, cache):
+    begun = _exists(spark, cache)
+    if begun:
         missing = missing.join(read_cache(spark, cache, release), "content", "left_anti")
-    counted = map_text(missing, _count(tokenizer), "content binary, n_tokens long")
-    counted.withColumn("tokenizer", F.lit(release)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    counts = read_cache(spark, cache, release)
+    run = uuid.uuid4().hex
+    map_text(missing, _count(tokenizer), "content binary, n_tokens long").write.parquet(f"{cache}/tokenizer={release}/run={run}")
+    # What this run stored is in no earlier run, so it needs no second reduction, and the exchange of the join can be split.
+    stored = _stored(spark, cache, release)
+    counts = stored.filter(F.col("run") == run).select("content", "n_tokens")
+    if begun:
+        counts = counts.unionAll(_once(stored.filter(F.col("run") != run)))
     joined = rows.select(key, "n_bytes", "content").join(counts, "content")
     return joined.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
