@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelyard.llm import bytecnn, decontam, hilbert, packing, rules, secrets, simhash, tokencache, tokenfile
+from texelyard.llm import bytecnn, decontam, hilbert, packing, rules, secrets, simhash, tokencache, tokenfile, urltree
 from texelyard.llm.common import table
 from texelyard.session import new_folder
 
@@ -21,6 +21,25 @@ def op2_aho_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.leak_digest(found)
 
 
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op3_url_templates(spark: SparkSession, d: str) -> DataFrame:
+    """A page shows the document that the last number of its path names; that document's quality labels the url."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    shown = F.regexp_extract(urltree.path(F.col("url")), r"([0-9]{1,18})(\.[A-Za-z0-9]+)?/?$", 1)
+    named = pages.select("url", F.when(shown != "", shown).cast("long").alias("doc_id"))
+    quality = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = named.join(quality, "doc_id").select("url", (F.col("quality") == 0).cast("int").alias("bad"))
+    return urltree.judge_urls(pages, labelled, URL_RULES)
+
+
 def op4_byte_cnn_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     net = bytecnn.fit_network(docs, table(spark, d, "labels"))
@@ -66,6 +85,7 @@ def op10_boosted_rules(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_aho_decontamination": op2_aho_decontamination,
+    "op3_url_templates": op3_url_templates,
     "op4_byte_cnn_quality": op4_byte_cnn_quality,
     "op5_vp_tree_simhash": op5_vp_tree_simhash,
     "op6_cached_token_counts": op6_cached_token_counts,
