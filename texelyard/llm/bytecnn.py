@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texelyard.llm.common import map_text, quoted, utf8
+from texelyard.llm.common import map_text, quoted, utf8, with_row
 from texelyard.llm.labels import held_out, labelled_sample
 
 WIDTH, STRIDE = 8, 4
 CHUNK, HOP = 128, 112  # positions: chunks of 512 bytes, 64 of them shared with the next
 FILTERS, EMBEDDED, HIDDEN = 24, 8, 16
 SAMPLE_ROWS, SAMPLE_BYTES = 3_000, 10 << 20
-EPOCHS, BATCH, RATE, DECAY = 10, 32, 0.01, 1e-4
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 10, 700, 32, 0.005, 3e-3
 SEED = 7
 
 
@@ -101,7 +101,10 @@ def fresh(rng: np.random.Generator) -> Network:
 
 
 def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Fit by minibatches with Adam; the same sample gives the same network. Without rows it stays as drawn."""
+    """Fit by minibatches with Adam, a small sample more often; the same sample gives the same network.
+
+    Without rows it stays as drawn.
+    """
     rng = np.random.default_rng(seed)
     net = fresh(rng)
     texts = [padded(t) for t, _ in sample]
@@ -109,7 +112,8 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED)
     mean = {k: np.zeros_like(w) for k, w in net.weights.items()}
     square = {k: np.zeros_like(w) for k, w in net.weights.items()}
     step = 0
-    for epoch in range(epochs):
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(len(texts), 1)))
+    for epoch in range(epochs if texts else 0):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
@@ -185,7 +189,7 @@ def score_documents(docs: DataFrame, net: Network, text: str = "text") -> DataFr
             scores = net.score([t.as_py() for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
-    return map_text(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return map_text(rows, run, with_row(rows, "score double"))
 
 
 def score_digest(scored: DataFrame, key: str = "doc_id", threshold: float = 0.3) -> DataFrame:

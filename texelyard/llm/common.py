@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from texelyard.session import ship_package
 
@@ -25,13 +26,18 @@ def partitions(spark: SparkSession) -> int:
 
 
 def map_text(
-    rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` with this package importable in the workers."""
     ship_package(rows.sparkSession)
     return rows.mapInArrow(work, schema)
 
 
+def with_row(rows: DataFrame, columns: str) -> StructType:
+    """Schema of ``row`` as ``rows`` has it, whatever its fields are called, and then ``columns``."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(columns).fields])
+
+
 def utf8(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8")
 

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texelyard.llm.common import TO_LOWER, map_text, quoted, utf8
+from texelyard.llm.common import TO_LOWER, map_text, quoted, utf8, with_row
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -119,12 +119,12 @@ def find_leaks(
     spark = docs.sparkSession
     given = F.struct(*[quoted(c) for c in docs.columns]) if docs.columns else F.struct()
     found = docs.select(given.alias("row"), quoted(text).alias("text"))
-    fields = "row " + found.schema["row"].dataType.simpleString()
-    state = ", n_words long, words array<struct<first:long,last:long>>, items array<string>"
+    state = "n_words long, words array<struct<first:long,last:long>>, items array<string>"
+    scanned, told = with_row(found, f"text string, {state}"), with_row(found, f"{state}, chars array<struct<start:long,end:long>>")
     for n, block in enumerate(benchmark_blocks(benchmark, item_key, item_text, block_bytes)):
         shared = spark.sparkContext.broadcast(block)
-        found = map_text(found, _scan(shared, window, n == 0), f"{fields}, text string{state}")
-    return map_text(found, _with_offsets, f"{fields}{state}, chars array<struct<start:long,end:long>>")
+        found = map_text(found, _scan(shared, window, n == 0), scanned)
+    return map_text(found, _with_offsets, told)
 
 
 RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))

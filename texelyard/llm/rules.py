@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from texelyard.llm.boosting import Forest, Growth, fit
-from texelyard.llm.common import map_text, quoted
+from texelyard.llm.common import map_text, quoted, with_row
 from texelyard.llm.labels import SAMPLE_ROWS, labelled_sample
 from texelyard.llm.stats import BASE, NAMES, text_stats
 
@@ -82,8 +82,7 @@ def judge(docs: DataFrame, forest: Forest, text: str = "text", keep_score: float
     """
     given = F.struct(*[quoted(c) for c in docs.columns]).alias("row")
     rows = docs.select(given, quoted(text).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, stats {STATS_TYPE}, base_failed boolean, score double, kept boolean"
-    return map_text(rows, _judge(forest, keep_score), schema)
+    return map_text(rows, _judge(forest, keep_score), with_row(rows, f"stats {STATS_TYPE}, base_failed boolean, score double, kept boolean"))
 
 
 def _judge(forest: Forest, keep_score: float):

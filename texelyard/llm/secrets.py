@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from texelyard.llm.common import TO_LOWER, map_text, quoted, utf8
+from texelyard.llm.common import TO_LOWER, map_text, quoted, utf8, with_row
 
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -234,7 +234,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", mark: str | None = "[REDAC
     """
     given = F.struct(*[quoted(c) for c in docs.columns]).alias("row")
     rows = docs.select(given, quoted(text).alias("text"))
-    return map_text(rows, _scan(mark), f"row {rows.schema['row'].dataType.simpleString()}, spans {SPANS}, clean string")
+    return map_text(rows, _scan(mark), with_row(rows, f"spans {SPANS}, clean string"))
 
 
 def _scan(mark: str | None):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from texelyard.llm import vptree
-from texelyard.llm.common import TO_LOWER, map_text, partitions, quoted, utf8
+from texelyard.llm.common import TO_LOWER, map_text, partitions, quoted, utf8, with_row
 from texelyard.llm.components import connected
 from texelyard.session import ship_package, stage
 
@@ -54,7 +54,7 @@ def _signed(value: int) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``row`` (all columns of ``docs``) and ``fp``, the fingerprint as a signed long."""
     rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(text).alias("text"))
-    return map_text(rows, _fingerprints(shingle), f"row {rows.schema['row'].dataType.simpleString()}, fp long")
+    return map_text(rows, _fingerprints(shingle), with_row(rows, "fp long"))
 
 
 def _fingerprints(shingle: int):

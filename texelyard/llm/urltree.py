@@ -95,7 +95,8 @@ def judge_templates(counted: DataFrame, smoothing: float = SMOOTHING, similar_z:
     the same rest are put in order of their smoothed share of bad labels; a
     neighbour joins the group unless the two-proportion z of their labels reaches
     ``similar_z``. A node has at most as many constant branches as the fan-out, so
-    the windows are small. The smoothed share leans on the overall one by ``smoothing`` labels.
+    the windows are small. The smoothed share leans on the overall one by ``smoothing`` labels; a group without
+    any label is not rejected.
     """
     bad, labelled = counted.agg(F.sum("bad"), F.sum("labelled")).first()
     prior = ((bad or 0) + 1) / ((labelled or 0) + 2)
@@ -119,7 +120,8 @@ def judge_templates(counted: DataFrame, smoothing: float = SMOOTHING, similar_z:
     total = (F.sum("bad").over(group) + smoothing * prior) / (F.sum("labelled").over(group) + smoothing)
     names = F.array_join(F.array_sort(F.collect_set(F.get("template", F.col("_at"))).over(group)), "|")
     merged = F.when(F.col("_at") < 0, F.col("_key")).otherwise(F.replace("_key", F.lit("{}"), F.concat(F.lit("{"), names, F.lit("}"))))
-    return marked.select("host", "template", merged.alias("merged"), total.alias("purity")).withColumn("rejected", F.col("purity") >= reject)
+    told = marked.select("host", "template", merged.alias("merged"), total.alias("purity"), F.sum("labelled").over(group).alias("_told"))
+    return told.withColumn("rejected", (F.col("_told") > 0) & (F.col("purity") >= reject)).drop("_told")
 
 
 def judge_urls(
