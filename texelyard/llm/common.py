@@ -13,6 +13,8 @@ from texelyard.session import ship_package
 
 # Space, tab, line feed, vertical tab, form feed, carriage return: what bytes.split() splits on.
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -28,8 +30,16 @@ def partitions(spark: SparkSession) -> int:
 def map_text(
     rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
-    """``mapInArrow`` with this package importable in the workers."""
-    ship_package(rows.sparkSession)
+    """``mapInArrow`` with this package importable in the workers and Arrow batches of a few MB.
+
+    Spark fills a batch by rows up to a limit of bytes of the session. Texts vary
+    by orders of magnitude, so that limit is lowered to ``BATCH_BYTES`` if it is higher.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    limit = spark.conf.get(BATCH_LIMIT).rstrip("b")
+    if not limit.isdigit() or int(limit) > BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     return rows.mapInArrow(work, schema)
 
 
