@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import connect, differences
+from texelyard.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches(spark, con, name):
     found = differences(con, entry_points.oracle_sql()[name], entry_points.queries()[name](spark, SF))
     assert found is None, found

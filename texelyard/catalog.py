@@ -410,6 +410,12 @@ def select_mip(spark, d):
     return mips.select_mip(mips.mip_chain(fx.plain_pixels(spark, d), 5), 4).select(*PIXEL)
 
 
+def select_stored_mip(spark, d):
+    """The level count is stored with the texture: nothing is joined."""
+    rows = fx.stored_pixels(spark, d).withColumn("levels", fx.stored_levels(F.col("texture_id")))
+    return mips.select_mip(rows, 2, "levels").select(*PIXEL)
+
+
 def working_format(spark, d):
     seen = "seen_format"
     rows = steps.with_working_format(
@@ -454,6 +460,37 @@ def convert(spark, d):
     return spark.read.parquet(f"{spec.output_dir}/pixels").select(*PIXEL, "kind", "target_format")
 
 
+def convert_keep_mips(spark, d):
+    """No steps and no new levels: stored levels pass, however wrong a stated height is."""
+    spec = JobSpec(
+        input_dir="base/meta",
+        output_dir=new_folder(spark, "converted"),
+        dds_mode=1,
+        dds_format_normal=8,
+        dds_invert_y_normal=True,
+    )
+    key = F.col("texture_id")
+    stated = F.when(key % 3 == 0, F.lit(None)).when(key % 3 == 1, 1).otherwise(F.col("height"))
+    owners = fx.pixel_assets(spark, d).withColumns({"mip_count": fx.stored_levels(key), "height": stated.cast("int")})
+    conversion.convert(owners, fx.stored_pixels(spark, d), spec)
+    return spark.read.parquet(f"{spec.output_dir}/pixels").select(*PIXEL, "kind", "target_format")
+
+
+def convert_collisions(spark, d):
+    """Outputs shared by many inputs, some of which failed, some with equal paths."""
+    key = F.col("texture_id")
+    crowded = F.concat(F.lit("base/meta/"), key % 25, pick_name(key), F.lit(".png"))
+    lost = F.when(key % 4 == 0, F.concat(F.lit("Failed to load: "), key))
+    owners = fx.pixel_assets(spark, d).withColumns({"path": crowded, "load_error": lost})
+    plan = conversion.settled_plan(owners, JobSpec(input_dir="base/meta", output_dir="out", keep_layout=False))
+    return plan.select("texture_id", "path", "output_path", "success", "message")
+
+
+def pick_name(key):
+    """A few names per folder, so that flat outputs and whole paths repeat."""
+    return fx.pick(["/a", "/b", "/a"], fx.div(key, 25) % 3)
+
+
 def convert_files(spark, d):
     spec = JobSpec(input_dir=fx.write_bitmaps(spark, d), output_dir=new_folder(spark, "converted"))
     return conversion.convert_files(spark, spec)
@@ -481,14 +518,24 @@ def batch_summary(spark, d):
 
 
 def archive_summary(spark, d):
-    listing = fx.listing(spark, d)
-    return report.archive_summary(archive.texture_entries(listing), archive.toc_entries(fx.toc(spark, d)), listing)
+    toc = archive.toc_entries(fx.toc(spark, d))
+    return report.archive_summary(fx.listing(spark, d), toc, archive.is_texture(F.col("path")))
+
+
+def archive_summary_empty(spark, d):
+    """The kind of archive with a table of contents, but no entry of the group in it."""
+    toc = archive.toc_entries(fx.toc(spark, d), "Absent")
+    return report.archive_summary(fx.listing(spark, d), toc, archive.is_texture(F.col("path")))
 
 
 def tree_nodes(spark, d):
     return report.tree_nodes(archive.texture_entries(fx.listing(spark, d)), archive.toc_entries(fx.toc(spark, d)), "r")
 
 
+def tree_all(spark, d):
+    return report.tree_nodes(archive.texture_entries(fx.listing(spark, d)), archive.toc_entries(fx.toc(spark, d)), "")
+
+
 def recent_items(spark, d):
     rows = report.recent_items(fx.opens(spark, d))
     return rows.select("user_id", "item", "position", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
@@ -508,13 +555,15 @@ QUERIES = {
         resolve_options, convert_jobs, effective_mips, mip_geometry, can_downscale, upscale_geometry, review_flags,
         search, replace_meta, resolve_companions, resolve_triplet, unavailable_assets, group_format_hash,
         carry_metadata, quantize_u8, grey_reduce, mip_chain, mip_chain_normal, select_mip, working_format,
-        transform_steps, transform_status, batch_plan, convert, convert_files, asset_details, batch_summary,
-        archive_summary, tree_nodes, recent_items, union_catalog,
+        transform_steps, transform_status, batch_plan, convert, convert_keep_mips, convert_collisions, convert_files,
+        asset_details, batch_summary, archive_summary, archive_summary_empty, tree_nodes, tree_all, recent_items,
+        union_catalog, select_stored_mip,
     )
 } | {
     "swap_channels": _on_pixels(lambda df: px.swap(df, "r", "a")),
     "invert_channel": _on_pixels(lambda df: px.invert(df, "g")),
     "bc3n_pack": _on_pixels(lambda df: px.bc3n_pack(df, True)),
+    "bc3n_pack_plain": _on_pixels(px.bc3n_pack),
     "bc3n_unpack": _on_pixels(px.bc3n_unpack),
     "channel_filter_one": _on_pixels(lambda df: px.channel_filter(df, r=False, b=False, a=False)),
     "channel_filter_some": _on_pixels(lambda df: px.channel_filter(df, g=False, a=False)),

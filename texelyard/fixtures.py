@@ -211,6 +211,28 @@ def plain_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).drop("kind", "pixel_format", "channel_kinds")
 
 
+def stored_levels(key):
+    """Levels a texture of :func:`stored_pixels` holds: one to three."""
+    return (key % 3 + 1).cast("int")
+
+
+def stored_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Textures stored with levels of their own, which no box mean gives."""
+    key, mip, pos = F.col("vec_id"), F.col("mip"), F.col("pos")
+    shaped = table(spark, sf_dir, "embeddings").select(
+        "vec_id", pick([w for w, _ in SHAPES], key % 4).alias("width"), pick([h for _, h in SHAPES], key % 4).alias("height")
+    )
+    rows = shaped.withColumn("mip", F.explode(F.sequence(F.lit(0), stored_levels(key) - 1)))
+    rows = rows.withColumn("w", F.expr("greatest(1, shiftright(width, mip))"))
+    rows = rows.withColumn("pos", F.explode(F.expr("sequence(0, w * greatest(1, shiftright(height, mip)) - 1)")))
+    return rows.select(
+        key.alias("texture_id"), "width", "height", "mip",
+        (pos % F.col("w")).alias("x"), F.floor(pos / F.col("w")).cast("int").alias("y"),
+        ((pos * 5 + key + mip * 70) % 256).cast("int").alias("r"), ((pos * 37 + key * 11 + mip) % 256).cast("int").alias("g"),
+        ((pos * pos + key + mip * 3) % 256).cast("int").alias("b"), (255 - (pos * 3 + key + mip) % 64).cast("int").alias("a"),
+    )
+
+
 def pixel_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asset rows that own the pixels."""
     key = F.col("vec_id")

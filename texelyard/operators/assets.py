@@ -56,14 +56,14 @@ def search(df: DataFrame, text: str, column: str = "path") -> DataFrame:
 
 
 def carry_metadata(derived: DataFrame, source: DataFrame) -> DataFrame:
-    """Kind, sRGB flag and (Multikind only) channel kinds of the source asset."""
+    """Kind, sRGB flag and (Multikind only) channel kinds of the source asset, null without one."""
     meta = source.select(
         "texture_id",
         "kind",
         "srgb",
         F.when(F.col("kind") == "Multikind", F.col("channel_kinds")).alias("channel_kinds"),
     )
-    return derived.drop("kind", "srgb", "channel_kinds").join(meta, "texture_id")
+    return derived.drop("kind", "srgb", "channel_kinds").join(meta, "texture_id", "left")
 
 
 def asset_details(df: DataFrame) -> DataFrame:

@@ -59,7 +59,9 @@ def archive_refs(blobs: DataFrame, packed: DataFrame) -> DataFrame:
     role = F.left(F.col("path"), at - 1)
     ident = F.expr("try_cast(substring(path, instr(path, '\\\\') + 1) AS INT)")
     files = blobs.select(role.alias("role"), ident.alias("sno"), "path", "length").filter(
-        F.col("role").isin("base:meta", "base:payload", "base:paylow") & F.col("sno").isNotNull()
+        F.col("role").isin("base:meta", "base:payload", "base:paylow")
+        # The exact name only: "012" and " 12" are other files.
+        & (F.col("path") == F.concat("role", F.lit("\\"), F.col("sno").cast("string")))
     )
 
     def of(role_name, column):

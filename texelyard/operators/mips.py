@@ -16,16 +16,16 @@ from texelyard.functions.formats import can_downscale, max_mips
 from texelyard.functions.lookups import as_col
 from texelyard.operators.pixels import CHANNELS, with_texture
 
-ROW = ("width", "height", "levels", "mip", "x", "y", *CHANNELS, "n", "size", "sums")
+ROW = ("width", "height", "levels", "mip", "x", "y", *CHANNELS, "n", "size", "sums", "deep")
 
-# Width, height, current level and number of levels travel as one BIGINT: rows that
-# are shuffled once per level carry one value for them. With the level read from
-# data, every level of a chain also runs the same generated code.
-PACKED_SIZE = "shiftleft(cast(width AS bigint), 42) + shiftleft(cast(height AS bigint), 12) + levels AS size"
-WIDTH = "shiftright(size, 42)"
-HEIGHT = "(shiftright(size, 12) & 1073741823)"
-LEVEL = "cast(shiftright(size, 6) & 63 AS int)"
-LEVELS = "cast(size & 63 AS int)"
+# Both sides travel as one BIGINT of two whole INTs, current level and number of levels
+# as one INT. With the level read from data, every level of a chain runs the same
+# generated code.
+PACKED_SIZE = ("shiftleft(cast(width AS bigint), 32) + height AS size", "levels AS deep")
+WIDTH = "shiftright(size, 32)"
+HEIGHT = "(size & 4294967295)"
+LEVEL = "shiftright(deep, 6)"
+LEVELS = "(deep & 63)"
 
 
 def _keys(df: DataFrame) -> list:
@@ -39,7 +39,7 @@ def _base(df: DataFrame, levels) -> DataFrame:
     wanted = full if levels is None else F.least(F.greatest(as_col(levels), F.lit(1)), full)
     sums = F.expr(f"struct({', '.join(f'cast({c} AS bigint) AS {c}' for c in CHANNELS)}, 1L AS n)")
     rows = df.filter("mip = 0").withColumn("levels", wanted).withColumn("sums", sums)
-    return rows.selectExpr(*_keys(df), PACKED_SIZE, "x", "y", "sums.*")
+    return rows.selectExpr(*_keys(df), *PACKED_SIZE, "x", "y", "sums.*")
 
 
 def _fold(df: DataFrame, by: int) -> DataFrame:
@@ -54,7 +54,7 @@ def _fold(df: DataFrame, by: int) -> DataFrame:
         return F.expr(f"least(shiftright({axis}, {by}), {last})").alias(axis)
 
     return df.groupBy(*_keys(df), folded("x", WIDTH), folded("y", HEIGHT)).agg(
-        F.expr(f"max(size) + {by * 64} AS size"), *[F.expr(f"sum({c}) AS {c}") for c in (*CHANNELS, "n")]
+        F.expr("max(size) AS size"), F.expr(f"max(deep) + {by * 64} AS deep"), *[F.expr(f"sum({c}) AS {c}") for c in (*CHANNELS, "n")]
     )
 
 
@@ -121,12 +121,15 @@ def downscale(df: DataFrame, drop: int, normals: bool = True) -> DataFrame:
     )
 
 
-def select_mip(df: DataFrame, index: int) -> DataFrame:
+def select_mip(df: DataFrame, index: int, levels: str | None = None) -> DataFrame:
     """One level per texture, the last available when ``index`` is past it.
 
     Rows deeper than ``index`` are filtered at the scan; what is left to find is
-    the deepest remaining level per texture, one row each.
+    the deepest remaining level per texture, one row each. ``levels`` names a
+    column that holds a texture's stored level count: with it nothing is joined.
     """
     upto = df.filter(F.col("mip") <= index)
-    last = upto.groupBy("texture_id").agg(F.max("mip").alias("_last"), F.max("height").alias("height"))
+    if levels:
+        return upto.filter(F.col("mip") == F.least(F.lit(index), F.col(levels) - 1))
+    last = upto.groupBy("texture_id").agg(F.max("mip").alias("_last"))
     return with_texture(upto, last).filter(F.col("mip") == F.col("_last")).drop("_last").select(*df.columns)

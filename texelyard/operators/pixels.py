@@ -11,19 +11,23 @@ from texelyard.functions.lookups import as_col
 
 CHANNELS = ("r", "g", "b", "a")
 BAND_BITS = 6  # pixel rows per join band: 64
+SALTS = 32  # what a texture's bands are dealt to, whatever its height
 
 
 def with_texture(df: DataFrame, textures: DataFrame) -> DataFrame:
-    """Join per-texture columns (texture_id, height, ...) onto pixel rows of any level.
+    """Join per-texture columns that pixel rows lack onto pixel rows of any level.
 
-    The key is the texture and a band of rows, the texture side being repeated
-    once per band it has. A shuffled join then spreads a huge texture over many
-    tasks, and the aggregations after it cannot inherit a partitioning that
-    keeps each texture in one task.
+    The key is the texture and a band of rows modulo a fixed number, the texture
+    side being repeated once for each. A shuffled join then spreads a huge texture
+    over many tasks, the aggregations after it cannot inherit a partitioning that
+    keeps each texture in one task, and no pixel is lost to a wrong or missing
+    height.
     """
-    bands = F.sequence(F.lit(0), F.shiftright(F.greatest(F.col("height"), F.lit(1)) - 1, BAND_BITS))
-    keyed = textures.withColumn("_band", F.explode(bands)).drop("height")
-    return df.withColumn("_band", F.shiftright("y", BAND_BITS)).join(keyed, ["texture_id", "_band"]).drop("_band")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    held = [c for c in textures.columns if c in df.columns and c != "texture_id"]
+    keyed = textures.drop(*held).withColumn("_band", F.explode(salts))
+    band = F.pmod(F.shiftright("y", BAND_BITS), F.lit(SALTS))
+    return df.withColumn("_band", band).join(keyed, ["texture_id", "_band"]).drop("_band")
 
 
 def swap(df: DataFrame, one: str, two: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from texelyard.functions import rules
@@ -30,21 +30,22 @@ def batch_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def archive_summary(listing: DataFrame, toc: DataFrame, file_count: DataFrame) -> DataFrame:
-    """Supported textures of an archive, in one aggregate over both sources.
+def archive_summary(listing: DataFrame, toc: DataFrame, supported: Column, is_split: bool = True) -> DataFrame:
+    """Supported textures of an archive, in one aggregate and one pass over both sources.
 
-    ``listing`` and ``toc`` are already filtered; ``file_count`` is the whole listing.
+    ``listing`` is whole and ``supported`` tells its textures; ``toc`` is already
+    filtered. ``is_split`` says that the archive is of the kind with a table of
+    contents, whose summary names both parts even if one is empty.
     """
-    tagged = (
-        listing.select(F.lit("other").alias("part"))
-        .unionAll(toc.select(F.lit("d4").alias("part")))
-        .unionAll(file_count.select(F.lit("all").alias("part")))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    tagged = listing.select(none.alias("d4"), F.coalesce(supported, F.lit(False)).cast("long").alias("other"), one.alias("all")).unionAll(
+        toc.select(one.alias("d4"), none.alias("other"), none.alias("all"))
     )
-    sums = tagged.agg(*[F.count_if(F.col("part") == p).alias(p) for p in ("d4", "other", "all")])
+    sums = tagged.agg(*[F.coalesce(F.sum(p), none).alias(p) for p in ("d4", "other", "all")])
     split = F.format_string(" (%d D4 TEX + %d other)", "d4", "other")
     status = F.concat(
         F.format_string("Opened: %d supported textures found", F.col("d4") + F.col("other")),
-        F.when(F.col("d4") > 0, split).otherwise(""),
+        split if is_split else F.lit(""),
         F.format_string(" (of %d total files).", "all"),
     )
     return sums.select(

@@ -22,21 +22,30 @@ def blocked_running_sum(
     block); only one partial sum per block is summed over the group as a whole.
     ``total`` names an optional column with the sum over the group.
     """
-    rows = df.withColumns({"_block": block, "_value": value})
-    sums = rows.groupBy(group, "_block").agg(F.sum("_value").alias("_sum"))
-    per_group = Window.partitionBy(group)
-    earlier = per_group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # A key of two values that are never null: window, sums and join then share one exchange,
+    # and rows without a group or block keep their own running sum.
+    key = ["_group", "_no_group", "_block", "_no_block"]
+    kind = df.schema[group].dataType
+    spare = F.lit("") if kind.typeName() == "string" else F.lit(0)
+    rows = df.withColumns({"_value": value, "_at": block}).withColumns(
+        {
+            "_group": F.coalesce(F.col(group), spare.cast(kind)),
+            "_no_group": F.isnull(group),
+            "_block": F.coalesce(F.col("_at").cast("long"), F.lit(0)),
+            "_no_block": F.isnull("_at"),
+        }
+    )
+    sums = rows.groupBy(*key).agg(F.sum("_value").alias("_sum"))
+    per_group = Window.partitionBy("_group", "_no_group")
+    earlier = per_group.orderBy(F.desc("_no_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        F.col(group).alias("_group"),
-        F.col("_block").alias("_offset_block"),
+        *key,
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_sum").over(per_group).alias("_total"),
     )
-    inside = Window.partitionBy(group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    # Null-safe, so rows without a group or block keep their own running sum.
-    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_block").eqNullSafe(F.col("_offset_block"))
-    joined = local.join(offsets, same)
+    joined = local.join(offsets, key)
     out = [F.col(c) for c in df.columns] + [(F.col("_offset") + F.col("_local")).alias(before)]
     if total:
         out.append(F.col("_total").alias(total))

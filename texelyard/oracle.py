@@ -140,6 +140,13 @@ VIEWS = {
           CAST(255 - (pos * 3 + vec_id) % 64 AS INTEGER) AS a
         FROM (SELECT vec_id, embedding, w, h, unnest(range(w * h)) AS pos FROM (
           SELECT *, {pick([w for w, _ in fx.SHAPES], 'vec_id % 4')} AS w, {pick([h for _, h in fx.SHAPES], 'vec_id % 4')} AS h FROM embeddings))""",
+    "stored": f"""
+        SELECT vec_id AS texture_id, width, height, CAST(mip AS INTEGER) AS mip, CAST(pos % w AS INTEGER) AS x, CAST(pos // w AS INTEGER) AS y,
+          CAST((pos * 5 + vec_id + mip * 70) % 256 AS INTEGER) AS r, CAST((pos * 37 + vec_id * 11 + mip) % 256 AS INTEGER) AS g,
+          CAST((pos * pos + vec_id + mip * 3) % 256 AS INTEGER) AS b, CAST(255 - (pos * 3 + vec_id + mip) % 64 AS INTEGER) AS a
+        FROM (SELECT *, unnest(range(w * greatest(1, height >> mip))) AS pos FROM (
+          SELECT *, greatest(1, width >> mip) AS w FROM (SELECT *, CAST(unnest(range(vec_id % 3 + 1)) AS INTEGER) AS mip FROM (
+            SELECT vec_id, {pick([w for w, _ in fx.SHAPES], 'vec_id % 4')} AS width, {pick([h for _, h in fx.SHAPES], 'vec_id % 4')} AS height FROM embeddings))))""",
     "pixel_assets": f"""
         SELECT vec_id AS texture_id, 'base/meta/' || label || '/img' || vec_id || {pick(["_nrm", "_orm", "_rough", "_diff"], '(vec_id // 4) % 4')}
             || {pick([".png", ".TGA", ".bmp", ".txt"], '(vec_id // 16) % 4')} AS path
@@ -309,18 +316,38 @@ def _jobs() -> str:
         CASE WHEN {ok} AND to_blp THEN {code} END AS blp_code, {ok} AS success, error FROM j3"""
 
 
+def _written(source: str, kept: str) -> str:
+    """Rows as a DDS batch writes them, with the channel edits of normal maps."""
+    normal = "kind = 'Normal'"
+    target = f"CASE WHEN {normal} THEN 'BC3' WHEN {isin('kind', rules.CHANNEL_MAP_KINDS)} THEN 'BC4' ELSE 'BC7' END"
+    return (
+        f"{kept} SELECT texture_id, width, height, mip, x, y, CASE WHEN {normal} THEN a ELSE r END AS r, CASE WHEN {normal} THEN 255 - g ELSE g END AS g, "
+        f"b, CASE WHEN {normal} THEN r ELSE a END AS a, kind, {target} AS target_format FROM {source}"
+    )
+
+
+def _convert_keep() -> str:
+    named = f"""{with_('stored', 'pixel_assets')}, named AS (SELECT texture_id, {kind_of('path', "'RGBA8'")} AS kind FROM pixel_assets
+        WHERE {file_format('path')} <> 'Unknown'), src AS (SELECT s.*, n.kind FROM stored s JOIN named n USING (texture_id))"""
+    return _written("src", named)
+
+
+def _collisions() -> str:
+    return """WITH crowd AS (SELECT vec_id AS texture_id, 'base/meta/' || (vec_id % 25) || CASE (vec_id // 25) % 3 WHEN 1 THEN '/b' ELSE '/a' END AS stem,
+          'out/' || CASE (vec_id // 25) % 3 WHEN 1 THEN 'b' ELSE 'a' END || '.dds' AS output_path,
+          CASE WHEN vec_id % 4 = 0 THEN 'Failed to load: ' || vec_id END AS lost FROM embeddings),
+        first AS (SELECT output_path, arg_min(texture_id, (stem || '.png', texture_id)) AS won FROM crowd WHERE lost IS NULL GROUP BY 1)
+      SELECT texture_id, stem || '.png' AS path, output_path, lost IS NULL AND texture_id = won AS success,
+        coalesce(lost, CASE WHEN texture_id <> won THEN 'Another file has the same output path' END) AS message FROM crowd LEFT JOIN first USING (output_path)"""
+
+
 def _convert() -> str:
     joined = f"""{with_('pixels', 'pixel_assets')}, named AS (SELECT texture_id, {kind_of('path', "'RGBA8'")} AS kind FROM pixel_assets
         WHERE {file_format('path')} <> 'Unknown'),
       src AS (SELECT p.* EXCLUDE (kind, pixel_format), n.kind FROM pixels p JOIN named n USING (texture_id)),
       small AS ({_down('src', 1, True, 'kind')}),
       chain AS ({_levels('small', _full(), True, 'kind')})"""
-    normal = "kind = 'Normal'"
-    target = f"CASE WHEN {normal} THEN 'BC3' WHEN {isin('kind', rules.CHANNEL_MAP_KINDS)} THEN 'BC4' ELSE 'BC7' END"
-    return (
-        f"{joined} SELECT texture_id, width, height, mip, x, y, CASE WHEN {normal} THEN a ELSE r END AS r, CASE WHEN {normal} THEN 255 - g ELSE g END AS g, "
-        f"b, CASE WHEN {normal} THEN r ELSE a END AS a, kind, {target} AS target_format FROM chain"
-    )
+    return _written("chain", joined)
 
 
 def _blob_entries() -> str:
@@ -330,16 +357,16 @@ def _blob_entries() -> str:
       WHERE i < k AND magic = {rules.PACKED_MAGIC} AND cut NOT IN ('five', 'twelve') AND NOT (cut = 'short' AND i = k - 1) AND (l_suppkey + least(i, 1)) % 11 <> 0"""
 
 
-def _tree() -> str:
+def _tree(text: str) -> str:
     folder = rules.VIRTUAL_FOLDER
     return f"""{with_('assets', 'listing', 'entries', 'toc', 'toc_tex')},
-      split AS (SELECT path, string_split(path, '/') AS seg FROM entries WHERE contains(lower(path), 'r')),
+      split AS (SELECT path, string_split(path, '/') AS seg FROM entries WHERE contains(lower(path), '{text}')),
       parts AS (SELECT path, seg, unnest(range(1, len(seg) + 1)) AS depth FROM split),
       nodes AS (SELECT array_to_string(seg[1:depth], '/') AS node_path, array_to_string(seg[1:depth - 1], '/') AS parent_path, seg[depth] AS name,
         CAST(depth AS INTEGER) AS depth, arg_min(depth = len(seg), path) AS is_file, CAST(NULL AS INTEGER) AS sno FROM parts GROUP BY 1, 2, 3, 4)
       SELECT * FROM nodes
       UNION ALL SELECT '{folder}', '', '{folder}', 1, false, NULL WHERE EXISTS (SELECT 1 FROM toc_tex)
-      UNION ALL SELECT '{folder}/' || name || '.tex', '{folder}', name || '.tex', 2, true, sno FROM toc_tex WHERE contains(lower(name || '.tex'), 'r')"""
+      UNION ALL SELECT '{folder}/' || name || '.tex', '{folder}', name || '.tex', 2, true, sno FROM toc_tex WHERE contains(lower(name || '.tex'), '{text}')"""
 
 
 def _display() -> str:
@@ -458,6 +485,7 @@ def _statements() -> dict[str, str]:
         "swap_channels": _pixels(r="a", a="r"),
         "invert_channel": _pixels(g="255 - g"),
         "bc3n_pack": _pixels(r="a", g="255 - g", a="r"),
+        "bc3n_pack_plain": _pixels(r="a", a="r"),
         "bc3n_unpack": _pixels(r="a", g="255 - g", a="r"),
         "channel_filter_one": _pixels(r="g", b="g", a="255"),
         "channel_filter_some": _pixels(g="0", a="255"),
@@ -478,6 +506,7 @@ def _statements() -> dict[str, str]:
         "downscale_x4": f"{with_('pixels')} {_down('pixels', 2)}",
         "select_mip": f"""{with_('pixels')}, chain AS ({_levels('pixels', f'least(5, {_full()})', False)})
             SELECT {PIXEL} FROM chain WHERE mip = least(4, {_full()} - 1)""",
+        "select_stored_mip": f"{with_('stored')} SELECT {PIXEL} FROM stored WHERE mip = least(2, texture_id % 3)",
         "working_format": _pixels(g="255 - g", extra=f", pixel_format, {working('pixel_format')} AS seen_format"),
         "transform_steps": f"""{with_('pixels')}, fit AS (SELECT * FROM pixels WHERE width >= 4 AND height >= 4),
             one AS ({_down('fit', 2)}), two AS ({_up('one', 3)}) {_down('two', 1)}""",
@@ -488,6 +517,8 @@ def _statements() -> dict[str, str]:
             CASE WHEN NOT ok THEN 0 END AS failed_step, CASE WHEN NOT ok THEN {q(rules.TOO_SMALL)} END AS message FROM st""",
         "batch_plan": f"{plan} SELECT * FROM planned",
         "convert": _convert(),
+        "convert_keep_mips": _convert_keep(),
+        "convert_collisions": _collisions(),
         "convert_files": f"""{with_('bitmaps')} SELECT total, total AS processed, good AS success, total - good AS fail, true AS done, 1.0::DOUBLE AS fraction,
             'Batch complete: ' || good || ' succeeded, ' || (total - good) || ' failed out of ' || total || ' files.' AS message
             FROM (SELECT count(*) AS total, count(*) FILTER (WHERE slot NOT IN (7, 8)) AS good FROM bitmaps)""",
@@ -499,7 +530,11 @@ def _statements() -> dict[str, str]:
         "archive_summary": f"""{with_('assets', 'listing', 'entries', 'toc', 'toc_tex')}, c AS (SELECT (SELECT count(*) FROM toc_tex) AS d4, (SELECT count(*) FROM entries) AS other,
             (SELECT count(*) FROM listing) AS total) SELECT d4 + other AS supported, d4 AS d4_textures, other AS other_textures, total AS total_files,
             'Opened: ' || (d4 + other) || ' supported textures found (' || d4 || ' D4 TEX + ' || other || ' other) (of ' || total || ' total files).' AS status FROM c""",
-        "tree_nodes": _tree(),
+        "archive_summary_empty": f"""{with_('assets', 'listing', 'entries')}, c AS (SELECT (SELECT count(*) FROM entries) AS other, (SELECT count(*) FROM listing) AS total)
+            SELECT other AS supported, 0::BIGINT AS d4_textures, other AS other_textures, total AS total_files,
+            'Opened: ' || other || ' supported textures found (0 D4 TEX + ' || other || ' other) (of ' || total || ' total files).' AS status FROM c""",
+        "tree_nodes": _tree("r"),
+        "tree_all": _tree(""),
         "recent_items": """WITH latest AS (SELECT user_id, event_type || '/' || (props->>'$.k') AS item, max(ts) AS ts FROM events GROUP BY 1, 2)
             SELECT user_id, item, CAST(position AS INTEGER) AS position, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item) AS position FROM latest) WHERE position <= 10""",

@@ -11,8 +11,8 @@ from texelyard.operators.report import batch_summary
 from texelyard.operators.steps import apply_step
 from texelyard.plans.planning import PLAN_COLUMNS, batch_columns, mark_collisions
 from texelyard.session import stage
-from texelyard.sources.files import judge_loads, load_images, strip_scheme
-from texelyard.sources.sinks import NO_MATCH, guard_sink, write_converted
+from texelyard.sources.files import judge_loads, load_images, scan_assets, strip_scheme
+from texelyard.sources.sinks import NO_MATCH, guard_sink, refuse_existing, write_converted
 from texelyard.spec import JobSpec
 
 DUPLICATE = "Another file has the same output path"
@@ -21,12 +21,11 @@ DUPLICATE = "Another file has the same output path"
 def settled_plan(assets: DataFrame, spec: JobSpec) -> DataFrame:
     """Plan with output collisions rejected, staged so it is computed once."""
     planned = batch_columns(assets, spec)
-    kept = [c for c in ("height", *PLAN_COLUMNS) if c in planned.columns]
-    marked = mark_collisions(planned.select(*kept))
-    clash = F.col("success") & F.col("is_duplicate")
+    kept = [c for c in PLAN_COLUMNS if c in planned.columns]
+    marked = mark_collisions(planned.select(*kept), F.col("success"))
     settled = marked.withColumns(
         {
-            "message": F.when(clash, DUPLICATE).otherwise(F.col("message")),
+            "message": F.when(F.col("is_duplicate"), DUPLICATE).otherwise(F.col("message")),
             "success": F.col("success") & ~F.col("is_duplicate"),
         }
     ).drop("is_duplicate")
@@ -36,15 +35,19 @@ def settled_plan(assets: DataFrame, spec: JobSpec) -> DataFrame:
 def convert_pixels(plan: DataFrame, pixel_rows: DataFrame, spec: JobSpec) -> DataFrame:
     """Converted pixel rows of the assets the plan lets through.
 
-    The plan side of the only join is a few columns per texture; Spark picks the
-    join by its measured size.
+    Levels are made only where the job asks for them or a step made the stored ones
+    stale; else every stored level that the plan counts goes through. The plan
+    side of the only join is a few columns per texture; Spark picks the join by
+    its measured size.
     """
     wanted = plan.filter("success")
-    columns = ["texture_id", "height", "kind", "target_format", "out_mips", "invert_g", "swap_ra"]
+    columns = ["texture_id", "kind", "target_format", "out_mips", "invert_g", "swap_ra"]
     if any(s.type == "upscale" for s in spec.steps):
         columns.append("channel_kinds")
-    base = pixel_rows.filter(F.col("mip") == 0).select("texture_id", "width", "height", "mip", "x", "y", *CHANNELS)
-    rows = with_texture(base, wanted.select(*columns))
+    stored = pixel_rows.select("texture_id", "width", "height", "mip", "x", "y", *CHANNELS)
+    if not spec.steps and not spec.generate_mipmaps:
+        return edit_channels(with_texture(stored, wanted.select(*columns)).filter(F.col("mip") < F.col("out_mips")))
+    rows = with_texture(stored.filter(F.col("mip") == 0), wanted.select(*columns))
     for step in spec.steps:
         rows = apply_step(rows, step)
     deepest = wanted.agg(F.max("out_mips")).first()[0] or 1
@@ -70,12 +73,14 @@ def convert(assets: DataFrame, pixel_rows: DataFrame, spec: JobSpec, overwrite:
 def convert_files(spark: SparkSession, spec: JobSpec, overwrite: bool = False) -> DataFrame:
     """Batch over a directory of image files; raises when the batch may not start."""
     reason = guard_sink(spark, spec.input_dir, spec.output_dir)
+    if reason is None and scan_assets(spark, spec.input_dir, spec.recursive, spec.formats).isEmpty():
+        reason = NO_MATCH  # from the listing: nothing is decoded before the checks
     if reason:
         raise ValueError(reason)
+    if not overwrite:
+        refuse_existing(spark, spec.output_dir)
     pixel_rows, outcome = load_images(spark, spec.input_dir, spec.recursive, spec.formats)
     loads = judge_loads(outcome)
-    if loads.isEmpty():
-        raise ValueError(NO_MATCH)
     failed = F.concat(F.lit("Failed to load: "), F.col("path"), F.array_join(
         F.transform("issues", lambda issue: F.concat(F.lit("\n  "), issue)), ""))
     assets = loads.select(

@@ -89,16 +89,19 @@ def plan_output(df: DataFrame, spec: JobSpec) -> DataFrame:
     return df.withColumn("output_path", output_path(F.col("path"), spec))
 
 
-def mark_collisions(plan: DataFrame) -> DataFrame:
-    """Add ``is_duplicate``: another asset with a lower path has the same output.
+def mark_collisions(plan: DataFrame, among: Column | None = None) -> DataFrame:
+    """Add ``is_duplicate``: another asset has the same output and goes before this one.
 
-    The lowest path per output is a map-side combined minimum. It is joined back
-    on the input path, which is unique, so a name shared by many files is no
-    hot join key.
+    The lowest path per output goes first, of equal paths the lowest id. With
+    ``among`` only rows for which it holds take part; the others are no duplicates. The winner is
+    a map-side combined minimum, joined back on path and id, so a name
+    shared by many files is no hot join key.
     """
-    winners = plan.groupBy("output_path").agg(F.min("path").alias("_winner")).select("_winner")
-    marked = plan.join(winners, F.col("path") == F.col("_winner"), "left")
-    return marked.withColumn("is_duplicate", F.col("_winner").isNull()).drop("_winner")
+    taking = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    key = [c for c in ("path", "texture_id") if c in plan.columns]
+    winners = plan.filter(taking).groupBy("output_path").agg(F.min(F.struct(*key)).alias("_first"))
+    marked = plan.join(winners.select("_first.*", F.lit(True).alias("_won")), key, "left")
+    return marked.withColumn("is_duplicate", taking & F.col("_won").isNull()).select(*plan.columns, "is_duplicate")
 
 
 PLAN_COLUMNS = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texelyard.functions import paths, rules
@@ -11,9 +11,14 @@ from texelyard.functions.lookups import as_col
 from texelyard.operators.packed import packed_entries
 
 
+def is_texture(path: Column) -> Column:
+    """Whether a listed name has one of the known extensions."""
+    return paths.entry_ext(path).isin(list(rules.FORMAT_OF_EXT))
+
+
 def texture_entries(listing: DataFrame) -> DataFrame:
     """Listing names with one of the known extensions, unsorted."""
-    return listing.filter(paths.entry_ext(F.col("path")).isin(list(rules.FORMAT_OF_EXT)))
+    return listing.filter(is_texture(F.col("path")))
 
 
 def supported_listing(listing: DataFrame) -> DataFrame:

@@ -127,15 +127,16 @@ def judge_loads(df: DataFrame) -> DataFrame:
     Reads ``file_format, has_result, issues`` and, when present, ``from_buffer``
     and ``is_d4``. DDS and TEX read from a path fail on any issue, as do split
     TEX files; other loads fail only without a result, and a parser that fails
-    in silence gets a generic issue.
+    in silence gets a generic issue. A null flag counts as false and a null format as
+    unknown, so every row is either loaded or rejected.
     """
-    fmt = F.col("file_format")
-    buffered = F.col("from_buffer") if "from_buffer" in df.columns else F.lit(False)
-    d4 = (F.col("is_d4") & (fmt == "TEX")) if "is_d4" in df.columns else F.lit(False)
+    fmt = F.coalesce("file_format", F.lit("Unknown"))
+    buffered = F.coalesce("from_buffer", F.lit(False)) if "from_buffer" in df.columns else F.lit(False)
+    d4 = (F.coalesce("is_d4", F.lit(False)) & (fmt == "TEX")) if "is_d4" in df.columns else F.lit(False)
     unsupported = fmt == "Unknown"
     strict = d4 | (fmt.isin("DDS", "TEX") & ~buffered)
-    noisy = F.size("issues") > 0
-    success = ~unsupported & F.col("has_result") & ~(strict & noisy)
+    noisy = F.coalesce(F.size("issues"), F.lit(0)) > 0
+    success = ~unsupported & F.coalesce("has_result", F.lit(False)) & ~(strict & noisy)
     none = F.array().cast("array<string>")
     generic = F.when(d4, F.array(F.lit("Unknown D4 TEX parse error"))).when(
         ~strict, F.array(F.concat(F.lit("Unknown "), fmt, F.lit(" parse error")))

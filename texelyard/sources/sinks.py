@@ -38,16 +38,26 @@ def guard_sink(spark: SparkSession, input_dir: str, output_dir: str, matches: Da
     return None
 
 
+def refuse_existing(spark: SparkSession, folder: str) -> None:
+    """Raise if a batch has been written to ``folder`` before."""
+    for part in ("pixels", "manifest"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            raise FileExistsError(f"{folder} already exists: it holds the output of another batch")
+
+
 def write_converted(pixel_rows: DataFrame, manifest: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
     """Write converted pixels and the manifest of planned output paths.
 
     Pixels go to one folder per target format and are not shuffled for it, so a
     format that holds most rows stays spread over all tasks. The manifest maps
-    ``texture_id`` to ``output_path``. Existing output is an error unless
-    ``overwrite`` is confirmed. Returns rows written per target format.
+    ``texture_id`` to ``output_path`` and is written last, so there is none for pixels
+    that failed. Existing output is an error unless ``overwrite`` is confirmed. Returns rows written per target format.
     """
     mode = "overwrite" if overwrite else "errorifexists"
-    manifest.write.mode(mode).parquet(f"{folder}/manifest")
+    if not overwrite:
+        refuse_existing(manifest.sparkSession, folder)
     pixel_rows.write.mode(mode).partitionBy("target_format").parquet(f"{folder}/pixels")
+    manifest.write.mode(mode).parquet(f"{folder}/manifest")
     written = manifest.sparkSession.read.parquet(f"{folder}/pixels")
     return written.groupBy("target_format").agg(F.count(F.lit(1)).alias("pixels"))
