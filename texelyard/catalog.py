@@ -425,7 +425,22 @@ def working_format(spark, d):
 
 
 def transform_steps(spark, d):
-    _, _, rows = steps.run_steps(fx.pixel_assets(spark, d), fx.plain_pixels(spark, d), TWO_STEPS)
+    """Rows of each texture, with as many levels as the steps leave it."""
+    _, _, rows = steps.run_steps(_levelled(spark, d), fx.plain_pixels(spark, d), TWO_STEPS)
+    return rows.select(*PIXEL)
+
+
+def _levelled(spark, d):
+    return fx.pixel_assets(spark, d).withColumn("mip_count", (F.col("texture_id") % 4 + 1).cast("int"))
+
+
+def transform_upscaled(spark, d):
+    _, _, rows = steps.run_steps(_levelled(spark, d), fx.plain_pixels(spark, d), (Step("upscale", scale=2),))
+    return rows.select(*PIXEL)
+
+
+def transform_downscaled(spark, d):
+    _, _, rows = steps.run_steps(_levelled(spark, d), fx.plain_pixels(spark, d), (Step("downscale"),))
     return rows.select(*PIXEL)
 
 
@@ -555,7 +570,7 @@ QUERIES = {
         resolve_options, convert_jobs, effective_mips, mip_geometry, can_downscale, upscale_geometry, review_flags,
         search, replace_meta, resolve_companions, resolve_triplet, unavailable_assets, group_format_hash,
         carry_metadata, quantize_u8, grey_reduce, mip_chain, mip_chain_normal, select_mip, working_format,
-        transform_steps, transform_status, batch_plan, convert, convert_keep_mips, convert_collisions, convert_files,
+        transform_steps, transform_upscaled, transform_downscaled, transform_status, batch_plan, convert, convert_keep_mips, convert_collisions, convert_files,
         asset_details, batch_summary, archive_summary, archive_summary_empty, tree_nodes, tree_all, recent_items,
         union_catalog, select_stored_mip,
     )

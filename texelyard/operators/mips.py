@@ -103,20 +103,25 @@ def mip_chain(df: DataFrame, levels=None, normals: bool = True, deepest_level: i
     return reduce(DataFrame.unionAll, out)
 
 
-def downscale(df: DataFrame, drop: int, normals: bool = True) -> DataFrame:
+def downscale(df: DataFrame, drop: int, normals: bool = True, levels=None, deepest_level: int = 0) -> DataFrame:
     """Halve sides ``drop`` times: level ``drop`` becomes level 0.
 
-    One aggregate straight from level 0, combined on the map side. Textures too
-    small for it are left out; :func:`texelyard.operators.steps.run_steps`
-    reports them.
+    One aggregate straight from level 0, combined on the map side. With ``levels``,
+    the texture's level count before, the levels below follow, each folded from
+    the one above; ``deepest_level`` is the largest such count. Textures too small
+    for it are left out; :func:`texelyard.operators.steps.run_steps` reports them.
     """
     fits = df.filter(can_downscale(F.col("width"), F.col("height"), drop))
-    small = _values(_fold(_base(fits, 1), drop), normals)
-    return small.withColumns(
+    sums = _fold(_base(fits, 1 if levels is None else levels), drop)
+    out = [_values(sums, normals)]
+    for _ in range(drop + 1, deepest_level):
+        sums = _fold(sums, 1)
+        out.append(_values(sums.filter(f"{LEVELS} > {LEVEL}"), normals))
+    return reduce(DataFrame.unionAll, out).withColumns(
         {
             "width": F.shiftright("width", drop),
             "height": F.shiftright("height", drop),
-            "mip": F.lit(0),
+            "mip": F.col("mip") - drop,
         }
     )
 

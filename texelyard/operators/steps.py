@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from texelyard.functions import formats, rules
 from texelyard.operators import mips, pixels
+from texelyard.operators.pixels import with_texture
 from texelyard.spec import Step
 
 
@@ -36,11 +37,29 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
     return pixels.upscale(df, step.scale, step.alpha)
 
 
+def apply_steps(df: DataFrame, steps, levels: str, deepest_level: int) -> DataFrame:
+    """Apply steps to level-0 rows and give each texture ``levels`` levels in the end.
+
+    ``levels`` names the column with the level count after all steps, at most
+    ``deepest_level``. Only the last step decides the levels below level 0: a
+    downscale keeps those of the chain it drops from, an upscale makes them anew.
+    """
+    *first, last = steps
+    for step in first:
+        df = apply_step(df, step)
+    if last.type == "downscale":
+        rows = mips.downscale(df, last.levels, levels=F.col(levels) + last.levels, deepest_level=deepest_level + last.levels)
+    else:
+        rows = mips.mip_chain(apply_step(df, last), F.col(levels), deepest_level=deepest_level)
+    return rows
+
+
 def run_steps(textures: DataFrame, pixel_rows: DataFrame, steps) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply steps to assets; returns (done, failed, pixels of the done ones).
 
     A step fails on sizes only, and pixel rows carry theirs, so failing assets
-    are filtered out of the pixels up front: no join per step.
+    are filtered out of the pixels up front: no join per step. One join brings
+    the level counts, and the rows have as many levels as ``mip_count`` says.
     """
     after = fold_geometry(F.col("width"), F.col("height"), F.col("mip_count"), steps)
     status = textures.withColumn("failed_step", after["failed_step"])
@@ -48,9 +67,11 @@ def run_steps(textures: DataFrame, pixel_rows: DataFrame, steps) -> tuple[DataFr
     sides = {c: after[c] for c in ("width", "height", "mip_count")}
     done = status.filter(F.col("failed_step").isNull()).drop("failed_step").withColumns(sides)
     guard = fold_geometry(F.col("width"), F.col("height"), F.lit(1), steps)["failed_step"]
-    rows = pixel_rows.filter((F.col("mip") == 0) & guard.isNull())
-    for step in steps:
-        rows = apply_step(rows, step)
+    rows = pixel_rows.filter(((F.col("mip") == 0) & guard.isNull()) if steps else F.lit(True))
+    if steps:
+        counted = with_texture(rows, done.select("texture_id", F.col("mip_count").alias("_levels")))
+        deepest = done.agg(F.max("mip_count")).first()[0] or 1
+        rows = apply_steps(counted, steps, "_levels", deepest).drop("_levels")
     return done, failed, rows
 
 

@@ -226,6 +226,15 @@ def _down(source, k, normals=False, keep=""):
     )
 
 
+def _dropped(source, k, left):
+    """:func:`_down` with the ``left`` levels that remain from level ``k`` on."""
+    chain = _levels(f"(SELECT *, {left} AS lv FROM {source} WHERE (width >> {k}) >= 1 AND (height >> {k}) >= 1)", f"lv + {k}", False)
+    return (
+        f"SELECT texture_id, CAST(width >> {k} AS INTEGER) AS width, CAST(height >> {k} AS INTEGER) AS height, mip - {k} AS mip, x, y, r, g, b, a "
+        f"FROM ({chain}) WHERE mip >= {k}"
+    )
+
+
 def _up(source, s, r="r", g="g", b="b", a="a"):
     return (
         f"SELECT texture_id, CAST(width * {s} AS INTEGER) AS width, CAST(height * {s} AS INTEGER) AS height, mip, "
@@ -509,7 +518,10 @@ def _statements() -> dict[str, str]:
         "select_stored_mip": f"{with_('stored')} SELECT {PIXEL} FROM stored WHERE mip = least(2, texture_id % 3)",
         "working_format": _pixels(g="255 - g", extra=f", pixel_format, {working('pixel_format')} AS seen_format"),
         "transform_steps": f"""{with_('pixels')}, fit AS (SELECT * FROM pixels WHERE width >= 4 AND height >= 4),
-            one AS ({_down('fit', 2)}), two AS ({_up('one', 3)}) {_down('two', 1)}""",
+            one AS ({_down('fit', 2)}), two AS ({_up('one', 3)}) {_dropped('two', 1, f"CASE WHEN texture_id % 4 = 3 THEN 2 ELSE 1 END")}""",
+        "transform_downscaled": f"{with_('pixels')} {_dropped('pixels', 1, 'greatest(texture_id % 4, 1)')}",
+        "transform_upscaled": f"""{with_('pixels')}, big AS (SELECT *, CASE WHEN texture_id % 4 > 0 THEN texture_id % 4 + 2 ELSE 1 END AS lv FROM ({_up('pixels', 2, a='255')}))
+            {_levels('big', 'lv', False)}""",
         "transform_status": f"""{a}, st AS (SELECT *, width >= 4 AND height >= 4 AS ok FROM assets)
             SELECT texture_id, CAST(CASE WHEN ok THEN ((width >> 2) * 3) >> 1 ELSE width END AS INTEGER) AS width,
             CAST(CASE WHEN ok THEN ((height >> 2) * 3) >> 1 ELSE height END AS INTEGER) AS height,

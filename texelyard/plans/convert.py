@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from texelyard.operators.mips import mip_chain
 from texelyard.operators.pixels import CHANNELS, with_texture
 from texelyard.operators.report import batch_summary
-from texelyard.operators.steps import apply_step
+from texelyard.operators.steps import apply_step, apply_steps
 from texelyard.plans.planning import PLAN_COLUMNS, batch_columns, mark_collisions
 from texelyard.session import stage
 from texelyard.sources.files import judge_loads, load_images, scan_assets, strip_scheme
@@ -48,9 +48,11 @@ def convert_pixels(plan: DataFrame, pixel_rows: DataFrame, spec: JobSpec) -> Dat
     if not spec.steps and not spec.generate_mipmaps:
         return edit_channels(with_texture(stored, wanted.select(*columns)).filter(F.col("mip") < F.col("out_mips")))
     rows = with_texture(stored.filter(F.col("mip") == 0), wanted.select(*columns))
+    deepest = wanted.agg(F.max("out_mips")).first()[0] or 1
+    if not spec.generate_mipmaps:
+        return edit_channels(apply_steps(rows, spec.steps, "out_mips", deepest).drop("channel_kinds"))
     for step in spec.steps:
         rows = apply_step(rows, step)
-    deepest = wanted.agg(F.max("out_mips")).first()[0] or 1
     return edit_channels(mip_chain(rows.drop("channel_kinds"), F.col("out_mips"), deepest_level=deepest))
 
 
