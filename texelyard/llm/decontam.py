@@ -183,7 +183,6 @@ def leak_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("words") > 0).alias("contaminated"),
-        "chars",
     )
 
 

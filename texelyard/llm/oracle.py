@@ -1,5 +1,85 @@
-"""DuckDB statements of the text queries that SQL can express."""
+"""DuckDB statements of the text queries that SQL can express.
+
+The others need a tokenizer, a seeded 64-bit hash or a trained model and are tested
+against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from texelyard.llm import hilbert
+from texelyard.llm.decontam import WINDOW
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _leaks() -> str:
+    words = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS place, doc_id, coalesce({words}, []) AS words FROM documents),
+  items AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS words FROM benchmark WHERE text IS NOT NULL),
+  cut AS (SELECT item, words, unnest(range(greatest(1, len(words) - {WINDOW - 1}))) AS k FROM items WHERE len(words) > 0),
+  windows AS (SELECT DISTINCT item, least(len(words), {WINDOW}) AS n, array_to_string(words[k + 1:k + {WINDOW}], ' ') AS gram FROM cut),
+  sizes AS (SELECT DISTINCT n FROM windows),
+  spots AS (SELECT place, words, n, unnest(range(len(words) - n + 1)) AS k FROM docs, sizes WHERE len(words) >= n),
+  found AS (SELECT place, k, n, item FROM (SELECT place, k, n, array_to_string(words[k + 1:k + n], ' ') AS gram FROM spots) JOIN windows USING (n, gram)),
+  hit AS (SELECT place, count(DISTINCT spot) AS n_hit FROM (SELECT place, unnest(range(k, k + n)) AS spot FROM found) GROUP BY 1),
+  named AS (SELECT place, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM found GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (place) LEFT JOIN named USING (place)"""
+
+
+def _curve(source: str, axes: list[str], kept: str) -> str:
+    """Hilbert index of integer axes, one nested SELECT per step of the transposed form."""
+    bits = hilbert.BITS
+    now = f"SELECT {kept}, {', '.join(f'{a} AS x{k}' for k, a in enumerate(axes))} FROM {source}"
+    names = [f"x{k}" for k in range(len(axes))]
+
+    def step(changed: dict[str, str]) -> str:
+        return f"SELECT {kept}, {', '.join(f'{changed.get(n, n)} AS {n}' for n in names)} FROM ({now})"
+
+    for level in range(bits - 1, 0, -1):
+        bit, below = 1 << level, (1 << level) - 1
+        for x in names:
+            swap = f"(xor(x0, {x}) & {below})"
+            changed = {"x0": f"CASE WHEN ({x} & {bit}) <> 0 THEN xor(x0, {below}) ELSE xor(x0, {swap}) END"}
+            if x != "x0":
+                changed[x] = f"CASE WHEN ({x} & {bit}) <> 0 THEN {x} ELSE xor({x}, {swap}) END"
+            now = step(changed)
+    for before, x in zip(names, names[1:]):
+        now = step({x: f"xor({x}, {before})"})
+    flip = "0"
+    for level in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN ({names[-1]} & {1 << level}) <> 0 THEN {(1 << level) - 1} ELSE 0 END)"
+    now = step({x: f"xor({x}, {flip})" for x in names})
+    index = "0"
+    for level in range(bits - 1, -1, -1):
+        for x in names:
+            index = f"({index} * 2 + (({x} >> {level}) & 1))"
+    return f"SELECT {kept}, CAST({index} AS BIGINT) AS curve FROM ({now})"
+
+
+def _shards(shards: int = 8) -> str:
+    def name(column: str) -> str:
+        return f"(instr('{hilbert.HEX}', substr(md5(coalesce({column}, '')), 1, 1)) - 1)"
+
+    length = "least(length(bin(greatest(coalesce(n_chars, 0), 0) + 1)) - 1, 15)"
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+    table = f"SELECT list(v ORDER BY b) FROM (SELECT b, list_reduce(list_concat([b::UBIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: {step}) AS v FROM (SELECT unnest(range(256)) AS b))"
+    whole = "4294967295::UBIGINT"
+    crc = f"xor(list_reduce(list_concat([{whole}], bytes), lambda c, x: xor(c >> 8, crc_of[CAST(xor(c, x) & 255 AS INTEGER) + 1])), {whole})"
+    return f"""
+WITH crc AS MATERIALIZED (SELECT ({table}) AS crc_of),
+  raw AS (SELECT doc_id, lang, source, n_chars, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS bytes FROM documents),
+  rows_ AS (SELECT doc_id, size, CAST({crc} AS BIGINT) AS text_crc32, lang, source, n_chars FROM raw, crc),
+  placed AS ({_curve('rows_', [name('lang'), name('source'), length], 'doc_id, size, text_crc32')}),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY curve, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM placed),
+  cut AS (SELECT *, ({shards} * (r + 1) - 1) // n AS s FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(s AS INTEGER) AS shard, r - (s * n) // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve FROM cut"""
+
+
+ORACLE: dict[str, str] = {
+    "op2_aho_decontamination": _leaks(),
+    "op9_hilbert_shards": _shards(),
+}
