@@ -104,7 +104,7 @@ def _urls() -> str:
     return f"""
 WITH links AS (SELECT page_id, url, {rest} AS rest FROM pages),
   parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM links),
-  seen AS (SELECT page_id, host, path, {shape} AS shape, try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})(\.[A-Za-z0-9]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM parts),
+  seen AS (SELECT page_id, host, path, {shape} AS shape, try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})(\\.[A-Za-z0-9]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM parts),
   quality AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1),
   told AS (SELECT host, shape, count(quality) AS labelled, count(*) FILTER (quality = 0) AS bad FROM seen LEFT JOIN quality USING (doc_id) GROUP BY 1, 2),
   t0 AS (SELECT *, CAST([] AS VARCHAR[]) AS done FROM told),
