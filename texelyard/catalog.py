@@ -353,6 +353,29 @@ def resolve_triplet(spark, d):
     return _triplets(spark, d)
 
 
+def triplet_bytes(spark, d):
+    """Bytes of the three parts; slices are of the packed entries that are wanted."""
+    found = _triplets(spark, d)
+    blobs = fx.blob_bytes(fx.archive_blobs(spark, d))
+    slices = found.filter("meta_source = 'packed'").select("sno", F.unhex(binary.le_hex(F.col("packed_start"))).alias("data"))
+    rows = companions.attach_bytes(found, blobs, slices, fx.HEADER_MAGIC)
+    return rows.select("name", "sno", *[F.hex(c).alias(c) for c in ("data", "payload_data", "paylow_data")])
+
+
+def packed_slices(spark, d):
+    """Index to slice: the winning entry of each id behind its header."""
+    blobs = fx.packed_blobs(spark, d).select("f", "blob")
+    winners = packed.last_writer(packed.packed_index(blobs))
+    cut = archive.packed_slices(blobs, winners, fx.HEADER_MAGIC, F.lit(77))
+    return cut.select("sno", F.hex("data").alias("data"))
+
+
+def unreadable_files(spark, d):
+    present = fx.listing(spark, d).select("path", F.length("path").cast("long").alias("length"))
+    kept = present.filter(F.col("length") % 7 != 0).withColumn("length", F.when(F.col("length") % 5 == 0, 0).otherwise(F.col("length")))
+    return companions.unreadable(fx.listing(spark, d), kept)
+
+
 def unavailable_assets(spark, d):
     gone = companions.unavailable(archive.toc_entries(fx.toc(spark, d)), _triplets(spark, d))
     return gone.select("sno", "message")
@@ -568,7 +591,8 @@ QUERIES = {
         strip_header, write_converted, path_parts, classify_format, guess_kind, channel_kinds, parse_kind, apply_kind,
         display_names, plan_output, output_collisions, format_predicates, clamp_options, plan_blp, plan_dds,
         resolve_options, convert_jobs, effective_mips, mip_geometry, can_downscale, upscale_geometry, review_flags,
-        search, replace_meta, resolve_companions, resolve_triplet, unavailable_assets, group_format_hash,
+        search, replace_meta, resolve_companions, resolve_triplet, triplet_bytes, packed_slices, unreadable_files,
+        unavailable_assets, group_format_hash,
         carry_metadata, quantize_u8, grey_reduce, mip_chain, mip_chain_normal, select_mip, working_format,
         transform_steps, transform_upscaled, transform_downscaled, transform_status, batch_plan, convert, convert_keep_mips, convert_collisions, convert_files,
         asset_details, batch_summary, archive_summary, archive_summary_empty, tree_nodes, tree_all, recent_items,

@@ -122,6 +122,16 @@ def archive_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.filter(F.col("path").isNotNull())
 
 
+def blob_bytes(blobs: DataFrame) -> DataFrame:
+    """:func:`archive_blobs` with bytes of the stated length, half of the payloads behind a header."""
+    digits = F.regexp_extract("path", r"(\d+)(\.tex)?$", 1)  # none in a name without an id
+    seed = F.when(digits != "", digits).otherwise("0").cast("int")
+    headed = F.col("path").startswith("base:pay") & (seed % 2 == 0) & (F.col("length") > 0)
+    text = F.concat(F.when(headed, F.concat(le_hex(F.lit(HEADER_MAGIC)), F.repeat(F.lit("00"), F.lit(12)))).otherwise(""),
+                    F.repeat(le_hex(seed * 257).substr(1, 2), F.col("length").cast("int")))
+    return blobs.withColumn("data", F.unhex(text))
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries (f, i, n, sno, size), numbered per file in a total order.
 

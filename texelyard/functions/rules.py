@@ -236,3 +236,6 @@ MAX_RECENT = 10
 # --- fixed values: messages -----------------------------------------------
 TOO_SMALL = "Image too small to downscale"
 UNSUPPORTED_INPUT = "Unsupported input format"
+UNAVAILABLE = "Skipped (encrypted or unavailable): "
+UNREADABLE = "Failed to read: "
+LOST_PAYLOAD = "Failed to load D4 TEX: "

@@ -47,7 +47,7 @@ def resolve_companions(meta: DataFrame, listing: DataFrame) -> DataFrame:
 def companion_errors(resolved: DataFrame) -> DataFrame:
     """Add ``load_error``: split TEX files (``is_d4``) without any payload fail a batch."""
     lost = F.col("is_d4") & (F.col("companion") == "none")
-    return resolved.withColumn("load_error", F.when(lost, F.concat(F.lit("Failed to load D4 TEX: "), F.col("path"))))
+    return resolved.withColumn("load_error", F.when(lost, F.concat(F.lit(rules.LOST_PAYLOAD), F.col("path"))))
 
 
 def archive_refs(blobs: DataFrame, packed: DataFrame) -> DataFrame:
@@ -118,28 +118,44 @@ def resolve_triplet(toc: DataFrame, blobs: DataFrame, packed: DataFrame, folder:
 def attach_bytes(triplets: DataFrame, blobs: DataFrame, slices: DataFrame, magic: int) -> DataFrame:
     """Fetch the bytes named by :func:`resolve_triplet`, payload headers stripped.
 
-    ``slices(sno, data)`` holds metadata cut from packed files. Each byte column
-    moves once, after the references have decided which blobs are wanted.
+    ``slices(sno, data)`` holds metadata cut from packed files. The wanted files
+    are one narrow table of (path, id, role); its join with the contents drops every other blob,
+    and one grouping by id brings the parts together. Bytes are exchanged at
+    most twice: by path, then by id.
     """
-    data = blobs.select("path", "data")
-
-    def fetch(df, ref, name, strip):
-        body = strip_header(F.col("data"), magic) if strip else F.col("data")
-        part = data.select(F.col("path").alias("_path"), body.alias(name))
-        key = F.coalesce(F.col(ref), F.concat(F.lit("\0"), F.col("sno").cast("string")))
-        return df.withColumn("_want", key).join(part, F.col("_want") == F.col("_path"), "left").drop("_want", "_path")
-
-    out = fetch(triplets, "meta", "file_meta", False)
-    out = out.join(slices.select("sno", F.col("data").alias("slice_meta")), "sno", "left")
-    out = fetch(fetch(out, "payload", "payload_data", True), "paylow", "paylow_data", True)
-    picked = F.when(F.col("meta_source") == "packed", F.col("slice_meta")).otherwise(F.col("file_meta"))
+    roles = {"meta": "meta", "payload": "payload", "paylow": "paylow"}
+    named = F.array(*[F.struct(F.lit(role).alias("role"), F.col(ref).alias("path")) for ref, role in roles.items()])
+    wanted = triplets.select("sno", F.explode(F.filter(named, lambda w: w["path"].isNotNull())).alias("w")).select("sno", "w.role", "w.path").distinct()
+    body = F.when(F.col("role") == "meta", F.col("data")).otherwise(strip_header(F.col("data"), magic))
+    files = blobs.select("path", "data").join(wanted, "path").select("sno", "role", body.alias("data"))
+    cut = slices.join(triplets.filter("meta_source = 'packed'").select("sno").distinct(), "sno", "left_semi")
+    parts = files.unionAll(cut.select("sno", F.lit("slice").alias("role"), "data"))
+
+    def of(role, name):
+        return F.max(F.when(F.col("role") == role, F.col("data"))).alias(name)
+
+    found = parts.groupBy("sno").agg(
+        of("meta", "_file"), of("slice", "_slice"), of("payload", "payload_data"), of("paylow", "paylow_data")
+    )
+    picked = F.when(F.col("meta_source") == "packed", F.col("_slice")).otherwise(F.col("_file"))
+    out = triplets.select("name", "sno", "meta_source").join(found, "sno")
     return out.select("name", "sno", picked.alias("data"), "payload_data", "paylow_data").filter(F.length("data") > 0)
 
 
 def unavailable(toc: DataFrame, resolved: DataFrame) -> DataFrame:
     """Entries that resolve to nothing, with the reason shown for them."""
     missing = toc.join(resolved.select("sno").distinct(), "sno", "left_anti")
-    return missing.withColumn("message", F.concat(F.lit("Skipped (encrypted or unavailable): "), F.col("name")))
+    return missing.withColumn("message", F.concat(F.lit(rules.UNAVAILABLE), F.col("name")))
+
+
+def unreadable(listing: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Listed regular files that are missing or empty in the archive, with the message shown for them.
+
+    Only path and length are exchanged; readable files leave the join.
+    """
+    readable = blobs.filter(F.col("length") > 0).select("path")
+    lost = listing.select("path").join(readable, "path", "left_anti")
+    return lost.withColumn("message", F.concat(F.lit(rules.UNREADABLE), F.col("path")))
 
 
 def attach_hash(slices: DataFrame, hashes: DataFrame, group: str = rules.TEXTURE_GROUP) -> DataFrame:

@@ -436,6 +436,15 @@ def _statements() -> dict[str, str]:
             || CASE WHEN p_partkey % 11 = 0 THEN '.bin' ELSE '.dat' END AS path, (p_partkey // 4) % 3 AS grp, (p_partkey // 12) % 5 AS tail, p_partkey FROM part)
             WHERE grp <> 1 AND tail NOT IN (1, 2) AND p_partkey % 11 <> 0""",
         "packed_index": _blob_entries(),
+        "packed_slices": f"""WITH entries_ AS ({_blob_entries()}), won AS (SELECT sno, arg_max((f, i, start, size), (f, i, start, size)) AS w FROM entries_ GROUP BY 1)
+            SELECT e.sno, {le_hex(str(fx.HEADER_MAGIC))} || {le_hex('77')} || repeat('00', 8) || {le_hex('e.sno')} || repeat('AB', CAST(e.size - 4 AS INTEGER)) AS data
+            FROM entries_ e JOIN won ON e.sno = won.sno AND e.f = w[1] AND e.i = w[2]""",
+        "triplet_bytes": f"""{trip},
+            sized AS (SELECT CAST(p_partkey AS INTEGER) AS sno, CASE WHEN p_partkey % 23 = 0 THEN 0 ELSE p_size + 1 END AS length FROM part),
+            made AS (SELECT t.*, length, repeat(substr({le_hex('t.sno * 257')}, 1, 2), CAST(length AS INTEGER)) AS fill FROM triplet t JOIN sized USING (sno))
+            SELECT name, sno, CASE WHEN meta_source = 'packed' THEN {le_hex('packed_start')} ELSE fill END AS data, fill AS payload_data,
+              CASE WHEN paylow IS NOT NULL THEN fill END AS paylow_data FROM made""",
+        "unreadable_files": f"""{with_('assets', 'listing')} SELECT path, '{rules.UNREADABLE}' || path AS message FROM listing WHERE length(path) % 7 = 0 OR length(path) % 5 = 0""",
         "packed_offsets": f"{starts} SELECT f, i, n, sno, size, start FROM packed_start",
         "last_writer": f"{starts} SELECT sno, f, i, start, size FROM packed_last",
         "split_rejects": f"{with_('assets', 'loads', 'judged', 'told')} SELECT texture_id, success, array_to_string(issues, '|') AS issues FROM told",
