@@ -25,8 +25,8 @@ def labelled_sample(
     The sample is the first ``rows`` fitting ids by a hash of the id, so it does not
     depend on file order or cluster size. Ids with two different labels, null
     labels and held-out ids are not used; of a repeated document the smallest text
-    is. Texts are whole; one that would take the sample over ``most_bytes`` is left out
-    of the fit, never cut.
+    is. Texts are whole, never cut: one of more than a 64th of ``most_bytes`` is left out of
+    the fit, and the sample ends before the text that would take it over ``most_bytes``.
     """
     usable = labels.select(quoted(key).cast("long").alias("id"), quoted(label).cast("int").alias("label")).dropna()
     once = usable.filter(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("_other"))
