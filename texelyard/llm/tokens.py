@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 PIECES_AT_ONCE = 2_000
 SLICE_BYTES = 4 << 20
 # Fixed by byte-level vocabularies: how they spell the byte 0x20.
@@ -65,6 +65,7 @@ class JsonEncoder:
             stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
             part = texts.slice(at, stop - at)
             yield (at, *(self._by_pieces(part) if self.splits_at_space else self._whole(part)))
+            pa.default_memory_pool().release_unused()  # else a worker keeps the pieces' buffers
             at = stop
 
     def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
