@@ -81,8 +81,11 @@ class JsonEncoder:
 
         # A text's first piece has no space before it and is looked up by itself.
         head, head_of = np.unique(index[first], return_inverse=True)
-        stored = [*self._tails(pieces), *self._heads([pieces[k] for k in head.tolist()])]
-        loose = np.array([not p or p[-1].isspace() for p in pieces])[index]
+        tails, missing = self._tails(pieces)
+        stored = [*tails, *self._heads([pieces[k] for k in head.tolist()])]
+        ragged = np.zeros(len(pieces), bool)  # only new pieces can be: these are never remembered
+        ragged[missing] = [_is_ragged(pieces[k]) for k in missing]
+        loose = ragged[index]
         loose[first] &= np.diff(bounds) > 1
         loose[first] &= np.array([bool(pieces[k]) for k in head.tolist()], bool)[head_of]
         loose[bounds[1:] - 1] = False  # nothing follows a text's last piece
@@ -103,10 +106,10 @@ class JsonEncoder:
             parts[k] = self.encode(texts[k].as_py())
         return _joined(parts)
 
-    def _tails(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each distinct piece with the space before it, many at a time.
+    def _tails(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of each distinct piece with the space before it, and which pieces were not remembered.
 
-        An id that begins with a space opens a piece.
+        The library gets many at a time; an id that begins with a space opens a piece.
         """
         found = list(map(self.memo.get, pieces))
         missing = [k for k, ids in enumerate(found) if ids is None]
@@ -122,8 +125,9 @@ class JsonEncoder:
                 fresh.update((p, self.encode(" " + p).tobytes()) for p in part)
         for k in missing:
             found[k] = fresh[pieces[k]] if pieces[k] else self.encode(" ").tobytes()
-        self.memo.update(islice(fresh.items(), max(0, MEMO_ENTRIES - len(self.memo))))
-        return found
+        clean = ((p, ids) for p, ids in fresh.items() if not _is_ragged(p))
+        self.memo.update(islice(clean, max(0, MEMO_ENTRIES - len(self.memo))))
+        return found, missing
 
     def _heads(self, pieces: list[str]) -> list[bytes]:
         missing = [p for p in pieces if p not in self.heads]
@@ -145,6 +149,11 @@ def _splits_at_space(spec: dict) -> bool:
     )
 
 
+def _is_ragged(piece: str) -> bool:
+    """Whether a space after the piece would follow white space."""
+    return not piece or piece[-1].isspace()
+
+
 def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
     return np.concatenate([np.zeros(0, np.uint32), *parts]), bounds
