@@ -28,6 +28,9 @@ HEADLINE = [
     "display_texture",
     "load_images",
     "convert",
+    "convert_files",
+    "packed_slices",
+    "triplet_bytes",
 ]
 
 

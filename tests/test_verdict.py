@@ -116,3 +116,21 @@ def test_stored_level_count_needs_no_join(spark, no_broadcast):
     rows = spark.createDataFrame([(1, 4, 4, m, 0, 0, m, 0, 0, 0, 2) for m in range(2)], PIXELS + ", levels int")
     assert exchanges(mips.select_mip(rows, 3, "levels")) == 0
     assert [r.mip for r in mips.select_mip(rows, 3, "levels").collect()] == [1]
+
+
+def test_archive_bytes_are_exchanged_twice(spark, no_broadcast):
+    found = spark.createDataFrame([("a.tex", 1, "id", "base:meta\\1", "base:payload\\1", None)], "name string, sno int, meta_source string, meta string, payload string, paylow string")
+    blobs = spark.createDataFrame([("base:meta\\1", bytearray(b"M")), ("base:payload\\1", bytearray(b"P")), ("other", bytearray(b"X"))], "path string, data binary")
+    slices = spark.createDataFrame([], "sno int, data binary")
+    full = companions.attach_bytes(found, blobs, slices, 7)
+    plan = full._jdf.queryExecution().optimizedPlan().toString()
+    # Contents meet the wanted paths, then are grouped by id; the last join only adds the narrow triplets.
+    assert plan.count("Join Inner") == 2
+    assert [(r.name, bytes(r.data), bytes(r.payload_data), r.paylow_data) for r in full.collect()] == [("a.tex", b"M", b"P", None)]
+
+
+def test_missing_and_empty_files_are_unreadable(spark):
+    listing = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    blobs = spark.createDataFrame([("a", 3), ("b", 0)], "path string, length long")
+    rows = companions.unreadable(listing, blobs).collect()
+    assert {r.path: r.message for r in rows} == {"b": "Failed to read: b", "c": "Failed to read: c"}
