@@ -134,3 +134,9 @@ def test_missing_and_empty_files_are_unreadable(spark):
     blobs = spark.createDataFrame([("a", 3), ("b", 0)], "path string, length long")
     rows = companions.unreadable(listing, blobs).collect()
     assert {r.path: r.message for r in rows} == {"b": "Failed to read: b", "c": "Failed to read: c"}
+
+
+def test_unused_channels_take_their_own_default(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 0, 0, 0, 9, 9, 9, 9, ["Unused", "AO", "Unused", None])], PIXELS + ", channel_kinds array<string>")
+    filled = pixels.fill_unused(rows, {"r": 1.0, "b": 0.5}).first()
+    assert (filled.r, filled.g, filled.b, filled.a) == (255, 9, 128, 9)

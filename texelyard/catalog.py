@@ -610,6 +610,7 @@ QUERIES = {
     "expand_normal": _on_tagged(px.expand_normal),
     "display_texture": _on_tagged(px.display_texture),
     "fill_unused": _on_tagged(lambda df: px.fill_unused(df, 0.5)),
+    "fill_unused_each": _on_tagged(lambda df: px.fill_unused(df, {"r": 0.1, "g": 0.2, "b": 0.3, "a": 0.75})),
     "upscale_x2": _on_tagged(lambda df: px.upscale(df, 2)),
     "upscale_x3_alpha": _on_pixels(lambda df: px.upscale(df, 3, alpha=True)),
     "downscale_x2": _on_pixels(lambda df: mips.downscale(df, 1)),

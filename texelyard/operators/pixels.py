@@ -93,10 +93,11 @@ def display_texture(df: DataFrame) -> DataFrame:
 
 
 def fill_unused(df: DataFrame, default=0.0) -> DataFrame:
-    """Channels of kind Unused get the channel default (0..1)."""
-    value = to_u8(as_col(default))
+    """Channels of kind Unused get the channel default (0..1): one for all, or a mapping by channel."""
+    given = default if isinstance(default, dict) else dict.fromkeys(CHANNELS, default)
     unused = [F.coalesce(F.element_at("channel_kinds", i + 1) == "Unused", F.lit(False)) for i in range(4)]
-    return df.withColumns({c: F.when(unused[i], value).otherwise(F.col(c)) for i, c in enumerate(CHANNELS)})
+    filled = {c: to_u8(as_col(given.get(c, 0.0))) for c in CHANNELS}
+    return df.withColumns({c: F.when(unused[i], filled[c]).otherwise(F.col(c)) for i, c in enumerate(CHANNELS)})
 
 
 def upscale(df: DataFrame, scale: int, alpha: bool = False, default=0.0) -> DataFrame:

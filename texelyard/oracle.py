@@ -513,6 +513,7 @@ def _statements() -> dict[str, str]:
             g=f"CASE WHEN kind <> 'Normal' AND {SINGLE} THEN r ELSE g END",
             b=f"CASE WHEN kind = 'Normal' THEN {UNIT_Z} WHEN {SINGLE} THEN r ELSE b END",
         ),
+        "fill_unused_each": _pixels(a=f"CASE WHEN {multi} THEN 191 ELSE a END"),
         "fill_unused": _pixels(a=f"CASE WHEN {multi} THEN {half} ELSE a END"),
         "quantize_u8": f"{with_('pixels')} SELECT texture_id, x, y, {_u8('(CAST(r AS DOUBLE) * 1.5 - g) / 255')} AS value FROM pixels",
         "grey_reduce": f"{with_('pixels')} SELECT texture_id, x, y, CAST((r + g + b + 1) // 3 AS INTEGER) AS grey FROM pixels",
