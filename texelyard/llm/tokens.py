@@ -34,9 +34,13 @@ def library_path(name: str) -> str:
 
 
 class JsonEncoder:
-    """Ids of texts by one .json vocabulary; one per Python worker."""
+    """Ids of texts by one .json vocabulary; one per Python worker.
 
-    def __init__(self, path: str) -> None:
+    ``entries`` bounds the remembered pieces, about 200 bytes each.
+    """
+
+    def __init__(self, path: str, entries: int | None = None) -> None:
+        self.entries = MEMO_ENTRIES if entries is None else entries
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -126,7 +130,7 @@ class JsonEncoder:
         for k in missing:
             found[k] = fresh[pieces[k]] if pieces[k] else self.encode(" ").tobytes()
         clean = ((p, ids) for p, ids in fresh.items() if not _is_ragged(p))
-        self.memo.update(islice(clean, max(0, MEMO_ENTRIES - len(self.memo))))
+        self.memo.update(islice(clean, max(0, self.entries - len(self.memo))))
         return found, missing
 
     def _heads(self, pieces: list[str]) -> list[bytes]:
@@ -134,7 +138,7 @@ class JsonEncoder:
         coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
         fresh = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(missing, coded)}
         found = [self.heads.get(p) or fresh.get(p, b"") for p in pieces]
-        self.heads.update(islice(fresh.items(), max(0, MEMO_ENTRIES - len(self.heads))))
+        self.heads.update(islice(fresh.items(), max(0, self.entries - len(self.heads))))
         return found
 
 
@@ -159,16 +163,11 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint32), *parts]), bounds
 
 
-_encoders: dict[str, JsonEncoder] = {}
-
-
-def encoder(path: str) -> JsonEncoder:
-    """This process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = JsonEncoder(path)
-    return _encoders[path]
+_encoders: dict[tuple[str, int | None], JsonEncoder] = {}
 
 
-def public_encoder(name: str) -> JsonEncoder:
+def public_encoder(name: str, entries: int | None = None) -> JsonEncoder:
     """This process's encoder for the public vocabulary ``name``."""
-    return encoder(library_path(name))
+    if (name, entries) not in _encoders:
+        _encoders[name, entries] = JsonEncoder(library_path(name), entries)
+    return _encoders[name, entries]
