@@ -189,6 +189,31 @@ def test_bm25_equals_the_formula():
         assert np.allclose(index.scores(seed), want, rtol=1e-5)
 
 
+def bm25_of_all_ids(texts, seed):
+    mean = np.mean([len(t) for t in texts])
+    want = np.zeros(len(texts))
+    counts = [dict(zip(*np.unique(t, return_counts=True))) for t in texts]
+    for term in set(texts[seed].tolist()):
+        holders = sum(term in c for c in counts)
+        for k, c in enumerate(counts):
+            times = c.get(term, 0)
+            idf = np.log(1 + (len(texts) - holders + 0.5) / (holders + 0.5))
+            want[k] += idf * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * len(texts[k]) / mean))
+    return want
+
+
+def test_long_seeds_ask_for_all_their_ids():
+    rng = np.random.default_rng(4)
+    texts = [np.minimum(rng.zipf(1.3, rng.integers(50, 400)), 3_000) for _ in range(120)]
+    index = packing.Index(np.concatenate(texts).astype(np.uint32), np.cumsum([0, *map(len, texts)]))
+    assert 0 < len(index.dense) and len(index.holder)
+    for seed in range(0, 120, 6):
+        want, got = bm25_of_all_ids(texts, seed), index.scores(seed)
+        assert np.allclose(got, want, rtol=1e-4)
+        want[seed] = got[seed] = 0
+        assert len(set(np.argsort(-got)[:10]) & set(np.argsort(-want)[:10])) >= 9
+
+
 def test_query_packing(spark, library):
     ids_of = {r.doc_id: [plain(library, r.text, 1)] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op7_retrieval_packing"](spark, SF).collect()
