@@ -214,6 +214,30 @@ def test_long_seeds_ask_for_all_their_ids():
         assert len(set(np.argsort(-got)[:10]) & set(np.argsort(-want)[:10])) >= 9
 
 
+def test_related_documents_meet_whatever_file_they_are_in(spark):
+    rng = random.Random(3)
+    common = [f"w{k}" for k in range(40)]
+    own = [[f"{rng.choice('bcdfg')}{rng.randint(100, 999)}q" for _ in range(12)] for _ in range(40)]
+    rows = [(t * 10 + part, " ".join(rng.choices(common, k=30) + rng.choices(own[t], k=30))) for part in range(10) for t in range(40)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 10), "doc_id long, text string")
+    pieces = packing.pack_documents(docs, 512, shard_ids=12_000).collect()
+    task = {r.doc_id: r.sequence_id >> 32 for r in pieces}
+    assert len(task) == 400 and len(set(task.values())) > 2
+    mates = [task[a] == task[b] for a in task for b in task if a < b and a // 10 == b // 10]
+    others = [task[a] == task[b] for a in task for b in task if a < b and a // 10 != b // 10]
+    assert np.mean(mates) > 0.7 > 0.5 > np.mean(others)
+
+
+def test_a_key_that_fills_several_ranges_is_dealt_among_them():
+    texts = [np.array([5, 6, 7])] * 300 + [np.array([k, k + 1]) for k in range(100, 200)]
+    ids, bounds = np.concatenate(texts).astype(np.uint32), np.cumsum([0, *map(len, texts)])
+    placement = packing.fit_placement(ids, bounds, 10)
+    tasks = placement.tasks(placement.keys(ids, bounds), 0)
+    assert len(set(tasks[:300])) >= 7 and np.bincount(tasks, minlength=10).max() < 80
+    none = packing.fit_placement(ids[:0], bounds[:1], 1)
+    assert none.tasks(none.keys(ids, bounds), 0).max() == 0
+
+
 def test_query_packing(spark, library):
     ids_of = {r.doc_id: [plain(library, r.text, 1)] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op7_retrieval_packing"](spark, SF).collect()
