@@ -129,6 +129,17 @@ def test_templates_generalise_merge_and_reject(spark):
     assert abs(spam - (40 + 8 * 41 / 122) / 48) < 1e-9
 
 
+@pytest.mark.parametrize("siblings", [10, 60])
+def test_a_section_is_judged_alike_among_few_siblings_and_many(spark, siblings):
+    """A bad section with many labels, one with few, and pages of one visit each."""
+    urls = [f"http://h.org/{s}/{k}.html" for s, n in (("spam", 200), ("junk", 8)) for k in range(n)]
+    urls += [f"http://h.org/fine{s}/{k}.html" for s in range(siblings) for k in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = [(u, int("fine" not in u)) for u in urls]
+    rows = urltree.judge_urls(pages, spark.createDataFrame(marks, "url string, bad int"), []).collect()
+    assert {r.path.split("/")[1] for r in rows if r.verdict == "block"} == {"spam", "junk"}
+
+
 def test_query_urls(spark):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = QUERIES["op3_url_templates"](spark, SF).collect()

@@ -1,7 +1,7 @@
 """URL filter by a tree of path templates per host.
 
 Paths are split into segments. Numbers become wildcards at once; other segments
-do where a node of the tree has too many different ones. Branches under one node that
+do where a node of the tree has too many different ones and their own labels say little. Branches under one node that
 lead to the same rest and whose labelled rates do not differ significantly are merged, and a
 template is rejected when its smoothed share of bad labels is high. Written
 rules go before templates. DataFrame functions only.
@@ -19,6 +19,8 @@ from texelyard.llm.common import quoted
 from texelyard.session import stage
 
 FANOUT = 16
+# Labels from which a segment is a branch whatever the fan-out: by their number alone, or if they differ from the node's rest.
+SUPPORTED, COMPARED = 30, 5
 DEPTH = 8
 SMOOTHING = 8.0
 SIMILAR_Z = 1.64
@@ -66,11 +68,20 @@ def _joined(parts: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(parts, "/"))
 
 
+def _differs(bad: Column, n: Column, other_bad: Column, other_n: Column) -> Column:
+    """Whether two shares of bad labels differ; null without labels on both sides."""
+    pooled = F.try_divide(bad + other_bad, n + other_n)
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), other_n)))
+    apart = F.abs(F.try_divide(bad, n) - F.try_divide(other_bad, other_n))
+    return (spread > 0) & (apart >= SIMILAR_Z * spread)
+
+
 def templates(shapes: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """Add ``template`` to distinct ``host, shape`` rows, level by level of each host's tree.
+    """Add ``template`` to distinct ``host, shape`` rows with ``labelled`` and ``bad``, level by level of each host's tree.
 
     A node with more than ``fanout`` different segments gets one wildcard branch for
-    them. What lies below ``depth`` levels is one segment, ``**``. Each level is
+    those that vary: a segment with ``SUPPORTED`` labels stays a branch, and so does one with ``COMPARED`` labels whose
+    share of bad ones differs from that of the rest of the node (two-proportion z of ``SIMILAR_Z``). What lies below ``depth`` levels is one segment, ``**``. Each level is
     written to the shared folder; its counts are combined before they are shuffled.
     """
     now = stage(shapes.withColumn("_done", F.array().cast("array<string>")), "urls")
@@ -78,9 +89,12 @@ def templates(shapes: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> Da
     for level in range(min(depth, deepest)):
         here = now.withColumn("_seg", F.get("shape", F.lit(level)))
         node = ["host", "_done"]
-        many = here.filter("_seg IS NOT NULL AND NOT startswith(_seg, '*')").groupBy(*node, "_seg").agg(F.count(F.lit(1)).alias("_n"))
-        many = many.groupBy(*node).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fanout).select(*node, F.lit(True).alias("_many"))
-        step = here.join(many, node, "left")
+        segments = here.filter("_seg IS NOT NULL AND NOT startswith(_seg, '*')").groupBy(*node, "_seg").agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"))
+        wide = segments.groupBy(*node).agg(F.count(F.lit(1)).alias("_n"), F.sum("_l").alias("_nl"), F.sum("_b").alias("_nb")).filter(F.col("_n") > fanout)
+        apart = _differs(F.col("_b"), F.col("_l"), F.col("_nb") - F.col("_b"), F.col("_nl") - F.col("_l"))
+        stays = (F.col("_l") >= SUPPORTED) | ((F.col("_l") >= COMPARED) & F.coalesce(apart, F.lit(False)))
+        many = segments.join(wide, node).filter(~stays).select(*node, "_seg", F.lit(True).alias("_many"))
+        step = here.join(many, [*node, "_seg"], "left")
         branch = F.when(F.col("_many") & ~F.col("_seg").startswith("*"), F.lit("*")).otherwise(F.col("_seg"))
         grown = F.when(F.col("_seg").isNull(), F.col("_done")).otherwise(F.concat("_done", F.array(branch)))
         now = stage(step.withColumn("_done", grown).drop("_seg", "_many"), "urls")
@@ -94,8 +108,8 @@ def judge_templates(counted: DataFrame, smoothing: float = SMOOTHING, similar_z:
     ``counted`` has ``host, template, n, labelled, bad``. Branches of one node with
     the same rest are put in order of their smoothed share of bad labels; a
     neighbour joins the group unless the two-proportion z of their labels reaches
-    ``similar_z``. A node has at most as many constant branches as the fan-out, so
-    the windows are small. The smoothed share leans on the overall one by ``smoothing`` labels; a group without
+    ``similar_z``. A node has as many constant branches as the fan-out, and those that their labels
+    keep, so the windows are small. The smoothed share leans on the overall one by ``smoothing`` labels; a group without
     any label is not rejected.
     """
     bad, labelled = counted.agg(F.sum("bad"), F.sum("labelled")).first()
