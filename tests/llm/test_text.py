@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from helpers import CASES, SF, WORD, documents, lower
 from hypothesis import given, settings
@@ -128,6 +129,12 @@ def test_lexer_follows_names_and_constants():
         assert lexed(harmless) == [], harmless
 
 
+@pytest.mark.parametrize("use", ["$KEY", "${KEY}", '"$KEY"', '"${KEY}"', "'${KEY}'"])
+def test_lexer_follows_references(use):
+    assert lexed(f"KEY=aB3dE6gH9kL2mN5p\npassword={use}\n") == ["aB3dE6gH9kL2mN5p"]
+    assert lexed(f"OTHER=aB3dE6gH9kL2mN5p\npassword={use}\n") == []
+
+
 def test_secrets_in_every_case(spark):
     docs = documents(spark)
     rows = secrets.secret_digest(secrets.scan_secrets(docs)).collect()

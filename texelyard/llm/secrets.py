@@ -44,12 +44,16 @@ PLACEHOLDERS = frozenset(
     "changeme change_me example placeholder none null nil true false undefined redacted string str text password secret token required optional".split()
 )
 LITERAL_LEAST, SCORE_LEAST = 8, 3
+RESOLVED_MOST = 1 << 16  # characters; constants that refer to themselves could double at every line
 
 OPERATOR = re.compile(r":=|=>|==|!=|<=|>=|=|:")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 TYPE = re.compile(r"\x20*[A-Za-z_][A-Za-z0-9_.\[\]<>]*\x20*=(?![=>])")
 STRING = re.compile(r'"((?:[^"\\\n]|\\.)*)"|' + r"'((?:[^'\\\n]|\\.)*)'")
 BARE = re.compile(r"""[^\s"'`#;,(){}\[\]<>|+]+(?:\+[^\s"'`#;,(){}\[\]<>|+]+)*""")
+# A constant by reference, as shells, .env and compose files write it.
+REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
+BARE_REFERENCES = re.compile(rf"""(?:{REFERENCE.pattern}|[^\s"'`#;,(){{}}\[\]<>|+])+""")
 SCHEME = re.compile(r"(?:[Bb]earer|[Bb]asic)\x20+")
 PLUS = re.compile(r"\x20*\+\x20*")
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
@@ -133,11 +137,18 @@ def _value_after(text: str, at: int, constants: dict[str, Value]) -> tuple[Value
     while True:
         quoted_text = STRING.match(text, at)
         bare = None if quoted_text else BARE.match(text, at)
+        braced = None if quoted_text else BARE_REFERENCES.match(text, at)
         if quoted_text:
             group = 1 if quoted_text.group(1) is not None else 2
-            parts.append(quoted_text.group(group))
-            spans.append(quoted_text.span(group))
+            # Single quotes keep a reference as it is in shells, but not in compose files.
+            value = _referenced(text, *quoted_text.span(group), constants) or Value(quoted_text.group(group), (quoted_text.span(group),))
+            parts.append(value.text)
+            spans += value.spans
             at = quoted_text.end()
+        elif braced and (value := _referenced(text, *braced.span(), constants)):
+            parts.append(value.text)
+            spans += value.spans
+            at = braced.end()
         elif bare:
             known = constants.get(bare.group().removeprefix("$").rstrip("."))
             parts.append(known.text if known else bare.group())
@@ -152,6 +163,34 @@ def _value_after(text: str, at: int, constants: dict[str, Value]) -> tuple[Value
     return (Value("".join(parts), tuple(spans)) if parts else None), at
 
 
+def _referenced(text: str, start: int, end: int, constants: dict[str, Value]) -> Value | None:
+    """A stretch of text with its references to known constants resolved; null if it has none.
+
+    Spans are those of the constants' literals and of what is written between references.
+    """
+    parts: list[str] = []
+    spans: list[tuple[int, int]] = []
+    done, resolved = start, False
+    for m in REFERENCE.finditer(text, start, end):
+        known = constants.get(m[1] or m[2])
+        if known is None:
+            continue
+        if m.start() > done:
+            parts.append(text[done : m.start()])
+            spans.append((done, m.start()))
+        parts.append(known.text)
+        spans += known.spans
+        done, resolved = m.end(), True
+        if sum(map(len, parts)) > RESOLVED_MOST or len(spans) > RESOLVED_MOST:
+            return None
+    if not resolved:
+        return None
+    if end > done:
+        parts.append(text[done:end])
+        spans.append((done, end))
+    return Value("".join(parts), tuple(spans))
+
+
 def is_sensitive(name: str) -> bool:
     parts = [p.lower() for p in PART.findall(name)]
     return not SENSITIVE.isdisjoint(parts) or any(p in SENSITIVE_PAIRS for p in zip(parts, parts[1:]))
