@@ -122,6 +122,23 @@ def test_counts_come_from_the_cache(spark, library):
     assert tokencache.count_tokens(documents(spark, []), new_folder(spark, "cache")).count() == 0
 
 
+def test_two_runs_that_count_one_content(spark, monkeypatch):
+    folder = new_folder(spark, "cache")
+    tokencache.count_tokens(documents(spark, [(1, "known")]), folder)
+    read, calls = tokencache._stored, []
+
+    def after_another_run(spark, folder, release):
+        """The other run appends the same contents just before this one reads what is stored."""
+        calls.append(folder)
+        if len(calls) == 2:
+            read(spark, folder, release).select("content", "n_tokens").write.parquet(f"{folder}/tokenizer={release}/run=other")
+        return read(spark, folder, release)
+
+    monkeypatch.setattr(tokencache, "_stored", after_another_run)
+    rows = tokencache.count_tokens(documents(spark, [(1, "known"), (2, "both")]), folder).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2] and len(calls) == 2
+
+
 def test_query_counts(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = {r.doc_id: (len(r.text.encode()), len(plain(library, r.text))) for r in docs}

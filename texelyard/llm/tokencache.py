@@ -81,11 +81,13 @@ def count_tokens(
         missing = missing.join(read_cache(spark, cache, release), "content", "left_anti")
     run = uuid.uuid4().hex
     map_text(missing, _count(tokenizer), "content binary, n_tokens long").write.parquet(f"{cache}/tokenizer={release}/run={run}")
-    # What this run stored is in no earlier run, so it needs no second reduction, and the exchange of the join can be split.
+    # What this run stored is there once, so it needs no second reduction, and the exchange of the join can be split.
     stored = _stored(spark, cache, release)
     counts = stored.filter(F.col("run") == run).select("content", "n_tokens")
     if begun:
-        counts = counts.unionAll(_once(stored.filter(F.col("run") != run)))
+        # A run at the same time may store a content that this one counts too.
+        others = _once(stored.filter(F.col("run") != run))
+        counts = counts.unionAll(others.join(counts.select("content"), "content", "left_anti"))
     joined = rows.select(key, "n_bytes", "content").join(counts, "content")
     return joined.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
