@@ -12,9 +12,17 @@ from texelyard.llm.queries import URL_RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+WORDS = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+# CRC-32 of a list of bytes by a table of 256 values.
+_STEP = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+CRC_TABLE = f"SELECT list(v ORDER BY b) FROM (SELECT b, list_reduce(list_concat([b::UBIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: {_STEP}) AS v FROM (SELECT unnest(range(256)) AS b))"
+_WHOLE = "4294967295::UBIGINT"
+CRC = f"xor(list_reduce(list_concat([{_WHOLE}], bytes), lambda c, x: xor(c >> 8, crc_of[CAST(xor(c, x) & 255 AS INTEGER) + 1])), {_WHOLE})"
+
 
 def _leaks() -> str:
-    words = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    words = WORDS
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS place, doc_id, coalesce({words}, []) AS words FROM documents),
   items AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS words FROM benchmark WHERE text IS NOT NULL),
@@ -65,15 +73,11 @@ def _shards(shards: int = 8) -> str:
         return f"(instr('{hilbert.HEX}', substr(md5(coalesce({column}, '')), 1, 1)) - 1)"
 
     length = "least(length(bin(greatest(coalesce(n_chars, 0), 0) + 1)) - 1, 15)"
-    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
-    table = f"SELECT list(v ORDER BY b) FROM (SELECT b, list_reduce(list_concat([b::UBIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: {step}) AS v FROM (SELECT unnest(range(256)) AS b))"
-    whole = "4294967295::UBIGINT"
-    crc = f"xor(list_reduce(list_concat([{whole}], bytes), lambda c, x: xor(c >> 8, crc_of[CAST(xor(c, x) & 255 AS INTEGER) + 1])), {whole})"
     return f"""
-WITH crc AS MATERIALIZED (SELECT ({table}) AS crc_of),
+WITH crc AS MATERIALIZED (SELECT ({CRC_TABLE}) AS crc_of),
   raw AS (SELECT doc_id, lang, source, n_chars, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS bytes FROM documents),
-  rows_ AS (SELECT doc_id, size, CAST({crc} AS BIGINT) AS text_crc32, lang, source, n_chars FROM raw, crc),
+  rows_ AS (SELECT doc_id, size, CAST({CRC} AS BIGINT) AS text_crc32, lang, source, n_chars FROM raw, crc),
   placed AS ({_curve('rows_', [name('lang'), name('source'), length], 'doc_id, size, text_crc32')}),
   ranked AS (SELECT *, row_number() OVER (ORDER BY curve, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM placed),
   cut AS (SELECT *, ({shards} * (r + 1) - 1) // n AS s FROM ranked)
@@ -127,7 +131,50 @@ WITH links AS (SELECT page_id, url, {rest} AS rest FROM pages),
 SELECT page_id, host, path, rule, CASE{verdict} WHEN rejected THEN 'block' ELSE 'allow' END AS verdict, merged AS template, purity FROM out_"""
 
 
+def _fill() -> str:
+    """Outputs by substrings of code points; the text is rebuilt from the output's own sentinels."""
+    def number(k: int) -> str:
+        return f"CAST('0x' || substr(dice, {8 * k + 1}, 8) AS BIGINT)"
+
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS dice FROM documents),
+  drawn AS (SELECT doc_id, text, n, least({number(0)} % (n + 1), {number(1)} % (n + 1)) AS a, greatest({number(0)} % (n + 1), {number(1)} % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {number(2)} % 100 >= 90 THEN 'plain'
+      WHEN {number(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM docs),
+  cut AS (SELECT *, left(text, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM drawn),
+  made AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM cut),
+  found AS (SELECT *, string_split(output, '<P>') AS p, string_split(output, '<S>') AS s, string_split(output, '<M>') AS m FROM made)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN string_split(p[2], '<S>')[1] || m[2] || string_split(s[2], '<M>')[1]
+    ELSE string_split(p[2], '<M>')[1] || m[2] || string_split(s[2], '<P>')[1] END) AS restored_sha256 FROM found"""
+
+
+def _resampled() -> str:
+    """Buckets of distinct features, gains of 10,000 buckets, and one ranking."""
+    return f"""
+WITH crc AS MATERIALIZED (SELECT ({CRC_TABLE}) AS crc_of),
+  texts AS MATERIALIZED (SELECT row_number() OVER () AS place, doc_id, true AS own, coalesce({WORDS}, []) AS words FROM documents
+    UNION ALL SELECT -row_number() OVER (), NULL, false, coalesce({WORDS}, []) FROM benchmark),
+  features AS MATERIALIZED (SELECT place, own, unnest(list_concat(words, list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1]))) AS feature FROM texts),
+  raw AS (SELECT feature, list_transform(regexp_extract_all(hex(encode(feature)), '..'), lambda h: ('0x' || h)::UBIGINT) AS bytes FROM (SELECT DISTINCT feature FROM features)),
+  coded AS MATERIALIZED (SELECT feature, CAST({CRC} % 10000 AS BIGINT) AS bucket FROM raw, crc),
+  placed AS MATERIALIZED (SELECT place, own, bucket FROM features JOIN coded USING (feature)),
+  sums AS (SELECT count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM placed),
+  counts AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM placed GROUP BY 1),
+  gains AS (SELECT bucket, CAST(floor(1000 * ln(((c.t + 1)::DOUBLE * (a.s + 10000)::DOUBLE) / ((c.s + 1)::DOUBLE * (a.t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts c, sums a),
+  weights AS (SELECT place, count(*) AS n, sum(gain) AS total FROM placed JOIN gains USING (bucket) WHERE own GROUP BY 1),
+  scored AS (SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_features, CAST(coalesce(floor(total / n), 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM texts LEFT JOIN weights USING (place) WHERE own),
+  noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) FILTER (n_words >= 20) OVER () AS able FROM noisy)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM ranked"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_fenwick_fill_middle": _fill(),
+    "op12_crc_resampling": _resampled(),
     "op3_url_templates": _urls(),
     "op2_aho_decontamination": _leaks(),
     "op9_hilbert_shards": _shards(),

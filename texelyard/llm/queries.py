@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelyard.llm import bytecnn, decontam, hilbert, packing, rules, secrets, simhash, tokencache, tokenfile, urltree
+from texelyard.llm import bytecnn, decontam, fillmiddle, hilbert, packing, pieces, resampling, rules, secrets, simhash, tokencache, tokenfile, urltree
 from texelyard.llm.common import table
 from texelyard.session import new_folder
 
@@ -82,6 +82,18 @@ def op10_boosted_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.rule_digest(rules.judge(docs, forest))
 
 
+def op11_fenwick_fill_middle(spark: SparkSession, d: str) -> DataFrame:
+    return fillmiddle.fill_digest(fillmiddle.fill_in_middle(table(spark, d, "documents"), seed=1, plain_percent=10, suffix_first_percent=20))
+
+
+def op12_crc_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark"), percent=25, seed=7)
+
+
+def op13_backtracking_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.piece_digest(pieces.encode_pieces(table(spark, d, "documents"), "piece_bpe_32k.model", end_id=2))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_aho_decontamination": op2_aho_decontamination,
@@ -93,4 +105,7 @@ QUERIES = {
     "op8_assignment_secrets": op8_assignment_secrets,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_boosted_rules": op10_boosted_rules,
+    "op11_fenwick_fill_middle": op11_fenwick_fill_middle,
+    "op12_crc_resampling": op12_crc_resampling,
+    "op13_backtracking_pieces": op13_backtracking_pieces,
 }
