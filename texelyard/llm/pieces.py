@@ -34,32 +34,59 @@ PAIR_ENTRIES = 400_000
 SLICE_BYTES = 4 << 20
 
 
-class PieceVocabulary:
-    """Pieces, scores and the automaton of one .model file of merge type with byte fallback."""
+class PieceTexts:
+    """What each id of one .model file decodes to."""
 
-    def __init__(self, path: str, memo: int = MEMO_ENTRIES, pairs: int = PAIR_ENTRIES) -> None:
-        import ahocorasick
+    def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        library = SentencePieceProcessor(model_file=path)
+        self.library = library = SentencePieceProcessor(model_file=path)
         size = library.get_piece_size()
-        kept = [i for i in range(size) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i))]
-        _check(library, kept)
+        self.kept = [i for i in range(size) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i))]
+        _check(library, self.kept)
         self.name = [library.id_to_piece(i) for i in range(size)]
-        self.id_of = {self.name[i]: i for i in kept}
-        self.score = {self.name[i]: library.get_score(i) for i in kept}
-        self.unknown = library.unk_id()
-        self.control = {i for i in range(size) if library.is_control(i)}
         self.byte_id = {int(self.name[i][3:-1], 16): i for i in range(size) if library.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.byte_id.items()}
+        of_byte = {i: b for b, i in self.byte_id.items()}
+        # Bytes of all pieces one after another, spaces as spaces.
+        texts = [
+            b"" if library.is_control(i)
+            else bytes([of_byte[i]]) if i in of_byte
+            else UNKNOWN_TEXT.encode() if library.is_unknown(i)
+            else n.replace(SPACE, " ").encode()
+            for i, n in enumerate(self.name)
+        ]
+        self.texts = np.frombuffer(b"".join(texts), np.uint8)
+        self.text_at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """UTF-8 text of ids: pieces joined, the space in front taken off, each byte that is no character replaced."""
+        size = (self.text_at[1:] - self.text_at[:-1])[ids]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        raw = self.texts[np.repeat(self.text_at[ids] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        # Control ids have no text, but bytes on both sides of one are no character together.
+        marks = [0, *(upto[:-1][size == 0].tolist()), len(raw)]
+        text = b"".join(_valid(raw[a:b]) for a, b in zip(marks, marks[1:]) if a < b)
+        seen = np.flatnonzero(size)
+        return text[1:] if len(seen) and self.name[ids[seen[0]]].startswith(SPACE) else text
+
+
+class PieceVocabulary(PieceTexts):
+    """Pieces, scores and the automaton of one .model file of merge type with byte fallback."""
+
+    def __init__(self, path: str, memo: int = MEMO_ENTRIES, pairs: int = PAIR_ENTRIES) -> None:
+        import ahocorasick
+
+        super().__init__(path)
+        self.id_of = {self.name[i]: i for i in self.kept}
+        self.score = {self.name[i]: self.library.get_score(i) for i in self.kept}
         self.memo_entries, self.pair_entries = memo, pairs
         self.memo: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         # A piece that merging its own characters does not give can be in no encoding.
-        whole = [i for i in kept if self.merge(self.name[i]) == [self.name[i]]]
+        whole = [i for i in self.kept if self.merge(self.name[i]) == [self.name[i]]]
         reached = set(whole)
         self.length = [len(n) for n in self.name]
-        self.shorter = [-1] * size
+        self.shorter = [-1] * len(self.name)
         self.automaton = ahocorasick.Automaton()
         for i in whole:
             name = self.name[i]
@@ -67,17 +94,7 @@ class PieceVocabulary:
             starts = (self.id_of.get(name[:n], -1) for n in range(len(name) - 1, 0, -1))
             self.shorter[i] = next((k for k in starts if k in reached), -1)
         self.automaton.make_automaton()
-        self.cuts_at_space = not any(SPACE in self.name[i].lstrip(SPACE) for i in kept)
-        # What each id decodes to: bytes of all pieces one after another, spaces as spaces.
-        texts = [
-            b"" if i in self.control
-            else bytes([self.of_byte[i]]) if i in self.of_byte
-            else UNKNOWN_TEXT.encode() if i == self.unknown
-            else n.replace(SPACE, " ").encode()
-            for i, n in enumerate(self.name)
-        ]
-        self.texts = np.frombuffer(b"".join(texts), np.uint8)
-        self.text_at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self.cuts_at_space = not any(SPACE in self.name[i].lstrip(SPACE) for i in self.kept)
 
     def merge(self, text: str) -> list[str]:
         """Merge a short text pair by pair: the best score first, of equal ones the leftmost."""
@@ -191,17 +208,6 @@ class PieceVocabulary:
         """Ids of one whole text."""
         return self._slice(pa.array([text or ""], pa.string()))[0].tolist()
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 text of ids: pieces joined, the space in front taken off, each byte that is no character replaced."""
-        size = (self.text_at[1:] - self.text_at[:-1])[ids]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        raw = self.texts[np.repeat(self.text_at[ids] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
-        # Control ids have no text, but bytes on both sides of one are no character together.
-        marks = [0, *(upto[:-1][size == 0].tolist()), len(raw)]
-        text = b"".join(_valid(raw[a:b]) for a, b in zip(marks, marks[1:]) if a < b)
-        seen = np.flatnonzero(size)
-        return text[1:] if len(seen) and self.name[ids[seen[0]]].startswith(SPACE) else text
-
 
 def _valid(raw: bytes) -> bytes:
     try:
@@ -220,14 +226,14 @@ def _check(library, kept: list[int]) -> None:
         raise ValueError("only models without unused pieces and with byte fallback are supported")
 
 
-_vocabularies: dict[str, PieceVocabulary] = {}
+_loaded: dict[tuple[type, str], PieceTexts] = {}
 
 
-def public_vocabulary(name: str) -> PieceVocabulary:
-    """This process's vocabulary of the public file ``name``."""
-    if name not in _vocabularies:
-        _vocabularies[name] = PieceVocabulary(library_path(name))
-    return _vocabularies[name]
+def _public(kind: type, name: str):
+    """This process's ``kind`` of the public file ``name``."""
+    if (kind, name) not in _loaded:
+        _loaded[kind, name] = kind(library_path(name))
+    return _loaded[kind, name]
 
 
 def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", end_id: int | None = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,7 +250,7 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", end_id: i
         field.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = public_vocabulary(model)
+        vocabulary = _public(PieceVocabulary, model)
         for batch in batches:
             for first, ids, bounds in vocabulary.column(batch.column(1)):
                 n = len(bounds) - 1
@@ -270,7 +276,7 @@ def decode_pieces(encoded: DataFrame, model: str = "piece_bpe_32k.model", ids: s
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = public_vocabulary(model)
+        vocabulary = _public(PieceTexts, model)
         for batch in batches:
             held = (None if c is None else vocabulary.decode(np.frombuffer(c, "<u4")) for c in batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.binary()).cast(pa.string())], list(schema.names))
@@ -280,16 +286,19 @@ def decode_pieces(encoded: DataFrame, model: str = "piece_bpe_32k.model", ids: s
 
 def piece_digest(encoded: DataFrame, model: str = "piece_bpe_32k.model", key: str = "doc_id") -> DataFrame:
     """Digests of :func:`encode_pieces`, row by row: of the decimal ids joined by a space, and of the text decoded from the ids."""
-    decoded = decode_pieces(encoded.select(quoted(key).alias(key), "n_tokens", "ids"), model)
-    schema = decoded.select(quoted(key).alias(key), "n_tokens", F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    rows = encoded.select(quoted(key).alias(key), "n_tokens", "ids")
+    schema = rows.select(quoted(key).alias(key), "n_tokens", F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
     for field in schema:
         field.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _public(PieceTexts, model)
         for batch in batches:
-            ids = (" ".join(map(str, np.frombuffer(c, "<u4").tolist())).encode() for c in batch.column(2).to_pylist())
-            columns = [batch.column(0), batch.column(1), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string())]
-            columns.append(pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in batch.column(3)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, list(schema.names))
+            told, texts = [], []
+            for cell in batch.column(2):
+                ids = np.frombuffer(cell.as_buffer(), "<u4")
+                told.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
+                texts.append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.string()), pa.array(texts, pa.string())], list(schema.names))
 
-    return map_text(decoded, run, schema)
+    return map_text(rows, run, schema)
