@@ -1,8 +1,10 @@
 """Decontamination, secrets and near copies against brute force."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -135,6 +137,129 @@ def test_lexer_follows_references(use):
     assert lexed(f"OTHER=aB3dE6gH9kL2mN5p\npassword={use}\n") == []
 
 
+def plain_lexed(text):
+    """Lexed spans with every value written out, part by part."""
+    constants, found, done, floor = {}, set(), 0, 0
+    for m in secrets.OPERATOR.finditer(text):
+        if m.group() in ("==", "!=", "<=", ">=") or m.start() < done:
+            continue
+        name = secrets._name_before(text, m.start(), floor)
+        if name is None:
+            continue
+        at = m.end()
+        typed = re.compile(r" *[A-Za-z_][A-Za-z0-9_.\[\]<>]* *=(?![=>])").match(text, at) if m.group() == ":" else None
+        at = typed.end() if typed else at
+        spans, at, word = plain_value(text, at, constants)
+        if spans is None:
+            continue
+        constants[name] = spans
+        told = [(name, spans)]
+        if text.startswith("//", m.end()):
+            told += [(q[1], [q.span(2)]) for q in secrets.IN_ADDRESS.finditer(text, m.end(), at)]
+        found |= {s for n, v in told if secrets.is_sensitive(n) and plain_score(text, v) >= 3 for s in v if s[1] > s[0]}
+        done, floor = max(done, m.end() if word else at), m.end() if word else at
+    return found
+
+
+def plain_value(text, at, constants):
+    at += len(text[at:]) - len(text[at:].lstrip(" \t"))
+    at += len(re.match(r"(?:[Bb](?:earer|asic) +)?", text[at:])[0])
+    out, count, word = [], 0, False
+    while True:
+        string = re.match(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'', text[at:])
+        refs = None if string else secrets.BARE_REFERENCES.match(text, at)
+        bare = None if string else secrets.BARE.match(text, at)
+        if string:
+            start, end = at + 1, at + string.end() - 1
+            out += plain_parts(text, start, end, constants) or [(start, end)]
+            word, at = False, at + string.end()
+        elif refs and (parts := plain_parts(text, *refs.span(), constants)):
+            out += parts
+            word, at = False, refs.end()
+        elif bare:
+            known = constants.get(bare[0].removeprefix("$").rstrip("."))
+            out += known or [bare.span()]
+            word, at = re.fullmatch(r"\$?[A-Za-z_][A-Za-z0-9_.-]*", bare[0]) is not None, bare.end()
+        else:
+            break
+        count += 1
+        plus = re.match(r" *\+ *", text[at:])
+        if not plus:
+            break
+        word, at = False, at + plus.end()
+    return (out if count else None), at, word and count == 1
+
+
+def plain_parts(text, start, end, constants):
+    out, done, hit = [], start, False
+    for m in re.finditer(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))", text[start:end]):
+        known = constants.get(m[1] or m[2])
+        if known is None:
+            continue
+        out += ([(done, start + m.start())] if start + m.start() > done else []) + known
+        done, hit = start + m.end(), True
+    return (out + ([(done, end)] if end > done else [])) if hit else None
+
+
+def plain_score(text, spans):
+    value = "".join(text[a:b].strip() for a, b in spans)
+    low = value.lower()
+    if len(value) < 8 or low in secrets.PLACEHOLDERS or low.startswith(secrets.BEGINNINGS):
+        return 0
+    times = Counter(value.encode()).values()
+    bits = -sum(n / sum(times) * math.log2(n / sum(times)) for n in times) + 1e-6
+    kinds = sum(any(map(f, value)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    mixed = any(map(str.isdigit, value)) and any(map(str.isalpha, value))
+    return (bits >= 2.5) + (bits >= 3.5) + (kinds >= 2) + mixed + (len(value) >= 16) - 2 * (" " in value)
+
+
+CODE = ["a", "b", "KEY", "password", "api_key", "token", " ", " ", "=", " = ", ": ", ":", "=>", "==", " + ", "+", '"', "'", "${a}", "$b", "${KEY}", "xY12kLmn", "aB3dE6gH9kL2",
+        "changeme", "Bearer ", "http://h/p?", "//", "&", "\n", "\n", "\\", "str = ", "é", "(", ";", " two words 12 "]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(CODE), max_size=40))
+def test_lexer_against_values_written_out(parts):
+    text = "".join(parts)
+    base = [(s.start, s.end) for s in secrets.base_spans(text)]
+    want = {s for s in plain_lexed(text) if not any(a <= s[0] and s[1] <= b for a, b in base)}
+    assert {(s.start, s.end) for s in secrets.find_spans(text) if s.kind == "lexed"} == want
+
+
+@pytest.mark.parametrize("text,found", [
+    ('a = "abcdefgh1234"\n' + "a = a + a\n" * 40 + "password = a", ["abcdefgh1234"]),
+    ('a = "abcdefgh1234"\n' + "a = a + a\n" * 20_000 + "password = a", ["abcdefgh1234"]),
+    ("".join(f'a = a + "k{k}"\n' for k in range(20_000)) + "password = a", None),
+    ("key " + "a://" * 250_000, []),
+    ("key " + "a=//" * 250_000, []),
+    ("key " + "password=" * 100_000, None),
+    ("key " + "a:b=" * 200_000, None),
+    ("key = " + '"x" + ' * 150_000 + '"y"', None),
+    ("api_key = A\n" * 60_000, []),
+])
+def test_lexer_is_bounded(text, found):
+    begun = time.process_time()
+    spans = secrets.find_spans(text)
+    assert time.process_time() - begun < 6
+    if found is not None:
+        assert [text[s.start : s.end] for s in spans if s.kind == "lexed"] == found
+
+
+@pytest.mark.parametrize("use", ['password="${A}"', "password=A", "password=$A", "password=${A}"])
+def test_long_constants_are_found(use):
+    literal = "aB3dE6gH9k" * 9_000
+    text = f'A="{literal}"\n{use}'
+    assert [text[s.start : s.end] for s in secrets.find_spans(text) if s.kind == "lexed"] == [literal]
+
+
+@pytest.mark.parametrize("text,found", [
+    ("see https://h/x?user=me&password=Zx81kQ02mmPq&y=1", "Zx81kQ02mmPq"),
+    ("a = password2 = 'Zx81kQ02mmPq'", "Zx81kQ02mmPq"),
+])
+def test_names_inside_other_values(text, found):
+    assert found in [text[s.value : s.end] for s in secrets.find_spans(text)]
+
+
 def test_secrets_in_every_case(spark):
     docs = documents(spark)
     rows = secrets.secret_digest(secrets.scan_secrets(docs)).collect()

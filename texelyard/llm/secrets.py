@@ -10,12 +10,11 @@ assigned from it.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +43,11 @@ PLACEHOLDERS = frozenset(
     "changeme change_me example placeholder none null nil true false undefined redacted string str text password secret token required optional".split()
 )
 LITERAL_LEAST, SCORE_LEAST = 8, 3
-RESOLVED_MOST = 1 << 16  # characters; constants that refer to themselves could double at every line
+HEAD_CHARS = 24  # of a value, for the words and beginnings that make it a placeholder
+# Counts are scaled down beyond, as constants that refer to themselves double at every line.
+COUNTS_MOST = 2.0**60
+# Classes whose counts give a value's entropy: each printable ASCII character, the other ones of ASCII, and bytes from 0x80 by five bits.
+CLASS = np.array([b - 0x20 if 0x20 <= b < 0x7F else 95 if b < 0x80 else 96 + (b & 31) for b in range(256)])
 
 OPERATOR = re.compile(r":=|=>|==|!=|<=|>=|=|:")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -56,6 +59,11 @@ REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_
 BARE_REFERENCES = re.compile(rf"""(?:{REFERENCE.pattern}|[^\s"'`#;,(){{}}\[\]<>|+])+""")
 SCHEME = re.compile(r"(?:[Bb]earer|[Bb]asic)\x20+")
 PLUS = re.compile(r"\x20*\+\x20*")
+# Names and values inside an address, where ``&`` and the like end a value.
+IN_ADDRESS = re.compile(r"""([A-Za-z0-9_.-]+)[=:]([^\s"'`#;,(){}\[\]<>|+&=:/@?]+)""")
+NAME = re.compile(r"\$?[A-Za-z_][A-Za-z0-9_.-]*")
+NAME_MOST = 256
+BEGINNINGS = ("your", "<", "${", "{{", "%(", "http://", "https://", "xxx", "***")
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 
 
@@ -82,34 +90,113 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-class Value(NamedTuple):
-    text: str
-    spans: tuple[tuple[int, int], ...]
+class Value:
+    """What a name is assigned: a literal's span, or values one after another; no text is ever joined.
+
+    Constants share their parts, so a document's values take memory in proportion to the
+    document, however often constants are used in one another.
+    """
+
+    __slots__ = ("span", "parts", "stats", "told")
+
+    def __init__(self, span: tuple[int, int] | None, parts: tuple[Value, ...] = ()) -> None:
+        self.span, self.parts = span, parts
+        self.stats: Stats | None = None
+        self.told = False
+
+
+class Stats(NamedTuple):
+    """Of the literals of a value, white space at their ends left out; sums of those of its parts."""
+
+    length: float
+    counts: np.ndarray  # of the UTF-8 bytes of each ``CLASS``
+    kinds: tuple[bool, bool, bool, bool, bool]  # lower, upper, digit, neither letter nor digit, letter
+    head: str
+
+
+NOTHING = Stats(0.0, np.zeros(128, np.float32), (False,) * 5, "")
+
+
+def literal_stats(literal: str) -> Stats:
+    plain = literal.strip()
+    if not plain:
+        return NOTHING
+    counts = np.bincount(CLASS[np.frombuffer(plain.encode(), np.uint8)], minlength=128).astype(np.float32)
+    chars = set(plain)
+    tests = (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum(), str.isalpha)
+    return Stats(float(len(plain)), counts, tuple(any(map(test, chars)) for test in tests), plain[:HEAD_CHARS])
+
+
+def _added(parts: tuple[Value, ...]) -> Stats:
+    length, counts, kinds, head = NOTHING
+    counts = counts.copy()
+    for part in parts:
+        length += part.stats.length
+        counts += part.stats.counts
+        kinds = tuple(a or b for a, b in zip(kinds, part.stats.kinds))
+        head = head if len(head) == HEAD_CHARS else (head + part.stats.head)[:HEAD_CHARS]
+        if counts.max() > COUNTS_MOST:
+            counts /= np.float32(COUNTS_MOST)
+    return Stats(length, counts, kinds, head)
+
+
+def value_stats(text: str, value: Value) -> Stats:
+    """Statistics of a value; each value it is made of is looked at once in a document."""
+    todo = [value]
+    while todo:
+        now = todo[-1]
+        if now.stats is None and now.span is not None:
+            now.stats = literal_stats(text[slice(*now.span)])
+        missing = [p for p in now.parts if p.stats is None] if now.stats is None else []
+        if missing:
+            todo += missing
+            continue
+        if now.stats is None:
+            now.stats = _added(now.parts)
+        todo.pop()
+    return value.stats
+
+
+def new_literals(value: Value) -> Iterator[tuple[int, int]]:
+    """Spans of the literals of a value that no value before has told."""
+    todo = [value]
+    while todo:
+        now = todo.pop()
+        if now.told:
+            continue
+        now.told = True
+        if now.span is not None:
+            yield now.span
+        todo += now.parts
 
 
 def assignments(text: str) -> Iterator[tuple[str, Value]]:
-    """Name and resolved value of each assignment, in the order of the text.
+    """Name and value of each assignment, in the order of the text.
 
-    Each name run ends at the operator before, so the scan is linear in the text.
+    A name run ends at the operator before it and a value is passed over once, so the scan is linear in the text.
     """
     constants: dict[str, Value] = {}
-    done = 0
+    done = floor = 0
     for m in OPERATOR.finditer(text):
         if m.group() in ("==", "!=", "<=", ">=") or m.start() < done:
             continue
-        name = _name_before(text, m.start(), done)
+        name = _name_before(text, m.start(), floor)
         if name is None:
             continue
         at = m.end()
         if m.group() == ":":
             annotated = TYPE.match(text, at)
             at = annotated.end() if annotated else at
-        value, at = _value_after(text, at, constants)
+        value, end, word = _value_after(text, at, constants)
         if value is None:
             continue
-        done = max(done, value.spans[-1][1] if text[m.end() : m.end() + 2] != "//" else m.end())
         constants[name] = value
         yield name, value
+        if text.startswith("//", m.end()):
+            for inner in IN_ADDRESS.finditer(text, m.end(), end):
+                yield inner[1], Value(inner.span(2))
+        # A single word may be a name that is assigned in turn.
+        done, floor = max(done, end if not word else m.end()), (m.end() if word else end)
 
 
 def _name_before(text: str, at: int, floor: int) -> str | None:
@@ -126,14 +213,14 @@ def _name_before(text: str, at: int, floor: int) -> str | None:
     return text[start:end] or None
 
 
-def _value_after(text: str, at: int, constants: dict[str, Value]) -> tuple[Value | None, int]:
-    """A literal, a known name, or a chain of these joined by ``+``."""
+def _value_after(text: str, at: int, constants: dict[str, Value]) -> tuple[Value | None, int, bool]:
+    """A literal, a known name, or a chain of these joined by ``+``; where it ends, and whether it is one bare name."""
     while at < len(text) and text[at] in " \t":
         at += 1
     scheme = SCHEME.match(text, at)
     at = scheme.end() if scheme else at
-    parts: list[str] = []
-    spans: list[tuple[int, int]] = []
+    parts: list[Value] = []
+    word = False
     while True:
         quoted_text = STRING.match(text, at)
         bare = None if quoted_text else BARE.match(text, at)
@@ -141,54 +228,46 @@ def _value_after(text: str, at: int, constants: dict[str, Value]) -> tuple[Value
         if quoted_text:
             group = 1 if quoted_text.group(1) is not None else 2
             # Single quotes keep a reference as it is in shells, but not in compose files.
-            value = _referenced(text, *quoted_text.span(group), constants) or Value(quoted_text.group(group), (quoted_text.span(group),))
-            parts.append(value.text)
-            spans += value.spans
+            parts.append(_referenced(text, *quoted_text.span(group), constants) or Value(quoted_text.span(group)))
             at = quoted_text.end()
         elif braced and (value := _referenced(text, *braced.span(), constants)):
-            parts.append(value.text)
-            spans += value.spans
+            parts.append(value)
             at = braced.end()
         elif bare:
-            known = constants.get(bare.group().removeprefix("$").rstrip("."))
-            parts.append(known.text if known else bare.group())
-            spans += known.spans if known else (bare.span(),)
+            # A name is short; a long run is a literal and no copy of it is looked up.
+            short = bare.end() - bare.start() <= NAME_MOST
+            known = constants.get(bare.group().removeprefix("$").rstrip(".")) if short else None
+            parts.append(known or Value(bare.span()))
+            word = len(parts) == 1 and short and NAME.fullmatch(text, *bare.span()) is not None
             at = bare.end()
         else:
             break
         joined = PLUS.match(text, at)
         if not joined:
             break
-        at = joined.end()
-    return (Value("".join(parts), tuple(spans)) if parts else None), at
+        word, at = False, joined.end()
+    if not parts:
+        return None, at, False
+    return (parts[0] if len(parts) == 1 else Value(None, tuple(parts))), at, word and len(parts) == 1
 
 
 def _referenced(text: str, start: int, end: int, constants: dict[str, Value]) -> Value | None:
-    """A stretch of text with its references to known constants resolved; null if it has none.
-
-    Spans are those of the constants' literals and of what is written between references.
-    """
-    parts: list[str] = []
-    spans: list[tuple[int, int]] = []
+    """A stretch of text with its references to known constants as parts; null if it has none."""
+    parts: list[Value] = []
     done, resolved = start, False
     for m in REFERENCE.finditer(text, start, end):
         known = constants.get(m[1] or m[2])
         if known is None:
             continue
         if m.start() > done:
-            parts.append(text[done : m.start()])
-            spans.append((done, m.start()))
-        parts.append(known.text)
-        spans += known.spans
+            parts.append(Value((done, m.start())))
+        parts.append(known)
         done, resolved = m.end(), True
-        if sum(map(len, parts)) > RESOLVED_MOST or len(spans) > RESOLVED_MOST:
-            return None
     if not resolved:
         return None
     if end > done:
-        parts.append(text[done:end])
-        spans.append((done, end))
-    return Value("".join(parts), tuple(spans))
+        parts.append(Value((done, end)))
+    return parts[0] if len(parts) == 1 else Value(None, tuple(parts))
 
 
 def is_sensitive(name: str) -> bool:
@@ -196,16 +275,16 @@ def is_sensitive(name: str) -> bool:
     return not SENSITIVE.isdisjoint(parts) or any(p in SENSITIVE_PAIRS for p in zip(parts, parts[1:]))
 
 
-def literal_score(value: str) -> int:
-    """Points for a literal that looks generated; placeholders and templates get none."""
-    plain = value.strip()
-    low = plain.lower()
-    if len(plain) < LITERAL_LEAST or low in PLACEHOLDERS or low.startswith(("your", "<", "${", "{{", "%(", "http://", "https://", "xxx", "***")):
+def value_score(stats: Stats) -> int:
+    """Points for a value that looks generated; placeholders and templates get none."""
+    low = stats.head.lower()
+    if stats.length < LITERAL_LEAST or (stats.length <= HEAD_CHARS and low in PLACEHOLDERS) or low.startswith(BEGINNINGS):
         return 0
-    counts = Counter(plain)
-    bits = -sum(n / len(plain) * math.log2(n / len(plain)) for n in counts.values())
-    kinds = sum(any(f(c) for c in plain) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return (bits >= 2.5) + (bits >= 3.5) + (kinds >= 2) + (any(c.isdigit() for c in plain) and any(c.isalpha() for c in plain)) + (len(plain) >= 16) - 2 * (" " in plain)
+    share = stats.counts[stats.counts > 0] / stats.counts.sum()
+    bits = float(-(share * np.log2(share)).sum())
+    lower, upper, digit, other, letter = stats.kinds
+    spaced = stats.counts[0] > 0
+    return (bits >= 2.5 - 1e-6) + (bits >= 3.5 - 1e-6) + (lower + upper + digit + other >= 2) + (digit and letter) + (stats.length >= 16) - 2 * spaced
 
 
 def find_spans(text: str | None) -> list[Span]:
@@ -222,8 +301,8 @@ def find_spans(text: str | None) -> list[Span]:
         lexed = {
             span
             for name, value in assignments(text)
-            if is_sensitive(name) and literal_score(value.text) >= SCORE_LEAST
-            for span in value.spans
+            if is_sensitive(name) and value_score(value_stats(text, value)) >= SCORE_LEAST
+            for span in new_literals(value)
             if span[1] > span[0]
         }
         # Spans of one kind do not overlap: of the base spans up to here, the one that reaches furthest decides.
