@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
+from compare import connect, differences
 from helpers import CASES, SF, documents
 from pyspark.sql import functions as F
 from texelyard.llm import decontam, hilbert, secrets, simhash, urltree
+from texelyard.llm.oracle import ORACLE
 from texelyard.llm.queries import QUERIES, URL_RULES
 from texelyard.session import new_folder
 
@@ -113,7 +115,7 @@ def test_urls_of_every_case(spark):
         rule = brute_rule(r.host, r.path)
         assert (r.rule, r.verdict) == ((rule[1], rule[0]) if rule else (None, "allow"))
     assert urltree.judge_urls(pages.limit(0), none, URL_RULES).count() == 0
-    assert [r.template for r in rows if r.page_id == 14] == ["/" + "deep/" * 7 + "{deep}/**"]
+    assert [r.template for r in rows if r.page_id == 14] == ["/" + "deep/" * 29 + "{deep}"]
 
 
 def test_templates_generalise_merge_and_reject(spark):
@@ -140,6 +142,70 @@ def test_a_section_is_judged_alike_among_few_siblings_and_many(spark, siblings):
     assert {r.path.split("/")[1] for r in rows if r.verdict == "block"} == {"spam", "junk"}
 
 
+def judged(spark, sections):
+    """Verdict by section of pages in (section, pages, labelled, bad) lists."""
+    urls, marks = [], []
+    for section, n, told, bad in sections:
+        own = [f"http://h.org/{section}/{k}" for k in range(n)]
+        urls += own
+        marks += [(u, int(k < bad)) for k, u in enumerate(own[:told])]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = urltree.judge_urls(pages, spark.createDataFrame(marks, "url string, bad int"), []).collect()
+    out = defaultdict(set)
+    for r in rows:
+        out[r.path.rsplit("/", 1)[0][1:]].add(r.verdict)
+    assert all(len(v) == 1 for v in out.values())
+    return {k: min(v) for k, v in out.items()}, {r.path.rsplit("/", 1)[0][1:]: r.template for r in rows}
+
+
+def test_siblings_without_labels_bridge_nothing(spark):
+    found, named = judged(spark, [("aaa", 500, 500, 0), ("bbb", 5, 0, 0), ("ccc", 500, 500, 500)])
+    assert found == {"aaa": "allow", "bbb": "allow", "ccc": "block"}
+    assert named == {"aaa": "/{aaa}/*", "bbb": "/{bbb}/*", "ccc": "/{ccc}/*"}
+    assert judged(spark, [("a", 50, 50, 50), ("b", 5, 0, 0), ("c", 50, 50, 48)])[0]["b"] == "block"
+
+
+def test_a_chain_of_few_labels_is_cut(spark):
+    found, named = judged(spark, [("a", 3, 3, 0), ("b", 3, 3, 1), ("c", 3, 3, 2), ("d", 3, 3, 3)])
+    assert found == {"a": "allow", "b": "allow", "c": "block", "d": "block"}
+    assert named["a"] == named["b"] == "/{a|b}/*" and named["c"] == named["d"] == "/{c|d}/*"
+
+
+@pytest.mark.parametrize("depth", [7, 12, 200])
+def test_sections_at_any_depth(spark, depth):
+    above = "/".join(f"s{k}" for k in range(depth))
+    found, _ = judged(spark, [(f"{above}/good", 300, 300, 0), (f"{above}/bad", 300, 300, 300)])
+    assert found == {f"{above}/good": "allow", f"{above}/bad": "block"}
+
+
+def test_wide_nodes_above_one_another(spark):
+    sections = [(f"u{k}/v{j}/{end}", 1, int((k + j) % 10 == 0), int(end == "spam")) for k in range(20) for j in range(20) for end in ("fine", "spam")]
+    found, named = judged(spark, sections)
+    assert {named[s[0]] for s in sections} == {"/*/*/{fine}/*", "/*/*/{spam}/*"}
+    assert all((v == "block") == k.endswith("spam") for k, v in found.items())
+
+
+def test_statement_has_the_rule_of_the_code(spark, tmp_path):
+    """Wide nodes, supported and differing segments, unlabelled siblings, chains and deep paths in one table."""
+    sections = [("wide/one", 40, 10), ("wide/two", 8, 8), ("wide/three", 6, 1), *[(f"wide/v{k}", 2, k % 2) for k in range(16)]]
+    sections += [(f"many/v{k}/x{j}", 1, (k + j) % 3 == 0) for k in range(18) for j in range(18)]
+    sections += [("x/a", 3, 0), ("x/b", 3, 1), ("x/c", 3, 2), ("x/d", 3, 3), ("x/none", 0, 0), ("/".join("abcdefghijklm") + "/good", 30, 0), ("/".join("abcdefghijklm") + "/bad", 30, 30)]
+    urls, labels, at = [], [], 0
+    for section, told, bad in sections:
+        for k in range(max(told, 2)):
+            urls.append((at, f"http://{'h' if at % 2 else 'H'}.org/{section}/{at}.html"))
+            labels += [(at, int(k >= bad), 0)] if k < told else []
+            at += 1
+    urls += [(at, None), (at, "no"), (at, "x://h.org/wide/one/7"), (None, "x://h.org/wide/one/8")]
+    spark.createDataFrame(urls, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels")
+    for name in ("pages", "labels"):
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    rows = QUERIES["op3_url_templates"](spark, str(tmp_path))
+    assert differences(connect(str(tmp_path)), ORACLE["op3_url_templates"], rows) is None
+    assert {"/{wide}/*/*.html", "/wide/{one}/*.html", "/wide/{two}/*.html", "/x/{none}/*.html", "/{many}/*/*/*.html"} <= {r.template for r in rows.collect()}
+
+
 def test_query_urls(spark):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = QUERIES["op3_url_templates"](spark, SF).collect()

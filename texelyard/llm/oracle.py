@@ -85,48 +85,66 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(s AS INTEGER) AS shard, r -
 
 
 def _urls() -> str:
-    """The template tree of each host, one CTE per level."""
+    """The template tree of each host by a recursion over levels, and its siblings by a recursion over cuts."""
     rest = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END"
     number = r"^[0-9]+(\.[A-Za-z0-9]+)?$"
     shape = (
         f"list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), "
         f"lambda s: CASE WHEN regexp_matches(s, '{number}') THEN '*' || regexp_extract(s, '{number}', 1) ELSE s END)"
     )
-    levels, depth = [], urltree.DEPTH
-    for k in range(depth):
-        levels.append(f"""s{k} AS (SELECT *, shape[{k + 1}] AS seg FROM t{k}),
-  m{k} AS (SELECT host, done, count(DISTINCT seg) > {urltree.FANOUT} AS many FROM s{k} WHERE seg IS NOT NULL AND NOT starts_with(seg, '*') GROUP BY 1, 2),
-  t{k + 1} AS (SELECT * EXCLUDE (done, seg, many), CASE WHEN seg IS NULL THEN done
-    ELSE list_append(done, CASE WHEN coalesce(many, false) AND NOT starts_with(seg, '*') THEN '*' ELSE seg END) END AS done FROM s{k} LEFT JOIN m{k} USING (host, done))""")
+
+    def contrast(b: str, n: str, b2: str, n2: str) -> str:
+        pooled = f"(({b} + {b2}) / ({n} + {n2}))"
+        spread = f"({pooled} * (1 - {pooled}) * (1.0::DOUBLE / {n} + 1.0::DOUBLE / {n2}))"
+        apart = f"({b} / {n} - {b2} / {n2})"
+        return f"CASE WHEN {n} > 0 AND {n2} > 0 AND {spread} > 0 THEN {apart} * {apart} / {spread} END"
+
     rule = verdict = ""
     for said, r in sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1])):
         name, _, tail = r.partition("/")
         rule += f" WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{tail}') THEN '{r}'"
         verdict += f" WHEN rule = '{r}' THEN '{said}'"
-    smooth = urltree.SMOOTHING
-    order = "(PARTITION BY host, key ORDER BY share, template)"
+    smooth, least = urltree.SMOOTHING, urltree.SIMILAR_Z**2
     return f"""
-WITH links AS (SELECT page_id, url, {rest} AS rest FROM pages),
+WITH RECURSIVE links AS (SELECT page_id, url, {rest} AS rest FROM pages),
   parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM links),
-  seen AS (SELECT page_id, host, path, {shape} AS shape, try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})(\\.[A-Za-z0-9]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM parts),
+  seen AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, coalesce({shape}, []) AS shape,
+    try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})(\\.[A-Za-z0-9]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM parts),
   quality AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1),
   told AS (SELECT host, shape, count(quality) AS labelled, count(*) FILTER (quality = 0) AS bad FROM seen LEFT JOIN quality USING (doc_id) GROUP BY 1, 2),
-  t0 AS (SELECT *, CAST([] AS VARCHAR[]) AS done FROM told),
-  {", ".join(levels)},
-  grown AS (SELECT host, shape, labelled, bad, CASE WHEN len(shape) > {depth} THEN list_append(done, '**') ELSE done END AS template FROM t{depth}),
+  tree AS (SELECT host, shape, labelled, bad, 0 AS k, CAST([] AS VARCHAR[]) AS done FROM told
+    UNION ALL
+    SELECT host, shape, labelled, bad, k + 1, list_append(done, CASE WHEN n > {urltree.FANOUT} AND NOT wild AND l < {urltree.SUPPORTED}
+      AND NOT (l >= {urltree.COMPARED} AND coalesce({contrast('b', 'l', '(nb - b)', '(nl - l)')} >= {least}, false)) THEN '*' ELSE seg END)
+    FROM (SELECT *, count(DISTINCT seg) OVER (PARTITION BY host, done, wild) AS n, sum(labelled) OVER (PARTITION BY host, done, wild) AS nl, sum(bad) OVER (PARTITION BY host, done, wild) AS nb,
+        sum(labelled) OVER (PARTITION BY host, done, seg) AS l, sum(bad) OVER (PARTITION BY host, done, seg) AS b
+      FROM (SELECT *, shape[k + 1] AS seg, starts_with(shape[k + 1], '*') AS wild FROM tree WHERE k < len(shape)))),
+  grown AS (SELECT host, shape, labelled, bad, done AS template FROM tree WHERE k = len(shape)),
   summed AS (SELECT host, template, CAST(sum(labelled) AS BIGINT) AS labelled, CAST(sum(bad) AS BIGINT) AS bad FROM grown GROUP BY 1, 2),
   prior AS (SELECT (sum(bad) + 1) / (sum(labelled) + 2) AS p FROM summed),
   at_ AS (SELECT *, coalesce(list_max(list_filter(range(1, len(template) + 1), lambda k: NOT starts_with(template[k], '*'))), 0) AS spot,
     (bad + {smooth} * p) / (labelled + {smooth}) AS share FROM summed, prior),
   keyed AS (SELECT *, '/' || array_to_string(list_transform(template, lambda s, k: CASE WHEN k = spot THEN '{{}}' ELSE s END), '/') AS key FROM at_),
-  paired AS (SELECT *, lag(bad) OVER {order} AS b0, lag(labelled) OVER {order} AS n0 FROM keyed),
-  tested AS (SELECT *, CASE WHEN labelled > 0 AND n0 > 0 THEN sqrt(((bad + b0) / (labelled + n0)) * (1 - (bad + b0) / (labelled + n0)) * (1.0 / labelled + 1.0 / n0)) END AS spread,
-    CASE WHEN labelled > 0 AND n0 > 0 THEN abs(bad / labelled - b0 / n0) END AS apart FROM paired),
-  grouped AS (SELECT *, sum(CASE WHEN spread > 0 AND apart >= {urltree.SIMILAR_Z} * spread THEN 1 ELSE 0 END) OVER {order} AS part FROM tested),
-  merged AS (SELECT host, key, part, (sum(bad) + {smooth} * any_value(p)) / (sum(labelled) + {smooth}) AS purity, sum(labelled) AS told_,
-    array_to_string(list_sort(list(DISTINCT CASE WHEN spot > 0 THEN template[spot] END)), '|') AS names FROM grouped GROUP BY 1, 2, 3),
-  judged AS (SELECT g.host, g.template, CASE WHEN spot = 0 THEN key ELSE replace(key, '{{}}', '{{' || names || '}}') END AS merged, purity,
-    told_ > 0 AND purity >= {urltree.REJECT_SHARE} AS rejected FROM grouped g JOIN merged USING (host, key, part)),
+  cuts AS (SELECT 0 AS round, host, key, template, spot, labelled, bad, share, '' AS part FROM keyed WHERE labelled > 0
+    UNION ALL
+    SELECT round + 1, host, key, template, spot, labelled, bad, share, CASE WHEN best >= {least} THEN part || CASE WHEN place > cut THEN '1' ELSE '0' END ELSE part END
+    FROM (SELECT *, max(best) OVER () AS most FROM (
+      SELECT *, min(CASE WHEN q = best THEN place END) OVER (PARTITION BY host, key, part) AS cut FROM (
+        SELECT *, max(q) OVER (PARTITION BY host, key, part) AS best FROM (
+          SELECT *, {contrast('b', 'n', '(tb - b)', '(tn - n)')} AS q FROM (
+            SELECT *, row_number() OVER up AS place, sum(labelled) OVER up AS n, sum(bad) OVER up AS b, sum(labelled) OVER (PARTITION BY host, key, part) AS tn, sum(bad) OVER (PARTITION BY host, key, part) AS tb
+            FROM cuts WINDOW up AS (PARTITION BY host, key, part ORDER BY share, template ROWS UNBOUNDED PRECEDING))))))
+    WHERE most >= {least}),
+  parted AS (SELECT host, key, template, spot, labelled, bad, part FROM cuts WHERE round = (SELECT max(round) FROM cuts)
+    UNION ALL SELECT host, key, template, spot, labelled, bad, NULL FROM keyed WHERE labelled = 0),
+  pure AS (SELECT host, key, part, (CAST(sum(bad) AS BIGINT) + {smooth} * any_value(p)) / (CAST(sum(labelled) AS BIGINT) + {smooth}) AS own,
+    array_to_string(list_sort(list(DISTINCT CASE WHEN spot > 0 THEN template[spot] END)), '|') AS names FROM parted, prior GROUP BY 1, 2, 3),
+  nodes AS (SELECT host, key, (CAST(sum(bad) AS BIGINT) + {smooth} * any_value(p)) / (CAST(sum(labelled) AS BIGINT) + {smooth}) AS overall FROM parted, prior GROUP BY 1, 2),
+  verdicts AS (SELECT host, key, bool_and(own >= {urltree.REJECT_SHARE}) FILTER (part IS NOT NULL) AS every FROM pure GROUP BY 1, 2),
+  judged AS (SELECT t.host, t.template, CASE WHEN t.spot = 0 THEN t.key ELSE replace(t.key, '{{}}', '{{' || names || '}}') END AS merged,
+    CASE WHEN t.part IS NULL THEN overall ELSE own END AS purity, CASE WHEN t.part IS NULL THEN coalesce(every, false) ELSE own >= {urltree.REJECT_SHARE} END AS rejected
+    FROM parted t JOIN pure u ON t.host = u.host AND t.key = u.key AND t.part IS NOT DISTINCT FROM u.part JOIN nodes n ON t.host = n.host AND t.key = n.key
+    JOIN verdicts v ON t.host = v.host AND t.key = v.key),
   out_ AS (SELECT page_id, s.host, path, CASE{rule} END AS rule, merged, purity, rejected FROM seen s JOIN grown USING (host, shape) JOIN judged j ON j.host = grown.host AND j.template = grown.template)
 SELECT page_id, host, path, rule, CASE{verdict} WHEN rejected THEN 'block' ELSE 'allow' END AS verdict, merged AS template, purity FROM out_"""
 

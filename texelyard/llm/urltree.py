@@ -2,7 +2,8 @@
 
 Paths are split into segments. Numbers become wildcards at once; other segments
 do where a node of the tree has too many different ones and their own labels say little. Branches under one node that
-lead to the same rest and whose labelled rates do not differ significantly are merged, and a
+lead to the same rest are put in order of their share of bad labels and stay merged but where the accumulated
+labels on both sides of a place differ significantly. A
 template is rejected when its smoothed share of bad labels is high. Written
 rules go before templates. DataFrame functions only.
 """
@@ -21,7 +22,6 @@ from texelyard.session import stage
 FANOUT = 16
 # Labels from which a segment is a branch whatever the fan-out: by their number alone, or if they differ from the node's rest.
 SUPPORTED, COMPARED = 30, 5
-DEPTH = 8
 SMOOTHING = 8.0
 SIMILAR_Z = 1.64
 REJECT_SHARE = 0.5
@@ -68,49 +68,76 @@ def _joined(parts: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(parts, "/"))
 
 
-def _differs(bad: Column, n: Column, other_bad: Column, other_n: Column) -> Column:
-    """Whether two shares of bad labels differ; null without labels on both sides."""
+def _contrast(bad: Column, n: Column, other_bad: Column, other_n: Column) -> Column:
+    """Square of the two-proportion z of two shares of bad labels; null without labels on both sides or if all labels agree."""
     pooled = F.try_divide(bad + other_bad, n + other_n)
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), other_n)))
-    apart = F.abs(F.try_divide(bad, n) - F.try_divide(other_bad, other_n))
-    return (spread > 0) & (apart >= SIMILAR_Z * spread)
+    spread = pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), other_n))
+    apart = F.try_divide(bad, n) - F.try_divide(other_bad, other_n)
+    return F.when(spread > 0, apart * apart / spread)
 
 
-def templates(shapes: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """Add ``template`` to distinct ``host, shape`` rows with ``labelled`` and ``bad``, level by level of each host's tree.
+def templates(shapes: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """Add ``template`` to distinct ``host, shape`` rows with ``labelled`` and ``bad``, at any depth of each host's tree.
 
     A node with more than ``fanout`` different segments gets one wildcard branch for
     those that vary: a segment with ``SUPPORTED`` labels stays a branch, and so does one with ``COMPARED`` labels whose
-    share of bad ones differs from that of the rest of the node (two-proportion z of ``SIMILAR_Z``). What lies below ``depth`` levels is one segment, ``**``. Each level is
-    written to the shared folder; its counts are combined before they are shuffled.
+    share of bad ones differs from that of the rest of the node (two-proportion z of ``SIMILAR_Z``). Nodes are settled from the
+    top: what lies below a wildcard is one subtree before it is looked at. A round settles the topmost open wide node of every
+    shape and is written to the shared folder, so there are as many rounds as wide nodes above one another, not as levels.
     """
-    now = stage(shapes.withColumn("_done", F.array().cast("array<string>")), "urls")
-    deepest = now.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(min(depth, deepest)):
-        here = now.withColumn("_seg", F.get("shape", F.lit(level)))
-        node = ["host", "_done"]
-        segments = here.filter("_seg IS NOT NULL AND NOT startswith(_seg, '*')").groupBy(*node, "_seg").agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"))
+    now = stage(shapes.withColumns({"template": F.col("shape"), "_open": F.lit(0)}), "urls")
+    while True:
+        levels = now.select("host", "shape", "template", "_open", "labelled", "bad", F.posexplode("template").alias("_at", "_seg"))
+        above = F.md5(F.array_join(F.expr("slice(template, 1, _at)"), "/"))
+        levels = levels.filter(F.col("_at") >= F.col("_open")).withColumn("_above", above).drop("template")
+        node = ["host", "_at", "_above"]
+        constant = ~F.col("_seg").startswith("*")
+        segments = levels.filter(constant).groupBy(*node, "_seg").agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"))
         wide = segments.groupBy(*node).agg(F.count(F.lit(1)).alias("_n"), F.sum("_l").alias("_nl"), F.sum("_b").alias("_nb")).filter(F.col("_n") > fanout)
-        apart = _differs(F.col("_b"), F.col("_l"), F.col("_nb") - F.col("_b"), F.col("_nl") - F.col("_l"))
+        top = levels.join(wide, node).groupBy("host", "shape").agg(F.min(F.struct("_at", "_above", "_seg")).alias("_top"))
+        top = stage(top.select("host", "shape", "_top.*"), "urls")
+        if top.isEmpty():
+            return now.drop("_open")
+        apart = _contrast(F.col("_b"), F.col("_l"), F.col("_nb") - F.col("_b"), F.col("_nl") - F.col("_l")) >= SIMILAR_Z**2
         stays = (F.col("_l") >= SUPPORTED) | ((F.col("_l") >= COMPARED) & F.coalesce(apart, F.lit(False)))
-        many = segments.join(wide, node).filter(~stays).select(*node, "_seg", F.lit(True).alias("_many"))
-        step = here.join(many, [*node, "_seg"], "left")
-        branch = F.when(F.col("_many") & ~F.col("_seg").startswith("*"), F.lit("*")).otherwise(F.col("_seg"))
-        grown = F.when(F.col("_seg").isNull(), F.col("_done")).otherwise(F.concat("_done", F.array(branch)))
-        now = stage(step.withColumn("_done", grown).drop("_seg", "_many"), "urls")
-    below = F.when(F.size("shape") > depth, F.concat("_done", F.array(F.lit("**")))).otherwise(F.col("_done"))
-    return now.withColumn("template", below).drop("_done")
+        varies = segments.join(wide, node).filter(~stays).select(*node, "_seg", F.lit(True).alias("_varies"))
+        settled = top.join(varies, [*node, "_seg"], "left").select("host", "shape", F.col("_at").alias("_spot"), F.coalesce("_varies", F.lit(False)).alias("_varies"))
+        grown = F.transform("template", lambda s, k: F.when((k == F.col("_spot")) & F.col("_varies"), F.lit("*")).otherwise(s))
+        step = now.join(settled, ["host", "shape"], "left").withColumns(
+            {"template": F.when(F.col("_varies"), grown).otherwise(F.col("template")), "_open": F.coalesce(F.col("_spot") + 1, F.col("_open"))}
+        )
+        now = stage(step.drop("_spot", "_varies"), "urls")
+
+
+def _parted(rows: DataFrame, similar_z: float) -> DataFrame:
+    """Add ``_part`` to labelled siblings: groups of their order by share, cut where both sides differ most, until none does."""
+    now = stage(rows.withColumn("_part", F.lit("")), "siblings")
+    while True:
+        group = W.partitionBy("host", "_key", "_part")
+        order = group.orderBy("_share", "template")
+        upto = order.rowsBetween(W.unboundedPreceding, 0)
+        n, b = F.sum("labelled").over(upto), F.sum("bad").over(upto)
+        told = now.withColumns({"_row": F.row_number().over(order), "_n": n, "_b": b, "_all": F.sum("labelled").over(group), "_bad": F.sum("bad").over(group)})
+        told = told.withColumn("_q", _contrast(F.col("_b"), F.col("_n"), F.col("_bad") - F.col("_b"), F.col("_all") - F.col("_n")))
+        told = told.withColumn("_best", F.max("_q").over(group))
+        told = told.withColumn("_cut", F.min(F.when(F.col("_q") == F.col("_best"), F.col("_row"))).over(group))
+        side = F.when(F.col("_row") > F.col("_cut"), "1").otherwise("0")
+        part = F.when(F.col("_best") >= similar_z**2, F.concat("_part", side)).otherwise(F.col("_part"))
+        new = stage(told.select(*[c for c in now.columns if c != "_part"], part.alias("_part"), (F.col("_best") >= similar_z**2).alias("_split")), "siblings")
+        if not new.agg(F.max("_split")).first()[0]:
+            return new.drop("_split")
+        now = new.drop("_split")
 
 
 def judge_templates(counted: DataFrame, smoothing: float = SMOOTHING, similar_z: float = SIMILAR_Z, reject: float = REJECT_SHARE) -> DataFrame:
     """``host, template`` (as arrays) with ``merged``, ``purity`` and ``rejected``.
 
-    ``counted`` has ``host, template, n, labelled, bad``. Branches of one node with
-    the same rest are put in order of their smoothed share of bad labels; a
-    neighbour joins the group unless the two-proportion z of their labels reaches
-    ``similar_z``. A node has as many constant branches as the fan-out, and those that their labels
-    keep, so the windows are small. The smoothed share leans on the overall one by ``smoothing`` labels; a group without
-    any label is not rejected.
+    ``counted`` has ``host, template, n, labelled, bad``. Labelled branches of one node with
+    the same rest are put in order of their smoothed share of bad labels. Such a row is cut where the
+    labels before and after differ most, by a two-proportion z of at least ``similar_z``, and so are its parts; what is
+    not cut is merged. The smoothed share leans on the overall one by ``smoothing`` labels. Branches without labels are merged
+    with one another: their share is that of all their siblings, and they are rejected if every labelled part is. A
+    node without any label is not rejected.
     """
     bad, labelled = counted.agg(F.sum("bad"), F.sum("labelled")).first()
     prior = ((bad or 0) + 1) / ((labelled or 0) + 2)
@@ -119,23 +146,22 @@ def judge_templates(counted: DataFrame, smoothing: float = SMOOTHING, similar_z:
     constant = F.size("template") - F.array_position(F.transform(F.reverse("template"), lambda s: ~s.startswith("*")), F.lit(True))
     rows = counted.withColumn("_at", F.when(F.exists("template", lambda s: ~s.startswith("*")), constant).otherwise(-1).cast("int"))
     siblings = F.transform("template", lambda s, k: F.when(k == F.col("_at"), F.lit("{}")).otherwise(s))
-    rows = rows.withColumns({"_key": _joined(siblings), "_share": share})
-
-    order = W.partitionBy("host", "_key").orderBy("_share", F.col("template"))
-    bad_before, n_before = F.lag("bad").over(order), F.lag("labelled").over(order)
-    pooled = F.try_divide(F.col("bad") + bad_before, F.col("labelled") + n_before)
-    weights = F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), n_before)
-    spread = F.sqrt(pooled * (1 - pooled) * weights)
-    apart = F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - F.try_divide(bad_before, n_before))
-    differs = (spread > 0) & (apart >= similar_z * spread)  # null, so not different, without labels on both sides
-    marked = rows.withColumn("_new", F.when(differs, 1).otherwise(0)).withColumn("_group", F.sum("_new").over(order))
-
-    group = W.partitionBy("host", "_key", "_group")
-    total = (F.sum("bad").over(group) + smoothing * prior) / (F.sum("labelled").over(group) + smoothing)
+    rows = rows.select("host", "template", "labelled", "bad", "_at", _joined(siblings).alias("_key"), share.alias("_share"))
+
+    told = _parted(rows.filter("labelled > 0"), similar_z)
+    all_parts = told.unionByName(rows.filter("labelled = 0").withColumn("_part", F.lit(None).cast("string")))
+    group, node = W.partitionBy("host", "_key", "_part"), W.partitionBy("host", "_key")
+
+    def smoothed(window) -> Column:
+        return (F.sum("bad").over(window) + smoothing * prior) / (F.sum("labelled").over(window) + smoothing)
+
+    purity = F.when(F.col("_part").isNull(), smoothed(node)).otherwise(smoothed(group))
     names = F.array_join(F.array_sort(F.collect_set(F.get("template", F.col("_at"))).over(group)), "|")
     merged = F.when(F.col("_at") < 0, F.col("_key")).otherwise(F.replace("_key", F.lit("{}"), F.concat(F.lit("{"), names, F.lit("}"))))
-    told = marked.select("host", "template", merged.alias("merged"), total.alias("purity"), F.sum("labelled").over(group).alias("_told"))
-    return told.withColumn("rejected", (F.col("_told") > 0) & (F.col("purity") >= reject)).drop("_told")
+    judged = all_parts.select("host", "template", "_key", "_part", merged.alias("merged"), purity.alias("purity"))
+    own = F.when(F.col("_part").isNotNull(), F.col("purity") >= reject)
+    rejected = F.coalesce(own, F.min(own).over(node), F.lit(False))
+    return judged.withColumn("rejected", rejected).drop("_key", "_part")
 
 
 def judge_urls(
