@@ -171,3 +171,8 @@ def public_encoder(name: str, entries: int | None = None) -> JsonEncoder:
     if (name, entries) not in _encoders:
         _encoders[name, entries] = JsonEncoder(library_path(name), entries)
     return _encoders[name, entries]
+
+
+def release_encoders() -> None:
+    """Forget this process's encoders and the pieces they remember."""
+    _encoders.clear()
