@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from texelyard import fixtures as fx
 from texelyard.functions import binary, colour, formats, kinds, paths, rules
 from texelyard.operators import assets as ops
-from texelyard.operators import companions, mips, packed, report, steps
+from texelyard.operators import companions, mips, packed, report, steps, tiles
 from texelyard.operators import pixels as px
 from texelyard.plans import convert as conversion
 from texelyard.plans import jobs, planning
-from texelyard.session import new_folder
+from texelyard.session import new_folder, stage
 from texelyard.sources import archive, files, sinks
 from texelyard.spec import CUSTOM, MAXIMUM, JobSpec, Step
 
@@ -251,6 +251,10 @@ def plan_dds(spark, d):
 
 
 def _requests(spark, d):
+    return _with_options(fx.assets(spark, d))
+
+
+def _with_options(assets, *kept):
     key = F.col("texture_id")
 
     def some(values, step):
@@ -258,8 +262,9 @@ def _requests(spark, d):
 
     none = None
     outputs = F.when(key % 3 == 0, F.concat(F.lit("out/"), key, some([".blp", ".dds", ".JPG", ".tga", ".gif"], 3)))
-    return fx.assets(spark, d).select(
+    return assets.select(
         "texture_id",
+        *kept,
         F.col("path").alias("input"),
         outputs.alias("output"),
         some([none, "1", "2", "3", none, none], 5).alias("blp_type"),
@@ -284,8 +289,36 @@ def resolve_options(spark, d):
 
 
 def convert_jobs(spark, d):
-    scale = fx.pick([1, 1, 2, 4], fx.div(F.col("texture_id"), 37) % 4)
-    return jobs.convert_jobs(_requests(spark, d), scale).drop("input")
+    return jobs.convert_jobs(_requests(spark, d), _scale()).drop("input")
+
+
+def _scale():
+    return fx.pick([1, 1, 2, 4], fx.div(F.col("texture_id"), 37) % 4)
+
+
+def _pixel_jobs(spark, d):
+    """Two requests for each stored texture; they often begin with the same steps."""
+    key = F.col("texture_id")
+    assets = fx.pixel_assets(spark, d).withColumns({"mip_count": fx.stored_levels(key), "vec": key, "j": F.explode(F.array(F.lit(0), F.lit(1)))})
+    asked = _with_options(assets.withColumn("texture_id", F.col("vec") * 2 + F.col("j")), "vec")
+    plan = jobs.plan_jobs(asked, _scale())
+    return plan.withColumnsRenamed({"texture_id": "request_id", "vec": "texture_id"})
+
+
+def convert_jobs_pixels(spark, d):
+    plan = stage(_pixel_jobs(spark, d), "jobs")
+    return jobs.convert_job_pixels(plan, fx.stored_pixels(spark, d)).select("request_id", *PIXEL, "kind", "target_format")
+
+
+def convert_jobs_options(spark, d):
+    """What the writer of each request is told."""
+    plan = jobs.plan_jobs(_requests(spark, d), _scale()).filter("success")
+    return plan.select("texture_id", F.array_join("channel_kinds", ",").alias("channel_kinds"), "halve", "scale", "anew", "dither", "dither_strength", "jpeg_quality")
+
+
+def load_attempts(spark, d):
+    found = _companions(spark, d).withColumn("is_d4", F.col("texture_id") % 5 != 0)
+    return companions.load_attempts(found).select("texture_id", "load_as", "payload", "paylow")
 
 
 def effective_mips(spark, d):
@@ -424,6 +457,17 @@ def mip_chain(spark, d):
     return mips.mip_chain(fx.plain_pixels(spark, d)).select(*PIXEL)
 
 
+def mip_pyramid(spark, d):
+    """:func:`mip_chain` from tiles of the same pixels."""
+    return tiles.pixels_of(tiles.tile_pyramid(tiles.to_tiles(fx.plain_pixels(spark, d)))).select(*PIXEL)
+
+
+def mip_pyramid_normal(spark, d):
+    rows = fx.pixels(spark, d)
+    kinds = rows.filter("x = 0 AND y = 0").select("texture_id", "kind")
+    return tiles.pixels_of(tiles.tile_pyramid(tiles.to_tiles(rows), 4, kinds)).select(*PIXEL, "kind")
+
+
 def mip_chain_normal(spark, d):
     rows = fx.pixels(spark, d).drop("pixel_format", "channel_kinds")
     return mips.mip_chain(rows, 4).select(*PIXEL, "kind")
@@ -596,7 +640,7 @@ QUERIES = {
         carry_metadata, quantize_u8, grey_reduce, mip_chain, mip_chain_normal, select_mip, working_format,
         transform_steps, transform_upscaled, transform_downscaled, transform_status, batch_plan, convert, convert_keep_mips, convert_collisions, convert_files,
         asset_details, batch_summary, archive_summary, archive_summary_empty, tree_nodes, tree_all, recent_items,
-        union_catalog, select_stored_mip,
+        union_catalog, select_stored_mip, convert_jobs_pixels, convert_jobs_options, load_attempts, mip_pyramid, mip_pyramid_normal,
     )
 } | {
     "swap_channels": _on_pixels(lambda df: px.swap(df, "r", "a")),

@@ -50,6 +50,17 @@ def companion_errors(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("load_error", F.when(lost, F.concat(F.lit(rules.LOST_PAYLOAD), F.col("path"))))
 
 
+def load_attempts(resolved: DataFrame) -> DataFrame:
+    """Add ``load_as``: a requested file is loaded with its payloads if it is split (``is_d4``) and has any, else plainly.
+
+    Unlike a batch, a request does not fail for want of a payload.
+    """
+    split = F.coalesce("is_d4", F.lit(False)) & (F.col("companion") != "none")
+    return resolved.withColumns(
+        {"load_as": F.when(split, "split").otherwise("plain"), **{c: F.when(split, F.col(c)) for c in ("payload", "paylow")}}
+    )
+
+
 def archive_refs(blobs: DataFrame, packed: DataFrame) -> DataFrame:
     """One row per id with the paths of its parts; packed entries supply metadata last.
 

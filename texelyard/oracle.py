@@ -151,6 +151,10 @@ VIEWS = {
         SELECT vec_id AS texture_id, 'base/meta/' || label || '/img' || vec_id || {pick(["_nrm", "_orm", "_rough", "_diff"], '(vec_id // 4) % 4')}
             || {pick([".png", ".TGA", ".bmp", ".txt"], '(vec_id // 16) % 4')} AS path
         FROM embeddings""",
+    "pixel_requests": f"""
+        SELECT vec_id * 2 + j AS texture_id, vec_id AS vec, path, 'RGBA8' AS pixel_format, CAST(vec_id % 3 + 1 AS INTEGER) AS mip_count,
+          {pick([w for w, _ in fx.SHAPES], 'vec_id % 4')} AS width, {pick([h for _, h in fx.SHAPES], 'vec_id % 4')} AS height
+        FROM (SELECT vec_id, unnest([0, 1]) AS j FROM embeddings) JOIN pixel_assets ON texture_id = vec_id""",
     "bitmaps": """
         SELECT vec_id, embedding, vec_id % 10 AS slot,
           'img' || vec_id || CASE vec_id % 10 WHEN 7 THEN '.png' WHEN 8 THEN '.dds' WHEN 9 THEN '.BMP' ELSE '.bmp' END AS name
@@ -270,12 +274,13 @@ def _plan() -> str:
       FROM chosen)"""
 
 
-def _requests() -> str:
+def _requests(source: str = "assets") -> str:
     def some(values, step):
         return pick(values, f"(texture_id // {step}) % {len(values)}")
 
     n = None
-    return f"""{with_('assets')}, req AS (
+    views = ("assets",) if source == "assets" else ("pixel_assets", "stored", source)
+    return f"""{with_(*views)}, req AS (
       SELECT *, CASE WHEN texture_id % 3 = 0 THEN 'out/' || texture_id || {some(['.blp', '.dds', '.JPG', '.tga', '.gif'], 3)} END AS output,
         lower({some([n, '1', '2', '3', n, n], 5)}) AS blp_type, lower({some([n, 'JPEG', 'paletted', n, 'bc2', n, 'bc9', 'true_color'], 7)}) AS comp,
         lower({some([n, 'bc3n', 'BC7', 'bc6', n, 'bc4', 'bc8'], 11)}) AS dds, {some([n, n, '90', '0', ' 55x', n], 13)} AS qual,
@@ -283,7 +288,7 @@ def _requests() -> str:
         lower({some([n, 'maximum', n, 'custom', n, 'some'], 23)}) AS gen, {some([n, '3', '0', '99', 'abc'], 29)} AS cnt,
         {some([n, '', '0.5', '7', n], 31)} AS dith, (texture_id // 2) % 4 = 1 AS inv, {file_format('path')} AS input_format,
         {pick([1, 1, 2, 4], '(texture_id // 37) % 4')} AS scale
-      FROM assets),
+      FROM {source}),
     o1 AS (SELECT *, coalesce(output, regexp_replace(path, '\\.[^./]*$', '') || {case('input_format', rules.DEFAULT_OUTPUT_EXT, "'.dds'")}) AS output_path FROM req),
     o2 AS (SELECT *, {file_format('output_path')} AS output_format, CASE WHEN qual = '90' THEN 90 WHEN qual = ' 55x' THEN 55 WHEN qual = '0' THEN 0 END AS qnum,
         {case('comp', rules.BLP_COMPRESSION_ARGUMENTS)} AS enc, {case('dds', rules.DDS_FORMAT_ARGUMENTS)} AS dds_index, {case('tkind', rules.KIND_OF_ARGUMENT)} AS explicit_kind FROM o1),
@@ -302,27 +307,73 @@ def _requests() -> str:
           WHEN gen NOT IN ('maximum', 'custom') THEN 'Invalid --generate_mipmaps ''' || gen || '''. Expected maximum or custom.' END AS error FROM o2)"""
 
 
-def _jobs() -> str:
+def _jobs(source: str = "assets", last: str = "") -> str:
     bcn, cur_bcn = is_bcn("pixel_format"), is_bcn("cur")
     blp = case("blp_encoding", rules.BLP_TARGETS)
     dds = case("dds_index", rules.DDS_TARGETS)
     loose = f"CASE WHEN {cur_bcn} THEN 'RGBA8' ELSE cur END"
     code = case("blp_encoding", rules.BLP_ENCODING_CODES)
     ok = "error IS NULL"
-    return f"""{_requests()}, j1 AS (SELECT *, coalesce(explicit_kind, {kind_of('path', 'pixel_format')}) AS jkind,
+    head = f"""{_requests(source)}, j1 AS (SELECT *, coalesce(explicit_kind, {kind_of('path', 'pixel_format')}) AS jkind,
         CAST(greatest(1, width >> levels) * scale AS INTEGER) AS ow, CAST(greatest(1, height >> levels) * scale AS INTEGER) AS oh,
         greatest(1, mip_count - levels) AS dropped,
         CASE WHEN scale > 1 OR ({bcn} AND (levels > 0 OR mode <> 0)) THEN 'RGBA8' ELSE pixel_format END AS cur FROM opts),
       j2 AS (SELECT *, CASE WHEN scale = 1 THEN dropped WHEN dropped > 1 THEN dropped + CAST(log2(scale) AS INTEGER) ELSE 1 END AS stepped,
         output_format = 'BLP' AS to_blp, output_format = 'DDS' AND dds_index IS NOT NULL AS asked, output_format = 'DDS' AND dds_index IS NULL AND inv AS loose FROM j1),
       j3 AS (SELECT *, CASE WHEN to_blp THEN {blp} WHEN asked THEN {dds} WHEN loose THEN {loose} ELSE cur END AS target,
-        CASE WHEN asked AND dds_index = 8 THEN 'RGBA8' WHEN (asked AND inv) OR loose THEN {loose} ELSE cur END AS edited FROM j2)
-      SELECT texture_id, output_path, output_format, CASE WHEN {ok} THEN jkind END AS kind, CASE WHEN {ok} THEN ow END AS out_width, CASE WHEN {ok} THEN oh END AS out_height,
+        CASE WHEN asked AND dds_index = 8 THEN 'RGBA8' WHEN (asked AND inv) OR loose THEN {loose} ELSE cur END AS edited FROM j2)"""
+    plan = f"""SELECT texture_id, output_path, output_format, CASE WHEN {ok} THEN jkind END AS kind, CASE WHEN {ok} THEN ow END AS out_width, CASE WHEN {ok} THEN oh END AS out_height,
         CASE WHEN {ok} THEN CAST(CASE mode WHEN 1 THEN {max_mips('ow', 'oh')} WHEN 2 THEN least(greatest(mcount, 1), {max_mips('ow', 'oh')}) ELSE stepped END AS INTEGER) END AS out_mips,
         CASE WHEN {ok} THEN (asked OR loose) AND inv END AS invert_g, CASE WHEN {ok} THEN asked AND dds_index = 8 END AS swap_ra,
         CASE WHEN {ok} THEN edited END AS intermediate_format, CASE WHEN {ok} THEN target END AS target_format, CASE WHEN {ok} THEN edited <> target END AS needs_convert,
         CASE WHEN {ok} AND to_blp THEN CASE WHEN blp_version = 0 OR {code} IN ('JPEG', 'Palettized') THEN 'BLP1' ELSE 'BLP2' END END AS blp_container,
         CASE WHEN {ok} AND to_blp THEN {code} END AS blp_code, {ok} AS success, error FROM j3"""
+    return f"{head} {last or plan}"
+
+
+def _job_options() -> str:
+    return _jobs(last=f"""SELECT texture_id, CASE WHEN jkind = 'Multikind' THEN {channel_kinds_of('path')} END AS channel_kinds, CAST(levels AS INTEGER) AS halve,
+        CAST(scale AS INTEGER) AS scale, scale > 1 OR mode <> 0 AS anew, dith IS NOT NULL OR (to_blp AND blp_encoding = 2) AS dither,
+        CASE dith WHEN '0.5' THEN 0.5::DOUBLE WHEN '7' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS dither_strength, CAST(coalesce(qnum, 75) AS INTEGER) AS jpeg_quality
+      FROM j3 WHERE error IS NULL""")
+
+
+def _job_pixels() -> str:
+    """Every request's own pixels, step by step, nothing shared."""
+
+    def mean(c, normal):
+        plain = f"CAST((2 * sum({c}) + count(*)) // (2 * count(*)) AS INTEGER)"
+        if c == "a":
+            return plain
+        v = {k: f"(sum({k}) / count(*) / 255 * 2 - 1)" for k in "rgb"}
+        length = f"sqrt({v['r']} * {v['r']} + {v['g']} * {v['g']} + {v['b']} * {v['b']})"
+        unit = f"((CASE WHEN {length} > 0 THEN {v[c]} / {length} ELSE {'1.0' if c == 'b' else '0.0'} END + 1) / 2)"
+        return f"CASE WHEN {normal} THEN {_u8(unit)} ELSE {plain} END"
+
+    def fold(source, by, keys, normal):
+        at = [f"least({a} >> {by}, greatest(1, {s} >> {by}) - 1)" for a, s in (("x", "w"), ("y", "h"))]
+        return f"SELECT {keys}, {at[0]} AS x, {at[1]} AS y, {', '.join(f'{mean(c, normal)} AS {c}' for c in 'rgba')} FROM {source} GROUP BY {keys}, {at[0]}, {at[1]}"
+
+    last_unused = f"ends_with({channel_kinds_of('path')}, 'Unused')"
+    full = max_mips("w", "h")
+    return _jobs("pixel_requests", f""", ok AS (SELECT texture_id AS request_id, vec, width AS w0, height AS h0, jkind AS kind, CAST(levels AS INTEGER) AS halve, CAST(scale AS INTEGER) AS scale, mode,
+          CASE mode WHEN 1 THEN {max_mips('ow', 'oh')} WHEN 2 THEN least(greatest(mcount, 1), {max_mips('ow', 'oh')}) ELSE stepped END AS lv,
+          (asked OR loose) AND inv AS green, asked AND dds_index = 8 AS swap, target, {last_unused} AS unused FROM j3 WHERE error IS NULL),
+      src AS (SELECT ok.*, w0 AS w, h0 AS h, x, y, r, g, b, a FROM ok JOIN stored ON stored.texture_id = vec AND stored.mip = 0 WHERE halve > 0 OR scale > 1 OR mode <> 0),
+      kept AS (SELECT *, unnest(range(lv)) AS k FROM src WHERE scale = 1 AND mode = 0),
+      kept_rows AS ({fold('kept', '(halve + k)', 'request_id, w, h, halve, kind, k', "kind = 'Normal'")}),
+      small AS ({fold('(SELECT * FROM src WHERE scale > 1 OR mode <> 0)', 'halve', 'request_id, w, h, kind, halve, scale, lv, unused', "kind = 'Normal' AND halve > 0")}),
+      large AS (SELECT request_id, kind, lv, CAST(greatest(1, w >> halve) * scale AS INTEGER) AS w, CAST(greatest(1, h >> halve) * scale AS INTEGER) AS h,
+        x * scale + i % scale AS x, y * scale + i // scale AS y, r, g, b,
+        CASE WHEN scale = 1 THEN a WHEN kind <> 'Multikind' THEN 255 WHEN unused THEN 0 ELSE a END AS a FROM small, range(16) t(i) WHERE i < scale * scale),
+      deep AS (SELECT *, unnest(range(least(lv, {full}))) AS k FROM large),
+      deep_rows AS ({fold('deep', 'k', 'request_id, w, h, kind, k', "kind = 'Normal' AND k > 0")}),
+      every AS (SELECT request_id, greatest(1, w >> halve) AS width, greatest(1, h >> halve) AS height, k AS mip, x, y, r, g, b, a FROM kept_rows
+        UNION ALL SELECT request_id, w, h, k, x, y, r, g, b, a FROM deep_rows
+        UNION ALL SELECT request_id, s.width, s.height, s.mip, x, y, r, g, b, a FROM ok JOIN stored s ON s.texture_id = vec WHERE halve = 0 AND scale = 1 AND mode = 0 AND s.mip < lv)
+      SELECT request_id, vec AS texture_id, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, CAST(mip AS INTEGER) AS mip, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y,
+        CASE WHEN swap THEN a ELSE r END AS r, CASE WHEN green THEN 255 - g ELSE g END AS g, b, CASE WHEN swap THEN r ELSE a END AS a, kind, target AS target_format
+      FROM every JOIN ok USING (request_id)""")
 
 
 def _written(source: str, kept: str) -> str:
@@ -482,6 +533,8 @@ def _statements() -> dict[str, str]:
             dds_index, coalesce(inv, false) AS dds_invert_y, CASE WHEN qual IS NOT NULL THEN qnum ELSE 75 END AS jpeg_quality, explicit_kind, levels AS downscale_levels,
             mode AS mipmap_mode, mcount AS mipmap_count, error FROM opts""",
         "convert_jobs": _jobs(),
+        "convert_jobs_pixels": _job_pixels(),
+        "convert_jobs_options": _job_options(),
         "effective_mips": f"{a} SELECT texture_id, 0 AS kept, {max_mips('width', 'height')} AS full, least(greatest(mip_count * 3 - 3, 1), {max_mips('width', 'height')}) AS custom FROM assets",
         "mip_geometry": f"""{a} SELECT texture_id, CAST(mip AS INTEGER) AS mip, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, CAST(CASE WHEN {is_bcn('pixel_format')}
             THEN ((w + 3) // 4) * ((h + 3) // 4) * {case('pixel_format', rules.BYTES_PER_BLOCK, 0)} ELSE w * h * {case('pixel_format', rules.BYTES_PER_PIXEL, 0)} END AS BIGINT) AS bytes
@@ -495,6 +548,8 @@ def _statements() -> dict[str, str]:
         "replace_meta": f"""{a} SELECT texture_id, CASE WHEN contains(p, 'meta') THEN regexp_replace(p, 'meta', 'payload') ELSE '' END AS payload
             FROM (SELECT texture_id, CASE WHEN texture_id % 4 = 0 THEN replace(path, 'meta', 'm') ELSE path END AS p FROM assets)""",
         "resolve_companions": f"{comp} SELECT texture_id, payload, paylow, companion FROM resolved",
+        "load_attempts": f"""{comp}, told AS (SELECT *, texture_id % 5 <> 0 AND companion <> 'none' AS split FROM resolved)
+            SELECT texture_id, CASE WHEN split THEN 'split' ELSE 'plain' END AS load_as, CASE WHEN split THEN payload END AS payload, CASE WHEN split THEN paylow END AS paylow FROM told""",
         "resolve_triplet": f"{trip} SELECT * FROM triplet",
         "unavailable_assets": f"{trip} SELECT sno, 'Skipped (encrypted or unavailable): ' || name AS message FROM toc_tex WHERE sno NOT IN (SELECT sno FROM triplet)",
         "group_format_hash": f"{with_('toc', 'packed', 'packed_start', 'packed_last')} SELECT sno, size, (SELECT max(sno) FROM toc WHERE group_name = 'Texture') AS format_hash FROM packed_last",
@@ -519,6 +574,8 @@ def _statements() -> dict[str, str]:
         "grey_reduce": f"{with_('pixels')} SELECT texture_id, x, y, CAST((r + g + b + 1) // 3 AS INTEGER) AS grey FROM pixels",
         "upscale_x2": f"{with_('pixels')} {_up('pixels', 2, a=f'CASE WHEN {multi} THEN 0 ELSE 255 END')}",
         "upscale_x3_alpha": f"{with_('pixels')} {_up('pixels', 3)}",
+        "mip_pyramid": f"{with_('pixels')} {_levels('pixels', _full(), False)}",
+        "mip_pyramid_normal": f"{with_('pixels')} {_levels('pixels', f'least(4, {_full()})', True, 'kind')}",
         "mip_chain": f"{with_('pixels')} {_levels('pixels', _full(), False)}",
         "mip_chain_normal": f"{with_('pixels')} {_levels('pixels', f'least(4, {_full()})', True, 'kind')}",
         "downscale_x2": f"{with_('pixels')} {_down('pixels', 1)}",
