@@ -22,7 +22,6 @@ from pyspark.sql.types import StructType
 
 from texelyard.functions.formats import max_mips
 from texelyard.functions.lookups import as_col
-from texelyard.operators import mips
 from texelyard.session import ship_package, stage
 
 BITS = 6
@@ -185,42 +184,53 @@ def _patches(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PATCH_TYPES)], _PATCH_NAMES)
 
 
-def _coarser(seeds: DataFrame, deepest: int) -> list[DataFrame]:
-    """Levels below those a tile tells, from the sums of its coarsest one: each a patch of one texel."""
-    kept = ["texture_id", *NODE]
-    schema = StructType([*seeds.select(*kept).schema.fields, *StructType.fromDDL("size bigint, deep int, x int, y int, r bigint, g bigint, b bigint, a bigint, n bigint").fields])
+TEXELS = "texture_id bigint, kind string, halve int, scale int, anew boolean, width int, height int, levels int, mip int, tx int, ty int, x int, y int, sums binary"
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            parts = [np.frombuffer(c.as_buffer(), np.int64).reshape(-1, 5) for c in column["data"]]
-            size = np.array([len(p) for p in parts], np.int64)
-            row = np.repeat(np.arange(len(parts)), size)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            held = {c: column[c].to_numpy().astype(np.int64)[row] for c in ("width", "height", "levels", "mip", "x0", "y0", "cols")}
-            sums = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
-            made = [
-                *(column[c].take(pa.array(row)) for c in kept),
-                pa.array((held["width"] << 32) + held["height"]), pa.array((held["levels"] + 64 * held["mip"]).astype(np.int32)),
-                pa.array((held["x0"] + at % held["cols"]).astype(np.int32)), pa.array((held["y0"] + at // held["cols"]).astype(np.int32)),
-                *(pa.array(sums[:, k]) for k in range(5)),
-            ]
-            yield pa.RecordBatch.from_arrays(made, list(schema.names))
-
-    # Tiles stop at different levels, so rows of one level are folded from those of the level before and join the ones that begin there.
-    begun = stage(seeds.mapInArrow(spread, schema), "seeds")
-    firsts = [r.level for r in begun.select(F.expr("shiftright(deep, 6)").alias("level")).distinct().collect()]
+
+def _coarser(seeds: DataFrame, deepest: int) -> list[DataFrame]:
+    """Levels below those a tile tells: the sums of its coarsest level are the pixels of tiles 64 times as large."""
     out: list[DataFrame] = []
-    now: DataFrame | None = None
-    for level in range(min(firsts, default=deepest), deepest - 1):
-        here = begun.filter(F.expr("shiftright(deep, 6)") == level)
-        now = here if now is None else now.unionByName(here) if level in firsts else now
-        now = mips._fold(now.filter(f"{mips.LEVELS} > {level + 1}"), 1)
-        rows = mips._values(now.withColumn("levels", F.expr(mips.LEVELS)), True)
-        texel = F.unhex(F.concat(*[F.lpad(F.hex(c), 2, "0") for c in "rgba"]))
-        out.append(rows.withColumnsRenamed({"x": "x0", "y": "y0"}).withColumns({"cols": F.lit(1), "data": texel}))
-    names = [n for n in _PATCH_NAMES if n not in ("sums", "levels")]
-    return [o.withColumn("levels", F.lit(None).cast("int")).select(*names[:7], "levels", *names[7:]) for o in out]
+    first = seeds.agg(F.min("mip")).first()[0]
+    while first is not None and first < deepest - 1:
+        texels = seeds.drop("sums").mapInArrow(_texels, TEXELS)
+        folded = stage(texels.groupBy("texture_id", *NODE, "mip", "tx", "ty").applyInArrow(_folded, PATCHES), "patches")
+        out.append(folded.filter("NOT sums").drop("sums"))
+        seeds, first = folded.filter("sums"), first + BITS
+    return out
+
+
+def _texels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [np.frombuffer(c.as_buffer(), np.int64).reshape(-1, 5) for c in batch.column("data")]
+        size = np.array([len(p) for p in parts], np.int64)
+        row = np.repeat(np.arange(len(parts)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        held = {c: batch.column(c).to_numpy().astype(np.int64)[row] for c in ("width", "height", "mip", "x0", "y0", "cols")}
+        x, y = held["x0"] + at % np.maximum(held["cols"], 1), held["y0"] + at // np.maximum(held["cols"], 1)
+        tx, ty = (np.minimum(v >> BITS, np.maximum(held[side] >> held["mip"] >> BITS, 1) - 1) for v, side in ((x, "width"), (y, "height")))
+        kept = [batch.column(c).take(pa.array(row)) for c in _PATCH_NAMES[:9]]
+        sums = pa.array([s.tobytes() for p in parts for s in p], pa.binary())
+        yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v.astype(np.int32)) for v in (tx, ty, x, y)), sums], [f.split()[0] for f in TEXELS.split(", ")])
+
+
+def _folded(group: pa.Table) -> pa.Table:
+    """Levels of one tile of sums; at most 127 x 127 rows."""
+    head = {c: group.column(c)[0].as_py() for c in group.column_names[:11]}
+    x, y = (group.column(c).to_numpy() for c in "xy")
+    now = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1, 5), np.int64)
+    now[y - y.min(), x - x.min()] = np.stack([np.frombuffer(c.as_buffer(), np.int64) for c in group.column("sums")])
+    first, count = head["mip"], head["levels"]
+    alone = all(head[side] >> first >> BITS <= 1 for side in ("width", "height"))
+    last = count - 1 if alone else min(count - 1, first + BITS)
+    fixed = [head[c] for c in _PATCH_NAMES[:8]]
+    rows = []
+    for level in range(first + 1, last + 1):
+        now = halved(now)
+        place = [head[t] * SIDE >> (level - first) for t in ("tx", "ty")]
+        rows.append((*fixed, level, *place, now.shape[1], False, values(now, head["kind"] == "Normal").tobytes()))
+    if count - 1 > last:
+        rows.append((*fixed, last, *(head[t] * SIDE >> (last - first) for t in ("tx", "ty")), now.shape[1], True, now.tobytes()))
+    return pa.Table.from_batches([_patches(rows)])
 
 
 def pixels_of(patches: DataFrame) -> DataFrame:
