@@ -3,13 +3,14 @@
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from texelyard.functions import paths
 from texelyard.plans import convert as conversion
 from texelyard.plans import planning
-from texelyard.sources import files, sinks
+from texelyard.sources import files, listing, sinks
 from texelyard.spec import JobSpec, Step
 
 
@@ -51,8 +52,48 @@ def test_scan(spark, folder):
 
 def test_scan_reads_no_content(spark, folder):
     plan = files.scan_assets(spark, str(folder), enabled={"PNG"})._jdf.queryExecution().executedPlan().toString()
-    schema = plan[plan.index("ReadSchema"):].splitlines()[0]
-    assert "content" not in schema and "path" in schema
+    assert "content" not in plan and "binaryFile" not in plan
+
+
+@pytest.fixture
+def odd_folder(tmp_path):
+    for name in ("_a.png", ".b.png", "c.png", ".hidden/d.png", "_e/f/g.png", "plain/h.txt", "x" * 200 + ".png"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(png([[(1, 2, 3)]], 3))
+    (tmp_path / "in" / "empty").mkdir()
+    (tmp_path / "in" / "link.png").symlink_to(tmp_path / "in" / "c.png")
+    (tmp_path / "in" / "broken.png").symlink_to(tmp_path / "gone")
+    return tmp_path / "in"
+
+
+def test_listing_of_an_odd_tree(spark, odd_folder):
+    (odd_folder / "loop").symlink_to(odd_folder)
+    rows = listing.list_tree(spark, str(odd_folder)).collect()
+    root = f"file:{odd_folder}/"
+    want = {"_a.png", ".b.png", "c.png", ".hidden/d.png", "_e/f/g.png", "plain/h.txt", "x" * 200 + ".png", "link.png"}
+    assert {r.path.removeprefix(root) for r in rows} == want and len(rows) == len(want)
+    assert all(r.length == (odd_folder / r.path.removeprefix(root)).stat().st_size and r.modified and not r.error for r in rows)
+    flat = listing.list_tree(spark, str(odd_folder), recursive=False).collect()
+    assert {r.path.removeprefix(root) for r in flat} == {w for w in want if "/" not in w}
+    assert listing.list_tree(spark, str(odd_folder / "empty")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        listing.list_tree(spark, str(odd_folder / "nothing"))
+
+
+def test_a_folder_that_cannot_be_listed_is_told():
+    batch = pa.RecordBatch.from_pydict({"path": ["file:/no/such/folder"]})
+    (found,) = listing._listed(iter([batch]))
+    assert found.to_pylist()[0]["error"].startswith("FileNotFoundError") and found.to_pylist()[0]["length"] is None
+
+
+def test_hidden_files_count_in_a_batch(spark, odd_folder, tmp_path):
+    _, outcome = files.load_images(spark, str(odd_folder))
+    told = {r.path.split("/in/")[1]: r for r in files.judge_loads(outcome).collect()}
+    assert set(told) == {"_a.png", ".b.png", "c.png", ".hidden/d.png", "_e/f/g.png", "x" * 200 + ".png", "link.png"}
+    assert {k for k, r in told.items() if r.success} == {"c.png", "x" * 200 + ".png", "link.png"}
+    assert told[".b.png"].issues == [files.PASSED_OVER]
+    summary = conversion.convert_files(spark, JobSpec(input_dir=str(odd_folder), output_dir=str(tmp_path / "out"))).first()
+    assert (summary.total, summary.success, summary.fail) == (7, 3, 4)
 
 
 def test_decode(spark, folder, monkeypatch):
@@ -77,7 +118,7 @@ def test_rejects(spark, folder):
     ok, bad = files.split_rejects(outcome)
     assert names(ok) == {"a_diff.PNG", "b_nrm.png", "grey_rough.png"}
     assert {(r.path.rsplit("/", 1)[1], tuple(r.issues)) for r in bad.collect()} == {
-        ("bad.png", ("Unknown PNG parse error",)), ("x.dds", ()),
+        ("bad.png", ("The PNG parser gave no result",)), ("x.dds", ()),
     }
 
 
@@ -86,12 +127,12 @@ def test_rejects(spark, folder):
     [
         ("PNG", True, True, False, False, True, []),
         ("PNG", False, True, False, False, False, ["w"]),
-        ("PNG", False, False, False, False, False, ["Unknown PNG parse error"]),
+        ("PNG", False, False, False, False, False, ["The PNG parser gave no result"]),
         ("DDS", True, True, False, False, False, ["w"]),
         ("DDS", True, True, True, False, True, []),
-        ("DDS", False, False, True, False, False, ["Unknown DDS parse error"]),
+        ("DDS", False, False, True, False, False, ["The DDS parser gave no result"]),
         ("DDS", False, False, False, False, False, []),
-        ("TEX", False, False, False, True, False, ["Unknown D4 TEX parse error"]),
+        ("TEX", False, False, False, True, False, ["The split TEX parser gave no result"]),
         ("TEX", True, True, True, True, False, ["w"]),
         ("Unknown", True, False, False, False, False, ["Unsupported input format"]),
     ],

@@ -10,6 +10,7 @@ from texelyard.functions import binary, colour, formats, kinds, paths, rules
 from texelyard.operators import assets as ops
 from texelyard.operators import companions, mips, packed, report, steps, tiles
 from texelyard.operators import pixels as px
+from texelyard.operators.ordinals import with_ordinals
 from texelyard.plans import convert as conversion
 from texelyard.plans import jobs, planning
 from texelyard.session import new_folder, stage
@@ -48,6 +49,18 @@ def scan_assets(spark, d):
     return found.select(paths.file_name(F.col("path")).alias("name"), "length")
 
 
+def scan_all(spark, d):
+    """A whole tree, hidden names included."""
+    folder = fx.write_tree(spark, d)
+    inside = F.substring_index("path", folder.rsplit("/", 1)[1] + "/", -1)
+    return files.scan_assets(spark, folder).select(inside.alias("name"), "length")
+
+
+def supported_listing_ranked(spark, d):
+    """The sorted listing with each entry's position, so that the order itself is a value."""
+    return with_ordinals(archive.texture_entries(fx.listing(spark, d)), [F.asc("path")], "position")
+
+
 def load_images(spark, d):
     rows, outcome = files.load_images(spark, fx.write_bitmaps(spark, d))
     named = outcome.select("texture_id", paths.file_name(F.col("path")).alias("name"))
@@ -640,7 +653,7 @@ QUERIES = {
         carry_metadata, quantize_u8, grey_reduce, mip_chain, mip_chain_normal, select_mip, working_format,
         transform_steps, transform_upscaled, transform_downscaled, transform_status, batch_plan, convert, convert_keep_mips, convert_collisions, convert_files,
         asset_details, batch_summary, archive_summary, archive_summary_empty, tree_nodes, tree_all, recent_items,
-        union_catalog, select_stored_mip, convert_jobs_pixels, convert_jobs_options, load_attempts, mip_pyramid, mip_pyramid_normal,
+        union_catalog, select_stored_mip, convert_jobs_pixels, convert_jobs_options, load_attempts, scan_all, supported_listing_ranked, mip_pyramid, mip_pyramid_normal,
     )
 } | {
     "swap_channels": _on_pixels(lambda df: px.swap(df, "r", "a")),

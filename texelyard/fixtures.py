@@ -279,6 +279,32 @@ def write_bitmaps(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+TREE = ["a/img", "_b/img", ".c/d/img", "e/f/g/_img", ".img"]
+TREE_EXTENSIONS = [".bmp", ".BMP", ".tex", ".txt"]
+
+
+def write_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Small files below the shared folder, some in hidden folders or under hidden names; returns the folder."""
+    folder = new_folder(spark, "tree")
+    key = F.col("vec_id")
+    name = F.concat(pick(TREE, key % 5), key, pick(TREE_EXTENSIONS, div(key, 5) % 4))
+    rows = table(spark, sf_dir, "embeddings").select(name.alias("name"), (key % 7).cast("int").alias("length"))
+
+    def write(batches):
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for place, length in zip(*[c.to_pylist() for c in batch.columns]):
+                fs.create_dir(f"{root}/{place}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{place}") as out:
+                    out.write(b"x" * length)
+            yield batch.select(["name"])
+
+    rows.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 def _bitmap_writer(folder: str):
     def write(batches):
         import pyarrow.fs as pafs

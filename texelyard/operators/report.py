@@ -19,7 +19,7 @@ def batch_summary(results: DataFrame) -> DataFrame:
     )
     fraction = F.when(F.col("total") > 0, F.col("processed") / F.col("total")).otherwise(0.0)
     message = F.format_string(
-        "Batch complete: %d succeeded, %d failed out of %d files.", "success", "fail", "total"
+        "%d converted, %d failed, %d in all", "success", "fail", "total"
     )
     return counted.withColumns(
         {
@@ -42,11 +42,11 @@ def archive_summary(listing: DataFrame, toc: DataFrame, supported: Column, is_sp
         toc.select(one.alias("d4"), none.alias("other"), none.alias("all"))
     )
     sums = tagged.agg(*[F.coalesce(F.sum(p), none).alias(p) for p in ("d4", "other", "all")])
-    split = F.format_string(" (%d D4 TEX + %d other)", "d4", "other")
+    split = F.format_string(": %d split, %d other", "d4", "other")
     status = F.concat(
-        F.format_string("Opened: %d supported textures found", F.col("d4") + F.col("other")),
+        F.format_string("%d textures", F.col("d4") + F.col("other")),
         split if is_split else F.lit(""),
-        F.format_string(" (of %d total files).", "all"),
+        F.format_string("; %d files in all", "all"),
     )
     return sums.select(
         (F.col("d4") + F.col("other")).alias("supported"),

@@ -169,8 +169,8 @@ VIEWS = {
     "told": """
         SELECT texture_id, success, CASE
           WHEN file_format = 'Unknown' THEN ['Unsupported input format'] WHEN success THEN []
-          WHEN noisy THEN ['bad mip', 'row ' || texture_id] WHEN d4 THEN ['Unknown D4 TEX parse error']
-          WHEN strict THEN [] ELSE ['Unknown ' || file_format || ' parse error'] END AS issues
+          WHEN noisy THEN ['bad mip', 'row ' || texture_id] WHEN d4 THEN ['The split TEX parser gave no result']
+          WHEN strict THEN [] ELSE ['The ' || file_format || ' parser gave no result'] END AS issues
         FROM judged""",
     "blobs": f"""
         SELECT l_orderkey AS f, l_partkey, l_suppkey, l_linenumber % 3 + 1 AS k, CAST(l_quantity AS INTEGER) % 20 + 4 AS size_a, (CAST(l_quantity AS INTEGER) + 3) % 20 + 4 AS size_b,
@@ -296,15 +296,15 @@ def _requests(source: str = "assets") -> str:
         CASE WHEN blp_type = '1' THEN 0 ELSE 1 END AS blp_version, coalesce({case('down', rules.DOWNSCALE_ARGUMENTS)}, 0) AS levels,
         CASE gen WHEN 'maximum' THEN 1 WHEN 'custom' THEN 2 ELSE 0 END AS mode,
         CASE WHEN gen = 'custom' AND cnt = '3' THEN 3 WHEN gen = 'custom' AND cnt = '99' THEN 99 ELSE 1 END AS mcount,
-        CASE WHEN input_format = 'Unknown' THEN 'Unrecognised input extension: ' || {ext_of('path')}
-          WHEN output_format = 'Unknown' THEN 'Unrecognised output extension: ' || {ext_of('output_path')}
-          WHEN blp_type NOT IN ('1', '2') THEN 'Invalid --blp_type ''' || blp_type || '''. Expected 1 or 2.'
-          WHEN comp IS NOT NULL AND enc IS NULL THEN 'Invalid --blp_compression ''' || comp || '''. Expected true_color, paletted, jpeg, bc1, bc2, or bc3.'
-          WHEN dds IS NOT NULL AND dds_index IS NULL THEN 'Invalid --dds_format ''' || dds || '''. Expected true_color, bc1-bc7, or bc3n.'
-          WHEN qnum NOT BETWEEN 1 AND 100 THEN 'Invalid --jpeg_quality ''' || qual || '''. Expected 1..100.'
-          WHEN tkind IS NOT NULL AND explicit_kind IS NULL THEN 'Invalid --texture_kind ''' || tkind || '''. Valid kinds: {' '.join(rules.KIND_OF_ARGUMENT)}'
-          WHEN down NOT IN ('x2', 'x4') THEN 'Invalid --downscale ''' || down || '''. Expected x2 or x4.'
-          WHEN gen NOT IN ('maximum', 'custom') THEN 'Invalid --generate_mipmaps ''' || gen || '''. Expected maximum or custom.' END AS error FROM o2)"""
+        CASE WHEN input_format = 'Unknown' THEN 'input has no known format: ' || {ext_of('path')}
+          WHEN output_format = 'Unknown' THEN 'output has no known format: ' || {ext_of('output_path')}
+          WHEN blp_type NOT IN ('1', '2') THEN 'blp_type ''' || blp_type || ''' is not 1 or 2'
+          WHEN comp IS NOT NULL AND enc IS NULL THEN 'blp_compression ''' || comp || ''' is not one of {' '.join(rules.BLP_COMPRESSION_ARGUMENTS)}'
+          WHEN dds IS NOT NULL AND dds_index IS NULL THEN 'dds_format ''' || dds || ''' is not one of {' '.join(rules.DDS_FORMAT_ARGUMENTS)}'
+          WHEN qnum NOT BETWEEN 1 AND 100 THEN 'jpeg_quality ''' || qual || ''' is not from 1 to 100'
+          WHEN tkind IS NOT NULL AND explicit_kind IS NULL THEN 'texture_kind ''' || tkind || ''' is not one of {' '.join(rules.KIND_OF_ARGUMENT)}'
+          WHEN down NOT IN ('x2', 'x4') THEN 'downscale ''' || down || ''' is not one of {' '.join(rules.DOWNSCALE_ARGUMENTS)}'
+          WHEN gen NOT IN ('maximum', 'custom') THEN 'generate_mipmaps ''' || gen || ''' is not maximum or custom' END AS error FROM o2)"""
 
 
 def _jobs(source: str = "assets", last: str = "") -> str:
@@ -478,7 +478,7 @@ def _statements() -> dict[str, str]:
             CAST((pos * pos + vec_id) % 256 AS INTEGER) AS b, 255 AS a FROM bitmaps, range(0, 64) t(pos) WHERE slot NOT IN (7, 8)""",
         "load_outcomes": f"""{with_('bitmaps')} SELECT name, CASE slot WHEN 7 THEN 'PNG' WHEN 8 THEN 'DDS' ELSE 'BMP' END AS file_format, slot NOT IN (7, 8) AS success,
             CASE WHEN slot NOT IN (7, 8) THEN 8 END AS width, CASE WHEN slot NOT IN (7, 8) THEN 8 END AS height,
-            CASE WHEN slot = 7 THEN 'Unknown PNG parse error' ELSE '' END AS issues FROM bitmaps""",
+            CASE WHEN slot = 7 THEN 'The PNG parser gave no result' ELSE '' END AS issues FROM bitmaps""",
         "filter_formats": f"{a} SELECT texture_id, path FROM assets WHERE {isin(fmt, ['DDS', 'JPEG', 'TEX'])}",
         "supported_listing": f"{with_('assets', 'listing', 'entries')} SELECT path FROM entries ORDER BY path",
         "toc_textures": f"{with_('toc', 'toc_tex')} SELECT name, sno FROM toc_tex ORDER BY name, sno",
@@ -548,6 +548,8 @@ def _statements() -> dict[str, str]:
         "replace_meta": f"""{a} SELECT texture_id, CASE WHEN contains(p, 'meta') THEN regexp_replace(p, 'meta', 'payload') ELSE '' END AS payload
             FROM (SELECT texture_id, CASE WHEN texture_id % 4 = 0 THEN replace(path, 'meta', 'm') ELSE path END AS p FROM assets)""",
         "resolve_companions": f"{comp} SELECT texture_id, payload, paylow, companion FROM resolved",
+        "scan_all": f"""SELECT {pick(fx.TREE, 'vec_id % 5')} || vec_id || {pick(fx.TREE_EXTENSIONS, '(vec_id // 5) % 4')} AS name, CAST(vec_id % 7 AS BIGINT) AS length FROM embeddings""",
+        "supported_listing_ranked": f"{with_('assets', 'listing', 'entries')} SELECT path, row_number() OVER (ORDER BY path) - 1 AS position FROM entries",
         "load_attempts": f"""{comp}, told AS (SELECT *, texture_id % 5 <> 0 AND companion <> 'none' AS split FROM resolved)
             SELECT texture_id, CASE WHEN split THEN 'split' ELSE 'plain' END AS load_as, CASE WHEN split THEN payload END AS payload, CASE WHEN split THEN paylow END AS paylow FROM told""",
         "resolve_triplet": f"{trip} SELECT * FROM triplet",
@@ -599,19 +601,19 @@ def _statements() -> dict[str, str]:
         "convert_keep_mips": _convert_keep(),
         "convert_collisions": _collisions(),
         "convert_files": f"""{with_('bitmaps')} SELECT total, total AS processed, good AS success, total - good AS fail, true AS done, 1.0::DOUBLE AS fraction,
-            'Batch complete: ' || good || ' succeeded, ' || (total - good) || ' failed out of ' || total || ' files.' AS message
+            good || ' converted, ' || (total - good) || ' failed, ' || total || ' in all' AS message
             FROM (SELECT count(*) AS total, count(*) FILTER (WHERE slot NOT IN (7, 8)) AS good FROM bitmaps)""",
         "asset_details": _details(),
         "batch_summary": f"""{plan}, r AS (SELECT CASE WHEN texture_id % 97 <> 0 THEN success END AS s FROM planned),
             c AS (SELECT count(*) AS total, count(s) AS processed, count(*) FILTER (WHERE s) AS success, count(*) FILTER (WHERE NOT s) AS fail FROM r)
             SELECT *, processed >= total AS done, CASE WHEN total > 0 THEN processed / total ELSE 0.0 END AS fraction,
-            CASE WHEN processed >= total THEN 'Batch complete: ' || success || ' succeeded, ' || fail || ' failed out of ' || total || ' files.' END AS message FROM c""",
+            CASE WHEN processed >= total THEN success || ' converted, ' || fail || ' failed, ' || total || ' in all' END AS message FROM c""",
         "archive_summary": f"""{with_('assets', 'listing', 'entries', 'toc', 'toc_tex')}, c AS (SELECT (SELECT count(*) FROM toc_tex) AS d4, (SELECT count(*) FROM entries) AS other,
             (SELECT count(*) FROM listing) AS total) SELECT d4 + other AS supported, d4 AS d4_textures, other AS other_textures, total AS total_files,
-            'Opened: ' || (d4 + other) || ' supported textures found (' || d4 || ' D4 TEX + ' || other || ' other) (of ' || total || ' total files).' AS status FROM c""",
+            (d4 + other) || ' textures: ' || d4 || ' split, ' || other || ' other; ' || total || ' files in all' AS status FROM c""",
         "archive_summary_empty": f"""{with_('assets', 'listing', 'entries')}, c AS (SELECT (SELECT count(*) FROM entries) AS other, (SELECT count(*) FROM listing) AS total)
             SELECT other AS supported, 0::BIGINT AS d4_textures, other AS other_textures, total AS total_files,
-            'Opened: ' || other || ' supported textures found (0 D4 TEX + ' || other || ' other) (of ' || total || ' total files).' AS status FROM c""",
+            other || ' textures: 0 split, ' || other || ' other; ' || total || ' files in all' AS status FROM c""",
         "tree_nodes": _tree("r"),
         "tree_all": _tree(""),
         "recent_items": """WITH latest AS (SELECT user_id, event_type || '/' || (props->>'$.k') AS item, max(ts) AS ts FROM events GROUP BY 1, 2)

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from texelyard.functions import formats, paths, rules
 from texelyard.operators.assets import filter_formats
 from texelyard.session import ship_package, stage
+from texelyard.sources.listing import list_tree
 from texelyard.spec import ALL_FORMATS
 
 # Bytes of image data handed to Python per row, so batches stay small for any image.
 BAND_BYTES = 1 << 14
 ROWS_PER_BATCH = 1 << 16
 
+PASSED_OVER = "The image reader passed over this file"
 PIXEL_SCHEMA = "texture_id bigint, width int, height int, mip int, x int, y int, r int, g int, b int, a int"
 
 
@@ -40,21 +42,18 @@ def _only_direct(df: DataFrame, folder: str) -> DataFrame:
 def scan_assets(spark: SparkSession, folder: str, recursive: bool = True, enabled=None) -> DataFrame:
     """Files under ``folder``: path, length, modified. Contents are never read.
 
-    With ``enabled`` the listing itself is narrowed to those formats. Names that
-    begin with ``_`` or ``.`` are hidden by Spark's listing.
+    Hidden names are listed as any other, see :func:`texelyard.sources.listing.list_tree`; what could not be listed
+    has no length. With ``enabled`` only files of those formats are kept.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if enabled is not None:
-        reader = reader.option("pathGlobFilter", format_glob(enabled))
-    files = reader.load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
-    files = files if recursive else _only_direct(files, folder)
-    return files if enabled is None else filter_formats(files, enabled)
+    found = list_tree(spark, folder, recursive).drop("error")
+    return found if enabled is None else filter_formats(found, enabled)
 
 
 def load_images(spark: SparkSession, folder: str, recursive: bool = True, enabled=ALL_FORMATS):
     """Decode images; returns (pixel rows, outcome per file).
 
-    Decoding is Spark's own image source. Each image is cut into bands of rows
+    Decoding is Spark's own image source; a listed file that it passes over, as it does hidden names, is
+    an outcome without a result. Each image is cut into bands of rows
     before it reaches Python, so no batch depends on the size of an image. The
     bands are written to the shared folder: pixels and outcomes both read them,
     and no file is decoded twice.
@@ -93,6 +92,18 @@ def load_images(spark: SparkSession, folder: str, recursive: bool = True, enable
         F.when(decoded, F.col("height")).alias("height"),
         F.array().cast("array<string>").alias("issues"),
     )
+    plain = strip_scheme(F.col("path"))
+    listed = scan_assets(spark, folder, recursive, enabled).select("path").withColumn("_plain", plain)
+    passed = listed.join(outcome.select(plain.alias("_plain")), "_plain", "left_anti").select(
+        "path",
+        F.xxhash64("path").alias("texture_id"),
+        formats.classify_format(paths.ext(F.col("path"))).alias("file_format"),
+        F.lit(False).alias("has_result"),
+        F.lit(None).cast("int").alias("width"),
+        F.lit(None).cast("int").alias("height"),
+        F.array(F.lit(PASSED_OVER)).alias("issues"),
+    )
+    outcome = outcome.unionByName(passed)
     pixels = staged.filter(decoded).select("texture_id", "width", "height", "channels", "y0", "data")
     return pixels.mapInArrow(_band_pixels, PIXEL_SCHEMA), outcome
 
@@ -138,8 +149,8 @@ def judge_loads(df: DataFrame) -> DataFrame:
     noisy = F.coalesce(F.size("issues"), F.lit(0)) > 0
     success = ~unsupported & F.coalesce("has_result", F.lit(False)) & ~(strict & noisy)
     none = F.array().cast("array<string>")
-    generic = F.when(d4, F.array(F.lit("Unknown D4 TEX parse error"))).when(
-        ~strict, F.array(F.concat(F.lit("Unknown "), fmt, F.lit(" parse error")))
+    generic = F.when(d4, F.array(F.lit("The split TEX parser gave no result"))).when(
+        ~strict, F.array(F.concat(F.lit("The "), fmt, F.lit(" parser gave no result")))
     )
     kept = (
         F.when(unsupported, F.array(F.lit(rules.UNSUPPORTED_INPUT)))

@@ -7,11 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NO_INPUT = "Error: No input directory specified."
-NO_OUTPUT = "Error: No output directory specified."
-MISSING_INPUT = "Error: Input directory does not exist."
-SAME_FOLDER = "Error: Input and output directories must be different."
-NO_MATCH = "No matching files found in input directory."
+from texelyard.sources.listing import exists
+
+NO_INPUT = "The batch has no input folder"
+NO_OUTPUT = "The batch has no output folder"
+MISSING_INPUT = "The input folder is not there"
+SAME_FOLDER = "Input and output are one and the same folder"
+NO_MATCH = "The input folder holds no file of the wanted formats"
 
 
 def _plain(folder: str) -> str:
@@ -25,12 +27,8 @@ def guard_sink(spark: SparkSession, input_dir: str, output_dir: str, matches: Da
         return NO_INPUT
     if not output_dir:
         return NO_OUTPUT
-    try:
-        spark.read.format("binaryFile").load(input_dir).schema  # noqa: B018
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return MISSING_INPUT
-        raise
+    if not exists(spark, input_dir):
+        return MISSING_INPUT
     if _plain(input_dir) == _plain(output_dir):
         return SAME_FOLDER
     if matches is not None and matches.isEmpty():
@@ -41,8 +39,7 @@ def guard_sink(spark: SparkSession, input_dir: str, output_dir: str, matches: Da
 def refuse_existing(spark: SparkSession, folder: str) -> None:
     """Raise if a batch has been written to ``folder`` before."""
     for part in ("pixels", "manifest"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if exists(spark, f"{folder}/{part}"):
             raise FileExistsError(f"{folder} already exists: it holds the output of another batch")
 
 
