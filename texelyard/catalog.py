@@ -14,7 +14,7 @@ from texelyard.operators.ordinals import with_ordinals
 from texelyard.plans import convert as conversion
 from texelyard.plans import jobs, planning
 from texelyard.session import new_folder, stage
-from texelyard.sources import archive, files, sinks
+from texelyard.sources import archive, files, ranged, sinks
 from texelyard.spec import CUSTOM, MAXIMUM, JobSpec, Step
 
 PIXEL = ["texture_id", "width", "height", "mip", "x", "y", "r", "g", "b", "a"]
@@ -399,11 +399,24 @@ def resolve_triplet(spark, d):
     return _triplets(spark, d)
 
 
+def _ranged_index(spark, d):
+    """Index of real packed files, each known by the number in its name."""
+    return stage(ranged.ranged_index(files.scan_assets(spark, fx.write_packed(spark, d))), "index")
+
+
+def ranged_slices(spark, d):
+    """Packed files to index to slices by byte ranges."""
+    cut = ranged.ranged_slices(_ranged_index(spark, d), fx.HEADER_MAGIC, F.lit(77))
+    return cut.select("sno", F.hex("data").alias("data"))
+
+
 def triplet_bytes(spark, d):
-    """Bytes of the three parts; slices are of the packed entries that are wanted."""
-    found = _triplets(spark, d)
+    """Index to slice to the bytes of the three parts."""
+    index = _ranged_index(spark, d)
+    found = stage(companions.resolve_triplet(archive.toc_entries(fx.toc(spark, d)), fx.archive_blobs(spark, d), packed.last_writer(index)), "triplets")
     blobs = fx.blob_bytes(fx.archive_blobs(spark, d))
-    slices = found.filter("meta_source = 'packed'").select("sno", F.unhex(binary.le_hex(F.col("packed_start"))).alias("data"))
+    wanted = index.join(found.filter("meta_source = 'packed'").select("sno"), "sno", "left_semi")
+    slices = ranged.ranged_slices(wanted, fx.HEADER_MAGIC, F.lit(77))
     rows = companions.attach_bytes(found, blobs, slices, fx.HEADER_MAGIC)
     return rows.select("name", "sno", *[F.hex(c).alias(c) for c in ("data", "payload_data", "paylow_data")])
 
@@ -411,7 +424,7 @@ def triplet_bytes(spark, d):
 def packed_slices(spark, d):
     """Index to slice: the winning entry of each id behind its header."""
     blobs = fx.packed_blobs(spark, d).select("f", "blob")
-    winners = packed.last_writer(packed.packed_index(blobs))
+    winners = stage(packed.last_writer(packed.packed_index(blobs)), "winners")
     cut = archive.packed_slices(blobs, winners, fx.HEADER_MAGIC, F.lit(77))
     return cut.select("sno", F.hex("data").alias("data"))
 
@@ -653,7 +666,7 @@ QUERIES = {
         carry_metadata, quantize_u8, grey_reduce, mip_chain, mip_chain_normal, select_mip, working_format,
         transform_steps, transform_upscaled, transform_downscaled, transform_status, batch_plan, convert, convert_keep_mips, convert_collisions, convert_files,
         asset_details, batch_summary, archive_summary, archive_summary_empty, tree_nodes, tree_all, recent_items,
-        union_catalog, select_stored_mip, convert_jobs_pixels, convert_jobs_options, load_attempts, scan_all, supported_listing_ranked, mip_pyramid, mip_pyramid_normal,
+        union_catalog, select_stored_mip, convert_jobs_pixels, convert_jobs_options, load_attempts, scan_all, supported_listing_ranked, ranged_slices, mip_pyramid, mip_pyramid_normal,
     )
 } | {
     "swap_channels": _on_pixels(lambda df: px.swap(df, "r", "a")),

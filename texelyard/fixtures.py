@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -279,6 +280,40 @@ def write_bitmaps(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def write_packed(spark: SparkSession, sf_dir: str) -> str:
+    """:func:`packed` as real files below the shared folder, one per ``f``; returns the folder.
+
+    Some have a wrong magic, some end a byte early, and some entries store another id.
+    """
+    folder = new_folder(spark, "packed-files")
+    rows = packed(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "f").sortWithinPartitions("f", "i")
+
+    def write(batches):
+        import itertools
+
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        entries = (e for b in batches for e in zip(*(b.column(c).to_pylist() for c in ("f", "sno", "size"))))
+        for f, own in itertools.groupby(entries, lambda e: e[0]):
+            own = list(own)
+            index = b"".join(struct.pack("<iI", sno, size) for _, sno, size in own)
+            body = b"".join(
+                bytes(8) + (struct.pack("<i", sno + ((sno + i) % 11 == 0)) + b"\xab" * max(0, size - 4)).ljust((size + 7) // 8 * 8, b"\0")
+                for i, (_, sno, size) in enumerate(own)
+            )
+            whole = struct.pack("<II", 1 if f % 13 == 0 else rules.PACKED_MAGIC, len(own)) + index + body
+            last = own[-1][2]
+            pad = (last + 7) // 8 * 8 - last
+            with fs.open_output_stream(f"{root}/packed-{f:010d}.dat") as out:
+                out.write(whole[: len(whole) - pad - (f % 7 == 0)])
+        yield pa.RecordBatch.from_pydict({"f": pa.array([], pa.int64())})
+
+    rows.mapInArrow(write, "f bigint").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 TREE = ["a/img", "_b/img", ".c/d/img", "e/f/g/_img", ".img"]
 TREE_EXTENSIONS = [".bmp", ".BMP", ".tex", ".txt"]
 

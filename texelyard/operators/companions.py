@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from texelyard.functions import paths, rules
 from texelyard.functions.binary import strip_header
+from texelyard.operators.bloom import might_contain
 
 
 def _existing(meta: DataFrame, listing: DataFrame, segment: str) -> DataFrame:
@@ -130,15 +131,18 @@ def attach_bytes(triplets: DataFrame, blobs: DataFrame, slices: DataFrame, magic
     """Fetch the bytes named by :func:`resolve_triplet`, payload headers stripped.
 
     ``slices(sno, data)`` holds metadata cut from packed files. The wanted files
-    are one narrow table of (path, id, role); its join with the contents drops every other blob,
-    and one grouping by id brings the parts together. Bytes are exchanged at
+    are one narrow table of (path, id, role); a Bloom filter of its paths drops nearly all other contents
+    where they are, the join the rest, and one grouping by id brings the parts together. Bytes are exchanged at
     most twice: by path, then by id.
     """
     roles = {"meta": "meta", "payload": "payload", "paylow": "paylow"}
     named = F.array(*[F.struct(F.lit(role).alias("role"), F.col(ref).alias("path")) for ref, role in roles.items()])
     wanted = triplets.select("sno", F.explode(F.filter(named, lambda w: w["path"].isNotNull())).alias("w")).select("sno", "w.role", "w.path").distinct()
     body = F.when(F.col("role") == "meta", F.col("data")).otherwise(strip_header(F.col("data"), magic))
-    files = blobs.select("path", "data").join(wanted, "path").select("sno", "role", body.alias("data"))
+    # Most of an archive is not wanted: its bytes are dropped where they are, not exchanged.
+    names = wanted.select("path").distinct()
+    near = blobs.select("path", "data").filter(might_contain(names, F.col("path"), names.count()))
+    files = near.join(wanted, "path").select("sno", "role", body.alias("data"))
     cut = slices.join(triplets.filter("meta_source = 'packed'").select("sno").distinct(), "sno", "left_semi")
     parts = files.unionAll(cut.select("sno", F.lit("slice").alias("role"), "data"))
 

@@ -12,6 +12,7 @@ from texelyard.operators.running import blocked_running_sum
 from texelyard.session import ship_package
 
 BLOCK_BITS = 12  # entries per block: 4096
+CUT_BYTES = 8 << 20  # of entries in one batch
 
 
 def aligned(size: Column) -> Column:
@@ -80,12 +81,16 @@ def _decode_batches(batches):
 def _cut_batches(batches):
     for batch in batches:
         index, data, begin = _decode(batch)
-        for at in range(0, index.num_rows, 1 << 12):
-            part = index.slice(at, 1 << 12)
-            first = begin[at : at + (1 << 12)]
-            cuts = [data[b : b + s].tobytes() for b, s in zip(first, part.column("size").to_numpy())]
-            columns = [*part.columns, pa.array(cuts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "data"])
+        ends = np.cumsum(index.column("size").to_numpy())
+        at = 0
+        while at < index.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + CUT_BYTES, "right")))
+            bounds = np.concatenate([[0], ends[at:stop] - before])
+            flat = data[np.repeat(begin[at:stop] - bounds[:-1], np.diff(bounds)) + np.arange(bounds[-1])]
+            cuts = pa.BinaryArray.from_buffers(pa.binary(), stop - at, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([*index.slice(at, stop - at).columns, cuts], [*index.schema.names, "data"])
+            at = stop
 
 
 def _decode(batch: pa.RecordBatch):

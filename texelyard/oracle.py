@@ -120,6 +120,10 @@ VIEWS = {
     "packed_last": """
         SELECT sno, f, i, start, size FROM (
           SELECT *, row_number() OVER (PARTITION BY sno ORDER BY f DESC, i DESC) AS rank FROM packed_start) WHERE rank = 1""",
+    "files_last": """
+        SELECT sno, f, i, start, size FROM (
+          SELECT *, row_number() OVER (PARTITION BY sno ORDER BY f DESC, i DESC) AS rank FROM packed_start
+          WHERE f % 13 <> 0 AND NOT (f % 7 = 0 AND i = n - 1) AND (sno + i) % 11 <> 0) WHERE rank = 1""",
     "triplet": """
         SELECT t.name || '.tex' AS name, t.sno,
           CASE WHEN t.sno % 4 = 2 THEN 'name' WHEN t.sno % 4 = 1 THEN 'id' ELSE 'packed' END AS meta_source,
@@ -410,6 +414,12 @@ def _convert() -> str:
     return _written("chain", joined)
 
 
+def slice_hex(sno: str, size: str) -> str:
+    """A packed entry behind its header: its id, then a fill, as many bytes as it has."""
+    head = f"{le_hex(str(fx.HEADER_MAGIC))} || {le_hex('77')} || repeat('00', 8)"
+    return f"{head} || substr({le_hex(sno)} || repeat('AB', CAST(greatest({size} - 4, 0) AS INTEGER)), 1, CAST(2 * {size} AS INTEGER))"
+
+
 def _blob_entries() -> str:
     start = f"8 + 8 * k + 8 * (i + 1) + CASE WHEN i > 0 THEN {_ceil8('size_a')} + (i - 1) * {_ceil8('size_b')} ELSE 0 END"
     return f"""{with_('blobs')} SELECT f, CAST(i AS BIGINT) AS i, CAST(k AS BIGINT) AS n, CAST(l_partkey + least(i, 1) AS INTEGER) AS sno,
@@ -468,7 +478,7 @@ def _statements() -> dict[str, str]:
     half = _u8("0.5")
     multi = "kind = 'Multikind'"
     starts = with_("packed", "packed_start", "packed_last")
-    trip = with_("toc", "toc_tex", "packed", "packed_start", "packed_last", "triplet")
+    trip = with_("toc", "toc_tex", "packed", "packed_start", "packed_last", "files_last", "triplet")
     plan = _plan()
     return {
         "classify_count": f"{a} SELECT {fmt} AS file_format, {kind} AS kind, count(*) AS n FROM assets GROUP BY 1, 2",
@@ -490,10 +500,11 @@ def _statements() -> dict[str, str]:
         "packed_slices": f"""WITH entries_ AS ({_blob_entries()}), won AS (SELECT sno, arg_max((f, i, start, size), (f, i, start, size)) AS w FROM entries_ GROUP BY 1)
             SELECT e.sno, {le_hex(str(fx.HEADER_MAGIC))} || {le_hex('77')} || repeat('00', 8) || {le_hex('e.sno')} || repeat('AB', CAST(e.size - 4 AS INTEGER)) AS data
             FROM entries_ e JOIN won ON e.sno = won.sno AND e.f = w[1] AND e.i = w[2]""",
-        "triplet_bytes": f"""{trip},
+        "ranged_slices": f"""{with_('packed', 'packed_start', 'files_last')} SELECT CAST(sno AS INTEGER) AS sno, {slice_hex('sno', 'size')} AS data FROM files_last""",
+        "triplet_bytes": f"""{trip.replace('LEFT JOIN packed_last p', 'LEFT JOIN files_last p')},
             sized AS (SELECT CAST(p_partkey AS INTEGER) AS sno, CASE WHEN p_partkey % 23 = 0 THEN 0 ELSE p_size + 1 END AS length FROM part),
             made AS (SELECT t.*, length, repeat(substr({le_hex('t.sno * 257')}, 1, 2), CAST(length AS INTEGER)) AS fill FROM triplet t JOIN sized USING (sno))
-            SELECT name, sno, CASE WHEN meta_source = 'packed' THEN {le_hex('packed_start')} ELSE fill END AS data, fill AS payload_data,
+            SELECT name, sno, CASE WHEN meta_source = 'packed' THEN {slice_hex('sno', 'packed_size')} ELSE fill END AS data, fill AS payload_data,
               CASE WHEN paylow IS NOT NULL THEN fill END AS paylow_data FROM made""",
         "unreadable_files": f"""{with_('assets', 'listing')} SELECT path, '{rules.UNREADABLE}' || path AS message FROM listing WHERE length(path) % 7 = 0 OR length(path) % 5 = 0""",
         "packed_offsets": f"{starts} SELECT f, i, n, sno, size, start FROM packed_start",

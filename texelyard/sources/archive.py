@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from texelyard.functions import paths, rules
 from texelyard.functions.binary import header
 from texelyard.functions.lookups import as_col
+from texelyard.operators.bloom import might_contain
 from texelyard.operators.packed import packed_entries
 
 
@@ -61,9 +62,12 @@ def slice_with_header(df: DataFrame, magic, format_hash="format_hash") -> DataFr
 def packed_slices(blobs: DataFrame, index: DataFrame, magic, format_hash, key: str = "f") -> DataFrame:
     """Bytes of winning packed entries as ``(sno, data)``.
 
-    Entries are cut where the scan put their file and joined with the winners on
-    a unique key: whole blobs are never shuffled.
+    Entries are cut where the scan put their file; a Bloom filter of the winners drops nearly all others there, and a join on
+    a unique key the rest: neither whole blobs nor losing entries are shuffled.
     """
     winners = index.select("sno", key, "i")
-    cut = packed_entries(blobs, key).select("sno", key, "i", "data").join(winners, ["sno", key, "i"], "left_semi")
+    place = F.xxhash64("sno", key, "i")
+    entries = packed_entries(blobs, key).select("sno", key, "i", "data")
+    near = entries.filter(might_contain(winners.select(place.alias("place")), place, winners.count()))
+    cut = near.join(winners, ["sno", key, "i"], "left_semi")
     return cut.select("sno", F.concat(header(magic, as_col(format_hash)), "data").alias("data"))
