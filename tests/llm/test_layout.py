@@ -55,6 +55,21 @@ def test_a_hot_cell_is_cut(spark, monkeypatch):
     assert again == {r.doc_id: (r.shard, r.slot) for r in rows}
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_a_hot_key_is_cut(spark, monkeypatch, key):
+    """One key, or none, in a third of the rows of one cell: kept values part them."""
+    monkeypatch.setattr(hilbert, "SLICE_LEAST", 4)
+    ids = F.when(F.col("id") % 3 == 0, F.lit(key)).otherwise(F.col("id") + 100)
+    hot = spark.range(3000).select(ids.cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).alias("n_chars"), F.col("id").alias("v"))
+    placed = hilbert.curve_shards(hot, 8)
+    check_shards(placed.collect(), 8)
+    assert sorted(r.v for r in placed.collect()) == list(range(3000))
+    again = {r.v: (r.shard, r.slot) for r in hilbert.curve_shards(hot.repartition(5), 8).collect()}
+    assert again == {r.v: (r.shard, r.slot) for r in placed.collect()}
+    slot = placed.filter(F.col("doc_id").eqNullSafe(F.lit(key))).groupBy("shard").count().collect()
+    assert len(slot) == 8 and max(r["count"] for r in slot) < 250
+
+
 def test_shard_plan_is_native_and_moves_no_text(spark):
     plan = QUERIES["op9_hilbert_shards"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct"))

@@ -1,5 +1,6 @@
 """Document statistics, boosted trees and the byte network."""
 
+import math
 import zlib
 from collections import Counter
 
@@ -49,6 +50,60 @@ def test_query_rules(spark):
     assert good <= 1 and bad <= 2
 
 
+def walked(forest, values):
+    """Sum of one value per tree, from root to leaf, then the probability."""
+    total = forest.base
+    for root in forest.roots.tolist():
+        at = root
+        while forest.left[at] != at:
+            at = forest.left[at] if values[forest.feature[at]] <= forest.cut[at] else forest.right[at]
+        total += forest.value[at]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_kept_of_the_query_by_walked_trees(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    forest = rules.fit_rules(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = QUERIES["op10_boosted_rules"](spark, SMALL).collect()
+    for r in rows:
+        counts = text_stats(texts[r.doc_id])
+        words, *_ = counts
+        score = walked(forest, rules.features(np.array([counts]))[0].tolist())
+        assert abs(score - r.score) < 1e-9
+        assert r.kept == (words >= 50 and 100 * counts[NAMES.index("n_repeat_words")] <= 50 * words and score >= rules.KEEP_SCORE)
+    assert 0 < sum(r.kept for r in rows) < len(rows)
+
+
+def plain_probability(net, text):
+    """The network without its folded table: embed, convolve, pool and combine position by position."""
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    raw = (text or "").encode()
+    raw += bytes(max(bytecnn.WIDTH, -(-len(raw) // bytecnn.STRIDE) * bytecnn.STRIDE + bytecnn.WIDTH - bytecnn.STRIDE) - len(raw))
+    embedded = w["embed"][list(raw)]
+    responses = []
+    for at in range(0, len(raw) - bytecnn.WIDTH + 1, bytecnn.STRIDE):
+        responses.append(sum(embedded[at + k] @ w["filters"][k] for k in range(bytecnn.WIDTH)))
+    pools = []
+    for first in range(0, max(1, len(responses) - (bytecnn.CHUNK - bytecnn.HOP)), bytecnn.HOP):
+        best = np.max(responses[first : first + bytecnn.CHUNK], axis=0)
+        pools.append(np.maximum(best + w["filter_bias"], 0))
+    vector = np.concatenate([np.mean(pools, axis=0), np.max(pools, axis=0)])
+    hidden = np.tanh(vector @ w["dense"] + w["dense_bias"])
+    return 1 / (1 + math.exp(-(hidden @ w["out"] + w["out_bias"])))
+
+
+def test_scores_of_the_query_by_a_plain_network(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    net = bytecnn.fit_network(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in QUERIES["op4_byte_cnn_quality"](spark, SMALL).collect():
+        if r.doc_id % 10 == 0:
+            want = plain_probability(net, texts[r.doc_id])
+            assert abs(r.score - want) < 1e-3
+            assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_judge_handles_every_case(spark):
     forest = boosting.fit(np.zeros((0, len(rules.BOUNDS))), np.zeros(0), rules.BOUNDS)
     rows = rules.judge(documents(spark), forest).collect()

@@ -177,6 +177,17 @@ def test_packing_keeps_every_id(spark, library):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
 
+def test_a_second_run_has_only_hits(spark, monkeypatch):
+    """The documents of the query twice on one cache: the second time nothing is encoded."""
+    docs, folder = spark.read.parquet(f"{SF}/documents.parquet"), new_folder(spark, "cache")
+    first = Counter(map(tuple, tokencache.count_tokens(docs, folder).collect()))
+    stored = tokencache.read_cache(spark, folder, tokencache.tokenizer_version(NAME))
+    held = stored.count()
+    second = Counter(map(tuple, tokencache.count_tokens(docs, folder).collect()))
+    runs = spark.read.parquet(folder).groupBy("run").count().collect()
+    assert first == second and len(runs) == 1 and stored.count() == held == docs.select("text").distinct().count()
+
+
 def test_neighbours_follow_their_seed():
     # Documents 0 and 3 share rare ids, 1 and 2 share others; 9 is in all of them.
     texts = [[9, 100, 101, 102], [9, 200, 201], [9, 200, 201, 202], [9, 100, 101, 103], [9], []]

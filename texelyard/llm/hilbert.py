@@ -17,7 +17,7 @@ from texelyard.llm.common import free_name, partitions, quoted
 
 BITS = 4
 HEX = "0123456789abcdef"
-# A cell is cut by digits of its rows' key digests until a slice is about this small.
+# A cell is cut by digits of its rows' digests until a slice is about this small.
 SLICE_LEAST, SLICE_MOST, DEPTH_MOST = 256, 100_000, 7
 
 
@@ -59,16 +59,16 @@ def curve_shards(
     """One row per document with its place: ``curve``, ``shard`` and ``slot`` in the shard from 0.
 
     Law: counts of rows per shard differ by one at most. Order within a cell is by
-    the digest of the key, then the key, then the kept values, nulls first; rows
+    the digest of the key and the kept values as text, then the key, then the kept values, nulls first; rows
     equal in all of these can change places without a difference. ``keep`` names what a row
     carries (default: all columns of ``docs``); an added column whose name is taken gets a
     trailing underscore. Nulls fall in the cell of empty names and of length 0.
     An empty table gives no rows.
 
     The 4,096 cells are counted first, and the table of cells is the only thing
-    broadcast. A cell with many rows is cut by leading digits of the key digests,
-    as many as its count needs, so a language or source with a third of all rows
-    spreads over every task. Only what ``keep`` names is shuffled, once.
+    broadcast. A cell with many rows is cut by leading digits of the digests,
+    as many as its count needs, so a language, source or key (null too) with a third of all rows
+    spreads over every task; only rows alike in everything stay together. Only what ``keep`` names is shuffled, once.
     """
     axes = axes or {"lang": name_code(quoted("lang")), "source": name_code(quoted("source")), "n_chars": length_code(quoted("n_chars"))}
     if BITS * len(axes) > 14:
@@ -76,7 +76,8 @@ def curve_shards(
     keep = {c: quoted(c) for c in docs.columns} if keep is None else keep
     coded = [a.alias(f"_c{k}") for k, a in enumerate(axes.values())]
     cell = [f"_c{k}" for k in range(len(axes))]
-    digest = F.md5(F.coalesce(quoted(key).cast("string"), F.lit(""))).alias("_digest")
+    held = [F.coalesce(c.cast("string"), F.lit("")) for c in (quoted(key), *keep.values())]
+    digest = F.md5(F.concat_ws(":", *held)).alias("_digest")
 
     all_cells = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     counted = docs.select(*coded).groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).withColumn("_curve", curve_index(cell))

@@ -79,7 +79,8 @@ WITH crc AS MATERIALIZED (SELECT ({CRC_TABLE}) AS crc_of),
     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS bytes FROM documents),
   rows_ AS (SELECT doc_id, size, CAST({CRC} AS BIGINT) AS text_crc32, lang, source, n_chars FROM raw, crc),
   placed AS ({_curve('rows_', [name('lang'), name('source'), length], 'doc_id, size, text_crc32')}),
-  ranked AS (SELECT *, row_number() OVER (ORDER BY curve, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM placed),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY curve, md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR), CAST(text_crc32 AS VARCHAR))),
+    doc_id NULLS FIRST, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM placed),
   cut AS (SELECT *, ({shards} * (r + 1) - 1) // n AS s FROM ranked)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(s AS INTEGER) AS shard, r - (s * n) // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve FROM cut"""
 
