@@ -31,6 +31,9 @@ HEADLINE = [
     "convert_files",
     "packed_slices",
     "triplet_bytes",
+    "convert_jobs_pixels",
+    "mip_pyramid",
+    "ranged_slices",
 ]
 
 
