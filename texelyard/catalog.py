@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ from texelyard.operators import companions, mips, packed, report, steps, tiles
 from texelyard.operators import pixels as px
 from texelyard.operators.ordinals import with_ordinals
 from texelyard.plans import convert as conversion
-from texelyard.plans import jobs, planning
+from texelyard.plans import jobs, planning, resume
 from texelyard.session import new_folder, stage
 from texelyard.sources import archive, files, ranged, sinks
 from texelyard.spec import CUSTOM, MAXIMUM, JobSpec, Step
+from texelyard.streaming import recent
 
 PIXEL = ["texture_id", "width", "height", "mip", "x", "y", "r", "g", "b", "a"]
 
@@ -553,8 +556,8 @@ def batch_plan(spark, d):
     return planned.withColumn("channel_kinds", F.array_join("channel_kinds", ","))
 
 
-def convert(spark, d):
-    spec = JobSpec(
+def _convert_spec(spark):
+    return JobSpec(
         input_dir="base/meta",
         output_dir=new_folder(spark, "converted"),
         dds_mode=1,
@@ -564,10 +567,38 @@ def convert(spark, d):
         mipmap_mode=MAXIMUM,
         steps=(Step("downscale"),),
     )
+
+
+def convert(spark, d):
+    spec = _convert_spec(spark)
     conversion.convert(fx.pixel_assets(spark, d), fx.plain_pixels(spark, d), spec)
     return spark.read.parquet(f"{spec.output_dir}/pixels").select(*PIXEL, "kind", "target_format")
 
 
+def convert_resumed(spark, d):
+    """A batch that stops after two of five shares and is run again: outputs are those of one run."""
+    spec, owners, rows = _convert_spec(spark), fx.pixel_assets(spark, d), fx.plain_pixels(spark, d)
+    resume.convert_shares(owners, rows, spec, shares=5, at_most=2)
+    resume.convert_shares(owners, rows, spec, shares=5)
+    return resume.converted_pixels(spark, spec.output_dir).select(*PIXEL, "kind", "target_format")
+
+
+def convert_replaced(spark, d):
+    """Outputs of an earlier batch with other options: those of even ids may be replaced, the others are kept."""
+    spec, owners = _convert_spec(spark), fx.pixel_assets(spark, d)
+    rows, earlier = fx.plain_pixels(spark, d), replace(spec, dds_mode=0)
+    resume.convert_shares(owners, rows, earlier, shares=2)
+    resume.convert_shares(owners, rows, spec, shares=2, replace=F.col("texture_id") % 2 == 0)
+    return resume.converted_pixels(spark, spec.output_dir).select(*PIXEL, "kind", "target_format")
+
+
+def convert_files_resumed(spark, d):
+    """Image files converted in two runs; the summary is the last snapshot of the second."""
+    spec = JobSpec(input_dir=fx.write_bitmaps(spark, d), output_dir=new_folder(spark, "converted"))
+    resume.convert_files_resumable(spark, spec, shares=3, at_most=1)
+    return resume.convert_files_resumable(spark, spec, shares=3)
+
+
 def convert_keep_mips(spark, d):
     """No steps and no new levels: stored levels pass, however wrong a stated height is."""
     spec = JobSpec(
@@ -645,10 +676,31 @@ def tree_all(spark, d):
 
 
 def recent_items(spark, d):
-    rows = report.recent_items(fx.opens(spark, d))
+    return _recent_shown(report.recent_items(fx.opens(spark, d)))
+
+
+def _recent_shown(rows):
     return rows.select("user_id", "item", "position", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
+def recent_items_merged(spark, d):
+    """The table after three updates, each with a third of all events in no order."""
+    folder, events = new_folder(spark, "recent"), fx.opens(spark, d)
+    for part in range(3):
+        recent.update_recent(events.filter(F.pmod(F.xxhash64("item", "ts"), F.lit(3)) == part), folder)
+    return _recent_shown(recent.read_recent(spark, folder))
+
+
+def recent_items_streamed(spark, d):
+    """The table kept by a stream over files of events, two at a time."""
+    arriving, folder = new_folder(spark, "arriving"), new_folder(spark, "recent")
+    events = fx.opens(spark, d)
+    events.repartition(6).write.parquet(arriving)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(arriving)
+    recent.keep_recent(stream, folder, new_folder(spark, "stream-checkpoint"), availableNow=True).awaitTermination()
+    return _recent_shown(recent.read_recent(spark, folder))
+
+
 def union_catalog(spark, d):
     return report.union_catalog(archive.texture_entries(fx.listing(spark, d)), archive.toc_entries(fx.toc(spark, d)))
 
@@ -667,6 +719,7 @@ QUERIES = {
         transform_steps, transform_upscaled, transform_downscaled, transform_status, batch_plan, convert, convert_keep_mips, convert_collisions, convert_files,
         asset_details, batch_summary, archive_summary, archive_summary_empty, tree_nodes, tree_all, recent_items,
         union_catalog, select_stored_mip, convert_jobs_pixels, convert_jobs_options, load_attempts, scan_all, supported_listing_ranked, ranged_slices, mip_pyramid, mip_pyramid_normal,
+        convert_resumed, convert_replaced, convert_files_resumed, recent_items_merged, recent_items_streamed,
     )
 } | {
     "swap_channels": _on_pixels(lambda df: px.swap(df, "r", "a")),

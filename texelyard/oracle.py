@@ -414,6 +414,12 @@ def _convert() -> str:
     return _written("chain", joined)
 
 
+def _replaced() -> str:
+    """Even ids as the later batch writes them, the others as the earlier one did."""
+    return f"""{_convert()} WHERE texture_id % 2 = 0
+      UNION ALL SELECT texture_id, width, height, mip, x, y, r, g, b, a, kind, 'BC7' FROM chain WHERE texture_id % 2 <> 0"""
+
+
 def slice_hex(sno: str, size: str) -> str:
     """A packed entry behind its header: its id, then a fill, as many bytes as it has."""
     head = f"{le_hex(str(fx.HEADER_MAGIC))} || {le_hex('77')} || repeat('00', 8)"
@@ -636,3 +642,11 @@ def _statements() -> dict[str, str]:
 
 
 ORACLE = _statements()
+ORACLE |= {
+    # However often a batch is stopped or a table brought up to date, the result is that of one pass.
+    "convert_resumed": ORACLE["convert"],
+    "convert_replaced": _replaced(),
+    "convert_files_resumed": ORACLE["convert_files"],
+    "recent_items_merged": ORACLE["recent_items"],
+    "recent_items_streamed": ORACLE["recent_items"],
+}

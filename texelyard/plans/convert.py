@@ -72,20 +72,21 @@ def convert(assets: DataFrame, pixel_rows: DataFrame, spec: JobSpec, overwrite:
     return batch_summary(plan)
 
 
-def convert_files(spark: SparkSession, spec: JobSpec, overwrite: bool = False) -> DataFrame:
-    """Batch over a directory of image files; raises when the batch may not start."""
+def check_batch(spark: SparkSession, spec: JobSpec) -> None:
+    """Raise when a batch over files may not start; from the listing, nothing is decoded."""
     reason = guard_sink(spark, spec.input_dir, spec.output_dir)
     if reason is None and scan_assets(spark, spec.input_dir, spec.recursive, spec.formats).isEmpty():
-        reason = NO_MATCH  # from the listing: nothing is decoded before the checks
+        reason = NO_MATCH
     if reason:
         raise ValueError(reason)
-    if not overwrite:
-        refuse_existing(spark, spec.output_dir)
-    pixel_rows, outcome = load_images(spark, spec.input_dir, spec.recursive, spec.formats)
+
+
+def load_assets(outcome: DataFrame) -> DataFrame:
+    """Assets of a batch from the outcome of each file; files that did not load have a ``load_error``."""
     loads = judge_loads(outcome)
     failed = F.concat(F.lit("Failed to load: "), F.col("path"), F.array_join(
         F.transform("issues", lambda issue: F.concat(F.lit("\n  "), issue)), ""))
-    assets = loads.select(
+    return loads.select(
         "texture_id",
         strip_scheme(F.col("path")).alias("path"),
         F.lit("RGBA8").alias("pixel_format"),
@@ -94,4 +95,12 @@ def convert_files(spark: SparkSession, spec: JobSpec, overwrite: bool = False) -
         F.lit(1).alias("mip_count"),
         F.when(~F.col("success"), failed).alias("load_error"),
     )
-    return convert(assets, pixel_rows, spec, overwrite)
+
+
+def convert_files(spark: SparkSession, spec: JobSpec, overwrite: bool = False) -> DataFrame:
+    """Batch over a directory of image files; raises when the batch may not start."""
+    check_batch(spark, spec)
+    if not overwrite:
+        refuse_existing(spark, spec.output_dir)
+    pixel_rows, outcome = load_images(spark, spec.input_dir, spec.recursive, spec.formats)
+    return convert(load_assets(outcome), pixel_rows, spec, overwrite)

@@ -62,11 +62,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
+def stage(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, cutting its lineage; ``by`` names a column of few values to split by."""
     spark = df.sparkSession
     folder = new_folder(spark, label)
-    df.write.mode("errorifexists").parquet(folder)
+    df.write.mode("errorifexists").parquet(folder, partitionBy=by)
     return spark.read.schema(df.schema).parquet(folder)
 
 

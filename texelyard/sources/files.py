@@ -49,9 +49,16 @@ def scan_assets(spark: SparkSession, folder: str, recursive: bool = True, enable
     return found if enabled is None else filter_formats(found, enabled)
 
 
-def load_images(spark: SparkSession, folder: str, recursive: bool = True, enabled=ALL_FORMATS):
+def share_of(shares: int):
+    """Share of a texture, from 0, by the hash of its id."""
+    return F.pmod(F.xxhash64("texture_id"), F.lit(shares)).cast("int")
+
+
+def load_images(spark: SparkSession, folder: str, recursive: bool = True, enabled=ALL_FORMATS, shares: int | None = None):
     """Decode images; returns (pixel rows, outcome per file).
 
+    With ``shares`` the first is a function from a share to its pixel rows, and bands are stored by share.
+
     Decoding is Spark's own image source; a listed file that it passes over, as it does hidden names, is
     an outcome without a result. Each image is cut into bands of rows
     before it reaches Python, so no batch depends on the size of an image. The
@@ -81,7 +88,8 @@ def load_images(spark: SparkSession, folder: str, recursive: bool = True, enable
         "explode_outer(if(height > 0, sequence(0, height - 1, rows), null)) AS y0",
     )
     cut = "substring(data, y0 * width * channels + 1, rows * width * channels) AS data"
-    staged = stage(bands.selectExpr("path", "texture_id", "width", "height", "channels", "y0", cut), "bands")
+    cut_bands = bands.selectExpr("path", "texture_id", "width", "height", "channels", "y0", cut)
+    staged = stage(cut_bands, "bands") if shares is None else stage(cut_bands.withColumn("share", share_of(shares)), "bands", "share")
     decoded = F.col("y0").isNotNull()
     outcome = staged.filter(~decoded | (F.col("y0") == 0)).select(
         "path",
@@ -104,8 +112,12 @@ def load_images(spark: SparkSession, folder: str, recursive: bool = True, enable
         F.array(F.lit(PASSED_OVER)).alias("issues"),
     )
     outcome = outcome.unionByName(passed)
-    pixels = staged.filter(decoded).select("texture_id", "width", "height", "channels", "y0", "data")
-    return pixels.mapInArrow(_band_pixels, PIXEL_SCHEMA), outcome
+
+    def pixels(of: DataFrame) -> DataFrame:
+        kept = of.filter(decoded).select("texture_id", "width", "height", "channels", "y0", "data")
+        return kept.mapInArrow(_band_pixels, PIXEL_SCHEMA)
+
+    return pixels(staged) if shares is None else (lambda share: pixels(staged.filter(F.col("share") == share))), outcome
 
 
 def _band_pixels(batches):
