@@ -11,6 +11,7 @@ space, are encoded whole.
 from __future__ import annotations
 
 import json
+import operator
 import os
 from collections.abc import Iterator
 from itertools import islice
@@ -20,8 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MEMO_ENTRIES = 800_000
-PIECES_AT_ONCE = 2_000
-SLICE_BYTES = 4 << 20
+PIECES_AT_ONCE = 250
+SLICE_BYTES = 8 << 20
 # Fixed by byte-level vocabularies: how they spell the byte 0x20.
 SPACE_BYTE = "Ġ"
 
@@ -59,14 +60,14 @@ class JsonEncoder:
         """Ids of one whole text as uint32, straight from the library."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def column(self, texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of a text column (null: empty): first row, ids, and n + 1 bounds of each text in them."""
         texts = pc.fill_null(texts, "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
         at = 0
         while at < len(texts):
             before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            stop = max(at + 1, int(np.searchsorted(ends, before + slice_bytes, "right")))
             part = texts.slice(at, stop - at)
             yield (at, *(self._by_pieces(part) if self.splits_at_space else self._whole(part)))
             pa.default_memory_pool().release_unused()  # else a worker keeps the pieces' buffers
@@ -79,29 +80,31 @@ class JsonEncoder:
         lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(lists.values)
-        index = coded.indices.to_numpy().astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
+        index = coded.indices.to_numpy().astype(np.int32)
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = bounds[:-1]
 
         # A text's first piece has no space before it and is looked up by itself.
         head, head_of = np.unique(index[first], return_inverse=True)
-        tails, missing = self._tails(pieces)
+        tails, missing, ends_bare = self._tails(pieces)
         stored = [*tails, *self._heads([pieces[k] for k in head.tolist()])]
         ragged = np.zeros(len(pieces), bool)  # only new pieces can be: these are never remembered
-        ragged[missing] = [_is_ragged(pieces[k]) for k in missing]
+        ragged[missing] = ends_bare
         loose = ragged[index]
         loose[first] &= np.diff(bounds) > 1
         loose[first] &= np.array([bool(pieces[k]) for k in head.tolist()], bool)[head_of]
         loose[bounds[1:] - 1] = False  # nothing follows a text's last piece
         index[first] = len(pieces) + head_of
 
-        size = np.array([len(s) // 4 for s in stored], np.int64)
-        begin = np.cumsum(size) - size
+        size = np.fromiter(map(len, stored), np.int32, len(stored)) // 4
+        begin = np.cumsum(size, dtype=np.int32) - size
         flat = np.frombuffer(b"".join(stored), np.uint32)
         length = size[index]
-        ends = np.cumsum(length)
-        ids = flat[np.repeat(begin[index] - (ends - length), length) + np.arange(length.sum())]
-        ends = np.concatenate([[0], ends])[bounds]
+        ends = np.cumsum(length, dtype=np.int32)  # a slice is 8 MB or one text, below 2 GB
+        spot = np.repeat(begin[index] - (ends - length), length)
+        spot += np.arange(len(spot), dtype=np.int32)
+        ids = flat[spot]
+        ends = np.concatenate([np.zeros(1, np.int64), ends])[bounds]
         runs = np.flatnonzero(np.logical_or.reduceat(loose, first))
         if not len(runs):
             return ids, ends
@@ -110,28 +113,34 @@ class JsonEncoder:
             parts[k] = self.encode(texts[k].as_py())
         return _joined(parts)
 
-    def _tails(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
-        """Ids of each distinct piece with the space before it, and which pieces were not remembered.
+    def _tails(self, pieces: list[str]) -> tuple[list[bytes], list[int], np.ndarray]:
+        """Ids of each distinct piece with the space before it, which pieces were not remembered, and which of those are ragged.
 
         The library gets many at a time; an id that begins with a space opens a piece.
         """
         found = list(map(self.memo.get, pieces))
         missing = [k for k, ids in enumerate(found) if ids is None]
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(missing), PIECES_AT_ONCE):
-            part = [pieces[k] for k in missing[at : at + PIECES_AT_ONCE] if pieces[k]]
-            ids = self.encode(" " + " ".join(part)) if part else np.zeros(0, np.uint32)
+        new = [pieces[k] for k in missing]
+        coded: list[bytes] = []
+        for at in range(0, len(new), PIECES_AT_ONCE):
+            part = new[at : at + PIECES_AT_ONCE]
+            ids = self.encode(" " + " ".join(part))
             cuts = (4 * np.flatnonzero(self.opens[ids])).tolist()
             flat = ids.tobytes()
-            if len(cuts) == len(part):
-                fresh.update(zip(part, (flat[a:b] for a, b in zip(cuts, [*cuts[1:], len(flat)]))))
+            if len(cuts) == len(part) and "" not in part:
+                coded += [flat[a:b] for a, b in zip(cuts, [*cuts[1:], len(flat)])]
             else:
-                fresh.update((p, self.encode(" " + p).tobytes()) for p in part)
-        for k in missing:
-            found[k] = fresh[pieces[k]] if pieces[k] else self.encode(" ").tobytes()
-        clean = ((p, ids) for p, ids in fresh.items() if not _is_ragged(p))
-        self.memo.update(islice(clean, max(0, self.entries - len(self.memo))))
-        return found, missing
+                coded += [self.encode(" " + p).tobytes() for p in part]
+        for k, ids in zip(missing, coded):
+            found[k] = ids
+        ragged = _ragged(new)
+        room = max(0, self.entries - len(self.memo))
+        if room < len(new) or ragged.any():
+            clean = np.flatnonzero(~ragged)[:room].tolist()
+            self.memo.update((new[k], coded[k]) for k in clean)
+        else:
+            self.memo.update(zip(new, coded))
+        return found, missing, ragged
 
     def _heads(self, pieces: list[str]) -> list[bytes]:
         missing = [p for p in pieces if p not in self.heads]
@@ -153,9 +162,9 @@ def _splits_at_space(spec: dict) -> bool:
     )
 
 
-def _is_ragged(piece: str) -> bool:
-    """Whether a space after the piece would follow white space."""
-    return not piece or piece[-1].isspace()
+def _ragged(pieces: list[str]) -> np.ndarray:
+    """Whether a space after each piece would follow white space."""
+    return np.fromiter(map(operator.or_, map(operator.not_, pieces), map(operator.ne, pieces, map(str.rstrip, pieces))), bool, len(pieces))
 
 
 def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
