@@ -2,13 +2,17 @@
 
 import struct
 
+import duckdb
 import pyarrow as pa
 import pytest
+from compare import differences
 from pyspark.sql import functions as F
 
+from texelyard.catalog import QUERIES
 from texelyard.functions import rules
 from texelyard.operators import companions, packed
 from texelyard.operators.bloom import might_contain
+from texelyard.oracle import ORACLE
 from texelyard.sources import files, ranged
 
 
@@ -47,6 +51,30 @@ def test_ranged_index_equals_the_index_of_values(spark, folder):
     assert slices[1] == struct.pack("<i", 1) + b"later" and slices[-2][4:] == b"two" * 9 and 3 not in slices and 10 not in slices
 
 
+def test_an_id_that_is_cut_short_is_no_entry(spark, tmp_path):
+    whole = struct.pack("<IIiI", rules.PACKED_MAGIC, 1, 27, 3) + bytes(8) + struct.pack("<i", 27)
+    for name, data in (("whole.dat", whole), ("cut.dat", whole[:-1])):
+        (tmp_path / name).write_bytes(data)
+    index = ranged.ranged_index(files.scan_assets(spark, str(tmp_path))).collect()
+    assert [(r.f.rsplit("/", 1)[1], r.sno, r.size) for r in index] == [("whole.dat", 27, 3)]
+
+
+@pytest.mark.parametrize("query", ["ranged_slices", "triplet_bytes"])
+def test_a_last_entry_shorter_than_its_id(spark, tmp_path, query):
+    """Line quantity 1 makes an entry of 3 bytes; as the last of its file it was written without the end of its id."""
+    lines = [(1, 1, 1, 27, 5), (1, 1, 2, 27, 1), (2, 2, 1, 39, 1)]
+    frame = spark.createDataFrame(lines, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity int")
+    frame = frame.withColumns({"l_extendedprice": F.lit(1.0), "l_shipdate": F.lit("1995-01-01").cast("date")})
+    frame.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = spark.createDataFrame([(27, "blue tin", 3), (39, "red tin", 4)], "p_partkey long, p_name string, p_size int")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    rows = QUERIES[query](spark, str(tmp_path))
+    assert rows.count() == 2 and differences(con, ORACLE[query], rows) is None
+
+
 def test_a_file_of_more_than_two_gigabytes(spark, tmp_path):
     """A sparse file: its second entry lies behind 3 GB that nobody asks for."""
     big = 3 << 30
