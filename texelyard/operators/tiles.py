@@ -27,6 +27,7 @@ from texelyard.session import ship_package, stage
 BITS = 6
 SIDE = 1 << BITS
 BATCH_BYTES = 4 << 20
+TEXELS_AT_ONCE = 1 << 16  # expanded to rows, about 100 bytes each
 
 TILES = "texture_id bigint, width int, height int, tx int, ty int, data binary"
 # kind and channel_kinds as the request has them; halvings, factor, whether levels are made anew, and their number.
@@ -233,6 +234,21 @@ def _folded(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_patches(rows)])
 
 
+def _texel_counts(data: pa.Array) -> np.ndarray:
+    bounds = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int32)
+    return np.diff(bounds.astype(np.int64)) // 4
+
+
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of patches of at most so many texels together, or one patch; patches of a batch may hold a hundred times as many."""
+    ends, first = np.cumsum(_texel_counts(batch.column(batch.schema.get_field_index("data")))), 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
 def pixels_of(patches: DataFrame) -> DataFrame:
     """Pixel rows of patches, with the patches' other columns."""
     ship_package(patches.sparkSession)
@@ -240,21 +256,20 @@ def pixels_of(patches: DataFrame) -> DataFrame:
     schema = StructType([*patches.select(*kept).schema.fields, *StructType.fromDDL("x int, y int, r int, g int, b int, a int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            data = column["data"]
-            bounds = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) // 4 if len(data) else np.zeros(1, np.int64)
-            texels = np.concatenate([np.frombuffer(c.as_buffer(), np.uint8) for c in data]).reshape(-1, 4) if len(data) else np.zeros((0, 4), np.uint8)
-            size = np.diff(bounds)
-            row = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(row)) - np.repeat(bounds[:-1] - bounds[0], size)
-            x0, y0, cols = (column[c].to_numpy().astype(np.int64)[row] for c in ("x0", "y0", "cols"))
-            made = [pa.array((x0 + at % cols).astype(np.int32)), pa.array((y0 + at // cols).astype(np.int32)), *(pa.array(texels[:, k].astype(np.int32)) for k in range(4))]
-            index = pa.array(row)
-            for first in range(0, len(row), 1 << 18):
-                part = slice(first, first + (1 << 18))
-                held = [column[c].take(index[part]) for c in kept]
-                yield pa.RecordBatch.from_arrays([*held, *(m[part] for m in made)], list(schema.names))
+        for whole in batches:
+            for batch in _parts(whole, TEXELS_AT_ONCE):
+                column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+                texels = np.concatenate([np.frombuffer(c.as_buffer(), np.uint8) for c in column["data"]]).reshape(-1, 4)
+                size = _texel_counts(column["data"])
+                row = np.repeat(np.arange(len(size)), size)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                x0, y0, cols = (column[c].to_numpy().astype(np.int64)[row] for c in ("x0", "y0", "cols"))
+                made = [pa.array((x0 + at % cols).astype(np.int32)), pa.array((y0 + at // cols).astype(np.int32)), *(pa.array(texels[:, k].astype(np.int32)) for k in range(4))]
+                index = pa.array(row)
+                for first in range(0, len(row), TEXELS_AT_ONCE):
+                    part = slice(first, first + TEXELS_AT_ONCE)
+                    held = [column[c].take(index[part]) for c in kept]
+                    yield pa.RecordBatch.from_arrays([*held, *(m[part] for m in made)], list(schema.names))
 
     return patches.select(*kept, "x0", "y0", "cols", "data").mapInArrow(run, schema)
 
