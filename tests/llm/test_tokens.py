@@ -51,6 +51,18 @@ def test_a_full_memo_changes_nothing(library, monkeypatch):
     assert len(worker.memo) <= 3
 
 
+def test_a_known_word_is_not_encoded_again_for_what_follows_it(library, monkeypatch):
+    worker = tokens.JsonEncoder(tokens.library_path(NAME))
+    list(worker.column(pa.array(["see words and größer ones then"])))
+    asked, encode = [], worker.encode
+    monkeypatch.setattr(worker, "encode", lambda text: asked.append(text) or encode(text))
+    texts = ["see words, and größer'll.\n\nwords<|endoftext|>", "see größerß words\x1f ones", "see wordsʼ, ones²", "see wordś. and1"]
+    got = [ids[b[k] : b[k + 1]].tolist() for _, ids, b in worker.column(pa.array(texts)) for k in range(len(b) - 1)]
+    assert got == [plain(library, t).tolist() for t in texts]
+    # Asked: what does not begin with a known word, and the text in which a space follows white space.
+    assert sorted(asked) == sorted([" größerß wordsʼ, ones² wordś.", texts[1]])
+
+
 def test_word_vocabulary_is_encoded_whole():
     name = "word_bpe_49k.json"
     worker = tokens.JsonEncoder(tokens.library_path(name))

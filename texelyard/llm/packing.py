@@ -110,7 +110,7 @@ class Index:
         row = self.row[own]
         rare, row = own[row < 0], row[row >= 0]
         scores = np.zeros(self.docs)
-        scores[self.left] = np.concatenate([np.zeros(0, np.float32), *[block[row].sum(axis=0) for block in self.dense]])
+        scores[self.left] = np.concatenate([np.zeros(0, np.float32), *[np.add.reduce(block.take(row, 0), 0) for block in self.dense]])
         if len(rare):
             cuts = list(zip(self.term_at[rare].tolist(), self.term_at[rare + 1].tolist()))
             holders = np.concatenate([self.holder[p:q] for p, q in cuts])

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import operator
 import os
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -23,6 +24,9 @@ import pyarrow.compute as pc
 MEMO_ENTRIES = 800_000
 PIECES_AT_ONCE = 250
 SLICE_BYTES = 8 << 20
+HEADS_IN = 8  # of so many remembered pieces one may be without a space before it
+# Letters of any Unicode version and what follows them, which begins with none: the built-in pattern cuts there.
+WORD_AND_REST = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F].*)", re.DOTALL)
 # Fixed by byte-level vocabularies: how they spell the byte 0x20.
 SPACE_BYTE = "Ġ"
 
@@ -114,23 +118,11 @@ class JsonEncoder:
         return _joined(parts)
 
     def _tails(self, pieces: list[str]) -> tuple[list[bytes], list[int], np.ndarray]:
-        """Ids of each distinct piece with the space before it, which pieces were not remembered, and which of those are ragged.
-
-        The library gets many at a time; an id that begins with a space opens a piece.
-        """
+        """Ids of each distinct piece with the space before it, which pieces were not remembered, and which of those are ragged."""
         found = list(map(self.memo.get, pieces))
         missing = [k for k, ids in enumerate(found) if ids is None]
         new = [pieces[k] for k in missing]
-        coded: list[bytes] = []
-        for at in range(0, len(new), PIECES_AT_ONCE):
-            part = new[at : at + PIECES_AT_ONCE]
-            ids = self.encode(" " + " ".join(part))
-            cuts = (4 * np.flatnonzero(self.opens[ids])).tolist()
-            flat = ids.tobytes()
-            if len(cuts) == len(part) and "" not in part:
-                coded += [flat[a:b] for a, b in zip(cuts, [*cuts[1:], len(flat)])]
-            else:
-                coded += [self.encode(" " + p).tobytes() for p in part]
+        coded = self._encoded(new)
         for k, ids in zip(missing, coded):
             found[k] = ids
         ragged = _ragged(new)
@@ -142,12 +134,41 @@ class JsonEncoder:
             self.memo.update(zip(new, coded))
         return found, missing, ragged
 
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces that are not remembered. Where one is a word and something else, both are looked up first."""
+        cuts = list(map(WORD_AND_REST.fullmatch, new))
+        words = [p if c is None else c[1] for p, c in zip(new, cuts)]
+        own = [self.memo.get(w) for w in words]
+        asked = list(dict.fromkeys(w for w, ids in zip(words, own) if ids is None))
+        fresh = dict(zip(asked, self._many(asked)))
+        own = [fresh[w] if ids is None else ids for w, ids in zip(words, own)]
+        rests = [k for k, c in enumerate(cuts) if c is not None]
+        each = list(dict.fromkeys(cuts[k][2] for k in rests))
+        after = dict(zip(each, self._heads(each)))
+        for k in rests:
+            own[k] += after[cuts[k][2]]
+        return own
+
+    def _many(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces with the space before them, many at a call of the library; an id that begins with a space opens a piece."""
+        coded: list[bytes] = []
+        for at in range(0, len(new), PIECES_AT_ONCE):
+            part = new[at : at + PIECES_AT_ONCE]
+            ids = self.encode(" " + " ".join(part))
+            cuts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            flat = ids.tobytes()
+            if len(cuts) == len(part) and "" not in part:
+                coded += [flat[a:b] for a, b in zip(cuts, [*cuts[1:], len(flat)])]
+            else:
+                coded += [self.encode(" " + p).tobytes() for p in part]
+        return coded
+
     def _heads(self, pieces: list[str]) -> list[bytes]:
         missing = [p for p in pieces if p not in self.heads]
         coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
         fresh = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(missing, coded)}
         found = [self.heads.get(p) or fresh.get(p, b"") for p in pieces]
-        self.heads.update(islice(fresh.items(), max(0, self.entries - len(self.heads))))
+        self.heads.update(islice(fresh.items(), max(0, self.entries // HEADS_IN - len(self.heads))))
         return found
 
 
