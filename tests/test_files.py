@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from texelyard import fixtures as fx
 from texelyard.functions import paths
 from texelyard.plans import convert as conversion
 from texelyard.plans import planning
@@ -212,3 +213,14 @@ def test_planning_does_not_shuffle(spark):
     )
     plan = planning.batch_plan(df, JobSpec(steps=(Step("downscale"),)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_many_small_images_are_staged_in_few_files(spark, monkeypatch, tmp_path):
+    """Spark deals 32 files to a task, whatever their size: each task was a staged file, and one more for each share."""
+    for k in range(0, 400):
+        (tmp_path / f"{k}.bmp").write_bytes(fx._bitmap(k, [0.0] * 64))
+    staged, plain = [], files.stage
+    monkeypatch.setattr(files, "stage", lambda *a: staged.append(plain(*a)) or staged[-1])
+    rows, outcome = files.load_images(spark, str(tmp_path))
+    assert rows.count() == 400 * 64 and outcome.filter("has_result").count() == 400
+    assert 0 < len(staged[0].inputFiles()) <= spark.sparkContext.defaultParallelism

@@ -18,6 +18,8 @@ from texelyard.spec import ALL_FORMATS
 # Bytes of image data handed to Python per row, so batches stay small for any image.
 BAND_BYTES = 1 << 14
 ROWS_PER_BATCH = 1 << 16
+# Bytes of image files that one task decodes; Spark counts a small file as 4 MB, so 32 of them would be a task and a staged file.
+TASK_BYTES = 64 << 20
 
 PASSED_OVER = "The image reader passed over this file"
 PIXEL_SCHEMA = "texture_id bigint, width int, height int, mip int, x int, y int, r int, g int, b int, a int"
@@ -74,6 +76,9 @@ def load_images(spark: SparkSession, folder: str, recursive: bool = True, enable
     )
     images = reader.load(folder).select(F.col("image.origin").alias("path"), "image")
     images = filter_formats(images if recursive else _only_direct(images, folder), enabled)
+    listed = scan_assets(spark, folder, recursive, enabled).select("path", "length")
+    total = listed.agg(F.sum("length")).first()[0] or 0
+    images = images.coalesce(max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
     bands = images.selectExpr(
         "path",
         "xxhash64(path) AS texture_id",
@@ -101,8 +106,7 @@ def load_images(spark: SparkSession, folder: str, recursive: bool = True, enable
         F.array().cast("array<string>").alias("issues"),
     )
     plain = strip_scheme(F.col("path"))
-    listed = scan_assets(spark, folder, recursive, enabled).select("path").withColumn("_plain", plain)
-    passed = listed.join(outcome.select(plain.alias("_plain")), "_plain", "left_anti").select(
+    passed = listed.withColumn("_plain", plain).join(outcome.select(plain.alias("_plain")), "_plain", "left_anti").select(
         "path",
         F.xxhash64("path").alias("texture_id"),
         formats.classify_format(paths.ext(F.col("path"))).alias("file_format"),
