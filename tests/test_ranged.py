@@ -8,6 +8,7 @@ import pytest
 from compare import differences
 from pyspark.sql import functions as F
 
+from texelyard import fixtures as fx
 from texelyard.catalog import QUERIES
 from texelyard.functions import rules
 from texelyard.operators import companions, packed
@@ -75,6 +76,34 @@ def test_a_last_entry_shorter_than_its_id(spark, tmp_path, query):
     assert rows.count() == 2 and differences(con, ORACLE[query], rows) is None
 
 
+@pytest.mark.parametrize("query", ["ranged_slices", "triplet_bytes"])
+def test_the_latest_file_has_the_largest_number(spark, tmp_path, query):
+    """Both files hold part 27; a name of eleven digits came before one of ten."""
+    lines = [(9_000_000_001, 1, 1, 27, 5), (10_000_000_001, 2, 1, 27, 6)]
+    frame = spark.createDataFrame(lines, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity int")
+    frame = frame.withColumns({"l_extendedprice": F.lit(1.0), "l_shipdate": F.lit("1995-01-01").cast("date")})
+    frame.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(27, "blue tin", 3)], "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    rows = QUERIES[query](spark, str(tmp_path))
+    assert rows.count() == 1 and differences(con, ORACLE[query], rows) is None
+
+
+def test_the_bytes_of_large_ids(spark, tmp_path):
+    """257 times such an id is more than an INT, but the id itself is not."""
+    lines = spark.createDataFrame([(1, 1, 1, 9_000_003, 5.0)], "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double")
+    lines = lines.withColumns({"l_extendedprice": F.lit(1.0), "l_shipdate": F.lit("1995-01-01").cast("date")})
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = spark.createDataFrame([(9_000_003, "red tin", 3), (9_000_006, "blue tin", 4), (9_000_009, "tin", 5)], "p_partkey long, p_name string, p_size int")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.sno: (r.data, r.payload_data, r.paylow_data) for r in QUERIES["triplet_bytes"](spark, str(tmp_path)).collect()}
+    packed_meta = struct.pack("<IIIIi", fx.HEADER_MAGIC, 77, 0, 0, 9_000_003) + b"\xab" * 11
+    fill = {sno: (bytes([sno % 256]) * length).hex().upper() for sno, length in ((9_000_003, 4), (9_000_006, 5), (9_000_009, 6))}
+    assert found == {sno: (packed_meta.hex().upper() if sno == 9_000_003 else f, f, f) for sno, f in fill.items()}
+
+
 def test_a_file_of_more_than_two_gigabytes(spark, tmp_path):
     """A sparse file: its second entry lies behind 3 GB that nobody asks for."""
     big = 3 << 30
