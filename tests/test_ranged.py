@@ -3,6 +3,7 @@
 import struct
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from compare import differences
@@ -117,6 +118,20 @@ def test_a_file_of_more_than_two_gigabytes(spark, tmp_path):
     assert [bytes(r.data)[16:] for r in ranged.ranged_slices(index, 1, 2).collect()] == [struct.pack("<i", 22) + b"last"]
 
 
+def test_index_parts_become_rows_few_at_a_time():
+    """A batch of parts has millions of entries; all at once, with a path each, took over a gigabyte."""
+    sizes = [4_096] * 40 + [1, ranged.INDEX_ENTRIES, 3]
+    words = [np.stack([np.arange(n) + 1_000_000 * k, np.full(n, k)], 1).astype("<u4").tobytes() for k, n in enumerate(sizes)]
+    columns = {"path": [f"file:/p{k}" for k in range(len(sizes))], "n": [n + 70_000 for n in sizes], "first": [70_000] * len(sizes), "data": words}
+    found = list(ranged._entries(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert max(b.num_rows for b in found) <= ranged.INDEX_ENTRIES
+    rows = pa.Table.from_batches(found).to_pydict()
+    part = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.concatenate([np.arange(n) for n in sizes])
+    assert rows["f"] == [f"file:/p{k}" for k in part] and rows["i"] == (70_000 + at).tolist() and rows["n"] == (np.array(sizes)[part] + 70_000).tolist()
+    assert rows["sno"] == (at + 1_000_000 * part).tolist() and rows["size"] == part.tolist()
+
+
 def test_only_wanted_bytes_are_read(folder, monkeypatch):
     import pyarrow.fs as pafs
 

@@ -2,7 +2,7 @@
 
 No file is ever a value: a file of any size is a path and a length, and tasks read from it what is asked. Ranges are
 dealt by file and stretch of the file, so that a task opens a file once and goes through it in order, and one huge file is read by
-many tasks.
+many tasks. Index entries become rows where their bytes are read, so many at once whatever the number of files.
 """
 
 from __future__ import annotations
@@ -19,24 +19,31 @@ from texelyard.functions import rules
 from texelyard.functions.binary import header
 from texelyard.functions.lookups import as_col
 from texelyard.operators.packed import last_writer, packed_offsets
+from texelyard.operators.running import ROWS_A_TASK
 from texelyard.session import ship_package, stage
 
 STRETCH_BITS = 26
-INDEX_ENTRIES = 1 << 16  # of an index read at once
+INDEX_ENTRIES = 1 << 16  # of an index read at once, and rows made of them at once
 BATCH_BYTES = 4 << 20
 
 
-def read_ranges(ranges: DataFrame, name: str = "data") -> DataFrame:
+def read_ranges(ranges: DataFrame, name: str = "data", tasks: int | None = None) -> DataFrame:
     """``ranges`` (with ``path, start, size``) and the bytes there as ``name``, as many as the file has.
 
-    A file that cannot be opened gives null. Only the rows themselves are shuffled, never bytes.
+    A file that cannot be opened gives null. Only the rows themselves are shuffled, never bytes; into ``tasks`` tasks, or
+    (None) as many as the session makes of them.
     """
-    ship_package(ranges.sparkSession)
-    dealt = ranges.repartition("path", F.shiftright("start", STRETCH_BITS)).sortWithinPartitions("path", "start")
     schema = StructType([*ranges.schema.fields, *StructType.fromDDL(f"{name} binary").fields])
     for field in schema:
         field.nullable = True
-    return dealt.mapInArrow(_reader(ranges.columns, list(schema.names)), schema)
+    return _dealt(ranges, tasks).mapInArrow(_reader(ranges.columns, list(schema.names)), schema)
+
+
+def _dealt(ranges: DataFrame, tasks: int | None) -> DataFrame:
+    ship_package(ranges.sparkSession)
+    by = ["path", F.shiftright("start", STRETCH_BITS)]
+    dealt = ranges.repartition(*by) if tasks is None else ranges.repartition(tasks, *by)
+    return dealt.sortWithinPartitions("path", "start")
 
 
 def _reader(columns: list[str], names: list[str]):
@@ -91,26 +98,49 @@ def ranged_index(files: DataFrame) -> DataFrame:
     good = stage(good.filter((F.col("magic") == rules.PACKED_MAGIC) & (8 + 8 * F.col("n") <= F.col("length"))).select("path", "length", "n"), "heads")
     chunks = good.filter("n > 0").withColumn("first", F.explode(F.expr(f"sequence(0L, n - 1, {INDEX_ENTRIES}L)")))
     left = F.least(F.lit(INDEX_ENTRIES).cast("bigint"), F.col("n") - F.col("first"))
-    parts = read_ranges(chunks.withColumns({"start": 8 + 8 * F.col("first"), "size": (8 * left).cast("int")}))
-    entries = parts.select("path", "n", "first", "data").mapInArrow(_entries, "f string, i bigint, n bigint, sno int, size bigint")
+    parts = chunks.select("path", "n", "first", (8 + 8 * F.col("first")).alias("start"), (8 * left).cast("int").alias("size"))
+    tasks = max(1, -(-(good.agg(F.sum("n")).first()[0] or 0) // ROWS_A_TASK))
+    entries = _dealt(parts, tasks).mapInArrow(_index_reader(parts.columns), "f string, i bigint, n bigint, sno int, size bigint")
     placed = packed_offsets(stage(entries, "entries")).join(good.select(F.col("path").alias("f"), "length"), "f")
     inside = placed.filter((F.col("start") + F.col("size") <= F.col("length")) & (F.col("start") + 4 <= F.col("length"))).drop("length")
-    told = read_ranges(inside.withColumnsRenamed({"f": "path", "size": "held"}).withColumn("size", F.lit(4)), "stored")
+    told = read_ranges(inside.withColumnsRenamed({"f": "path", "size": "held"}).withColumn("size", F.lit(4)), "stored", tasks)
     same = told.filter(_word(F.col("stored"), 0) == F.col("sno").cast("bigint").bitwiseAND(0xFFFFFFFF))
     return same.select(F.col("path").alias("f"), "i", "n", "sno", F.col("held").alias("size"), "start")
 
 
+def _index_reader(columns: list[str]):
+    read = _reader(columns, [*columns, "data"])
+    return lambda batches: _entries(read(batches))
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of index parts (``path, n, first`` and ``data``), at most ``INDEX_ENTRIES`` in one batch unless a part has more."""
     for batch in batches:
-        words = [np.frombuffer(c.as_buffer(), "<u4").reshape(-1, 2) for c in batch.column(3)]
-        size = np.array([len(w) for w in words], np.int64)
-        row = np.repeat(np.arange(len(words)), size)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        flat = np.concatenate([np.zeros((0, 2), np.uint32), *words])
-        taken = pa.array(row)
-        number = batch.column(2).to_numpy()[row] + at
-        columns = [batch.column(0).take(taken), pa.array(number), batch.column(1).take(taken), pa.array(flat[:, 0].astype(np.uint32).view(np.int32)), pa.array(flat[:, 1].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["f", "i", "n", "sno", "size"])
+        data = batch.column("data")
+        ends = np.cumsum(np.array([len(c.as_buffer()) // 8 for c in data], np.int64))
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + INDEX_ENTRIES, "right")))
+            yield _rows_of(batch.slice(at, stop - at))
+            at = stop
+
+
+def _rows_of(parts: pa.RecordBatch) -> pa.RecordBatch:
+    words = [np.frombuffer(c.as_buffer(), "<u4").reshape(-1, 2) for c in parts.column("data")]
+    size = np.array([len(w) for w in words], np.int64)
+    row = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    flat = np.concatenate(words)
+    taken = pa.array(row)
+    columns = [
+        parts.column("path").take(taken),
+        pa.array(parts.column("first").to_numpy()[row] + at),
+        parts.column("n").take(taken),
+        pa.array(flat[:, 0].astype(np.uint32).view(np.int32)),
+        pa.array(flat[:, 1].astype(np.int64)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["f", "i", "n", "sno", "size"])
 
 
 def ranged_slices(index: DataFrame, magic, format_hash) -> DataFrame:
